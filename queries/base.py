@@ -88,13 +88,25 @@ xc AS (
     GROUP BY 1) k ON x.tcp_stream_id = k.sid)"""
 
 
-def finding_sql(rule_id: str, source: str, applies: str, ladder) -> str:
+_UPGRADE = "CASE WHEN protocol = 'smtp' THEN 'RFC 3207' ELSE 'RFC 2595' END"
+#: the registered standards each rule's citations resolve to, comma separated
+STANDARDS = {
+    "SEC-TLS-001": "'NIST SP 800-52r2,RFC 8996 (BCP 195)'", "SEC-TLS-002": "'UNMAPPED'", "SEC-TLS-003": "'UNMAPPED'",
+    "SEC-STLS-001": _UPGRADE, "SEC-STLS-002": _UPGRADE, "SEC-STLS-003": "'RFC 8314'",
+    "SEC-PLAIN-001": "'NIST SP 800-52r2,RFC 8314'", "SEC-PLAIN-002": "'NIST SP 800-52r2,RFC 8314'",
+    "SEC-KEX-001": "'UNMAPPED'", "SEC-FS-001": "'NIST SP 800-52r2,UNMAPPED'", "SEC-CERT-001": "'UNMAPPED'",
+    "SEC-CERT-002": "'UNMAPPED'", "SEC-CERT-003": "'UNMAPPED'", "SEC-CERT-004": "'UNMAPPED'", "SEC-CERT-005": "'UNMAPPED'",
+    "SEC-CFG-001": "'NIST SP 800-52r2,RFC 8996 (BCP 195),UNMAPPED'",
+}
+
+
+def finding_sql(rule_id: str, source: str, applies: str, ladder, states: str = "''", title: str = "") -> str:
     """SELECT of one rule over `source`; the ladder holds (condition, status, severity, SQL text)."""
     def case(i):
         return "CASE " + " ".join(f"WHEN {row[0]} THEN {row[i]}" for row in ladder) + " END"
     quoted = [(c, lit(st), lit(sev), text) for c, st, sev, text in ladder]
     ladder = quoted
     return f"""SELECT substr(sha256('{rule_id}|' || capture_id || '|' || coalesce(CAST(tcp_stream_id AS VARCHAR), 'None')
-    || '|' || status), 1, 16) AS finding_id, '{rule_id}' AS rule_id, capture_id, tcp_stream_id, stream_key, protocol, status, severity, conclusion
-  FROM (SELECT capture_id, tcp_stream_id, stream_key, protocol, {case(1)} AS status, {case(2)} AS severity, {case(3)} AS conclusion
+    || '|' || status), 1, 16) AS finding_id, '{rule_id}' AS rule_id, capture_id, tcp_stream_id, stream_key, protocol, status, severity, conclusion, states, {lit(title)} AS title, standards
+  FROM (SELECT capture_id, tcp_stream_id, stream_key, protocol, {case(1)} AS status, {case(2)} AS severity, {case(3)} AS conclusion, {states} AS states, {STANDARDS[rule_id]} AS standards
         FROM {source} WHERE {applies}) q WHERE status IS NOT NULL"""

@@ -48,7 +48,7 @@ ctx AS (SELECT *, CASE WHEN implicit_tls OR found = 0 THEN 'CONTRAST_NOT_APPLICA
 RANK = "(CASE {c} WHEN 'SSL2.0' THEN 0 WHEN 'SSL3.0' THEN 1 WHEN 'TLS1.0' THEN 2 WHEN 'TLS1.1' THEN 3 WHEN 'TLS1.2' THEN 4 WHEN 'TLS1.3' THEN 5 END)"
 _SUPPORTED = "(contrast_state = 'CONTRAST_SUPPORTED' AND control_rate = 1.0)"
 _NOHIST = "'INSUFFICIENT_EVIDENCE' AS status, 'INFO' AS severity, 'NOT_ASSESSED' AS deviation, 'Insufficient comparable history to assess this session.' AS conclusion"
-_BASE = "capture_id, tcp_stream_id, stream_key, protocol"
+_BASE = "capture_id, tcp_stream_id, stream_key, protocol, adv_state, tt_state, req_state, ver_state"
 _CASES = {
     "status": ["'INSUFFICIENT_EVIDENCE'", "'AMBIGUOUS'", "'OBSERVED_ISSUE'", "'COMPLIANT'", "'OBSERVED_ISSUE'", "'AMBIGUOUS'"],
     "severity": ["'INFO'", "'INFO'", "'MEDIUM'", "'INFO'", "'MEDIUM'", "'INFO'"],

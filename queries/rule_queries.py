@@ -105,10 +105,23 @@ SPECS = {
         (f"{FAILED} > 0", INFO, "INFO", f"'Configuration checklist: ' || CAST({FAILED} AS VARCHAR) || ' item(s) failed.'"),
         ("true", OK, "INFO", f"'Configuration checklist: ' || CAST({PASSED} AS VARCHAR) || ' of 7 items passed.'")]),
 }
+_CHAIN = "CASE WHEN n_certs > 0 THEN 'OBSERVED' ELSE 'NOT_OBSERVABLE' END"
+#: evidence states a rule consults, comma separated
+STATES = {
+    "SEC-TLS-001": "ver_state", "SEC-TLS-002": "tt_state", "SEC-TLS-003": f"ver_state || ',' || {_CHAIN}",
+    "SEC-STLS-001": "req_state || ',' || acc_state || CASE WHEN acc_state = 'OBSERVED' AND acc_value = 'true' THEN ',' || tt_state ELSE '' END",
+    "SEC-STLS-002": "adv_state || CASE WHEN adv_state = 'OBSERVED' AND adv_value = 'true' THEN ',' || req_state ELSE '' END",
+    "SEC-STLS-003": "adv_state || ',' || tt_state", "SEC-PLAIN-001": "auth_state || ',' || tt_state",
+    "SEC-PLAIN-002": "tt_state || ',' || adv_state", "SEC-KEX-001": "kex_state || ',' || grp_state || ',' || sn_state",
+    "SEC-FS-001": "fs_state || ',' || kex_state || ',' || ver_state", "SEC-CERT-001": f"{_CHAIN} || ',' || ver_state",
+    "SEC-CERT-002": _CHAIN, "SEC-CERT-003": _CHAIN, "SEC-CERT-004": _CHAIN, "SEC-CERT-005": _CHAIN,
+    "SEC-CFG-001": f"ver_state || ',' || fs_state || ',' || {_CHAIN}",
+}
 ORDER = [r.rule_id for r in rules.DEFAULT_RULES]
+TITLE = {r.rule_id: r.title for r in rules.DEFAULT_RULES}
 #: every per-session finding; `seq` is the rule order
 ALL_FINDINGS = f"{XC}, f AS (" + " UNION ALL ".join(
-    f"SELECT *, {ORDER.index(r)} AS seq FROM (" + finding_sql(r, *SPECS[r][1:]) + ")" for r in ORDER) + ")"
+    f"SELECT *, {ORDER.index(r)} AS seq FROM (" + finding_sql(r, *SPECS[r][1:], STATES[r], TITLE[r]) + ")" for r in ORDER) + ")"
 
 
 def _one(rule_id):

@@ -355,38 +355,36 @@ DEFAULT_CROSS_RULES = [
 
 
 def _outcome(rule: CrossRule, seq: int) -> Column:
-    pick = None
+    picked, own = None, F.array(*[rules.ref(f) for f in rule.refs])
+    abstaining = F.array(rules.ref("starttls_advertised"))
     for condition, status, severity, deviation, conclusion in rule.ladder():
         text = conclusion if isinstance(conclusion, Column) else F.lit(conclusion)
         body = F.struct(F.lit(status).alias("status"), F.lit(severity).alias("severity"),
                         F.lit(deviation).alias("deviation"), text.alias("conclusion"))
-        pick = F.when(condition, body) if pick is None else pick.when(condition, body)
-    refs = F.array(*[rules.ref(f) for f in rule.refs])
-    abstained = pick["deviation"] == "NOT_ASSESSED"
-    if rule.refs != ["starttls_advertised"]:
-        refs = F.when(abstained, F.array(rules.ref("starttls_advertised"))).otherwise(refs)
-    return F.when(rule.applies() & pick.isNotNull(), F.struct(
+        test = rule.applies() & condition
+        picked = F.when(test, body) if picked is None else picked.when(test, body)
+    return F.struct(
         F.lit(seq).alias("seq"), F.lit(rule.rule_id).alias("rule_id"),
-        F.lit(rule.title).alias("title"), pick["status"].alias("status"),
-        pick["severity"].alias("severity"), pick["deviation"].alias("deviation"),
-        pick["conclusion"].alias("conclusion"),
+        F.lit(rule.title).alias("title"),
         F.array(*[F.lit(s) for s in rule.standards]).alias("standards"),
-        refs.alias("evidence_refs")))
+        F.when(_usable(), own).otherwise(abstaining).alias("evidence_refs"), picked.alias("o"))
 
 
 def cross_findings(context: DataFrame, cross_rules: list[CrossRule] | None = None) -> DataFrame:
     """Findings of the comparison rules over sessions with context."""
     cross_rules = DEFAULT_CROSS_RULES if cross_rules is None else cross_rules
-    outcomes = F.array_compact(F.array(*[_outcome(r, 100 + i) for i, r in enumerate(cross_rules)]))
+    outcomes = F.array(*[_outcome(r, 100 + i) for i, r in enumerate(cross_rules)])
     return (context.select("capture_id", "tcp_stream_id", "stream_key", "protocol",
                            "baseline_status", "prior_count", "contrast_state", "control_count",
-                           "control_rate", F.explode(outcomes).alias("o"))
-            .select(casts.finding_id(F.col("o.rule_id"), F.col("capture_id"),
+                           "control_rate", F.inline(outcomes))
+            .filter(F.col("o").isNotNull())
+            .select(casts.finding_id(F.col("rule_id"), F.col("capture_id"),
                                      F.col("tcp_stream_id"), F.col("o.status"),
                                      F.col("o.deviation")).alias("finding_id"),
-                    "o.*", "capture_id", "tcp_stream_id", "stream_key", "protocol",
-                    "baseline_status", "prior_count", "contrast_state", "control_count",
-                    "control_rate"))
+                    "seq", "rule_id", "title", "o.status", "o.severity", "o.deviation",
+                    "o.conclusion", "standards", "evidence_refs", "capture_id", "tcp_stream_id",
+                    "stream_key", "protocol", "baseline_status", "prior_count", "contrast_state",
+                    "control_count", "control_rate"))
 
 
 def cross_report(context: DataFrame, findings: DataFrame) -> DataFrame:

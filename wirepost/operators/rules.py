@@ -71,6 +71,8 @@ class Rule:
     applies: Callable[[], Column]
     ladder: Callable[[], Ladder]
     guidance: str = ""
+    #: (condition, field): a further field consulted only when the condition holds
+    extra_ref: Callable[[], tuple[Column, str]] | None = None
 
 
 class RuleRegistry:
@@ -362,11 +364,15 @@ DEFAULT_RULES = [
          lambda: [(OTHERWISE, NOOBS, "INFO",
                    "Certificate trust and revocation were not evaluated.")]),
     Rule("SEC-STLS-002", "STARTTLS/STLS advertisement posture", by_protocol,
-         ["starttls_advertised"], explicit, _advertisement_ladder),
+         ["starttls_advertised"], explicit, _advertisement_ladder,
+         extra_ref=lambda: ((state("starttls_advertised") == "OBSERVED")
+                            & is_true("starttls_advertised"), "starttls_requested")),
     Rule("SEC-STLS-001", "STARTTLS/STLS upgrade outcome", by_protocol,
          ["starttls_requested", "starttls_accepted"],
          lambda: explicit() & is_true("starttls_requested"), _upgrade_ladder,
-         "Offer and accept the upgrade, and let clients insist on it."),
+         "Offer and accept the upgrade, and let clients insist on it.",
+         lambda: (is_true("starttls_accepted") & (state("starttls_accepted") != "AMBIGUOUS"),
+                  "tls_transition")),
     Rule("SEC-STLS-003", "Implicit TLS session", [RFC8314_IMPLICIT],
          ["starttls_advertised", "tls_transition"], lambda: F.col("implicit_tls"),
          lambda: [(OTHERWISE, INFO, "INFO",
@@ -424,43 +430,40 @@ def ref(field: str) -> Column:
 
 
 def outcome(r: Rule, seq: int) -> Column:
-    head = None
-    tail = None
+    """One candidate finding; `o` stays null where the rule does not speak."""
+    picked = None
     for condition, status, severity, conclusion in r.ladder():
         text = conclusion if isinstance(conclusion, Column) else F.lit(conclusion)
         body = F.struct(F.lit(status).alias("status"), F.lit(severity).alias("severity"),
                         text.alias("conclusion"))
-        if condition is OTHERWISE:
-            tail = body
-        else:
-            head = F.when(condition, body) if head is None else head.when(condition, body)
-    if head is None:
-        pick = tail
-    else:
-        pick = head.otherwise(tail) if tail is not None else head
+        test = r.applies() if condition is OTHERWISE else r.applies() & condition
+        picked = F.when(test, body) if picked is None else picked.when(test, body)
     standards = r.standards() if callable(r.standards) else \
         F.array(*[F.lit(s) for s in r.standards])
-    return F.when(r.applies() & pick.isNotNull(), F.struct(
+    refs = F.array(*[ref(f) for f in r.refs])
+    if r.extra_ref is not None:
+        condition, more = r.extra_ref()
+        refs = F.when(condition, F.array(*[ref(f) for f in [*r.refs, more]])).otherwise(refs)
+    return F.struct(
         F.lit(seq).alias("seq"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.title).alias("title"),
-        pick["status"].alias("status"), pick["severity"].alias("severity"),
-        pick["conclusion"].alias("conclusion"), standards.alias("standards"),
-        F.array(*[ref(f) for f in r.refs]).alias("evidence_refs"),
-        F.lit(r.guidance).alias("guidance")))
+        F.lit(r.guidance).alias("guidance"), standards.alias("standards"),
+        refs.alias("evidence_refs"), picked.alias("o"))
 
 
 def run_rules(sessions: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Findings of every rule over every session, in one scan."""
     rules = DEFAULT_RULES if rules is None else rules
-    outcomes = F.array_compact(F.array(*[outcome(r, i) for i, r in enumerate(rules)]))
+    outcomes = F.array(*[outcome(r, i) for i, r in enumerate(rules)])
     return (sessions
             .select("capture_id", "tcp_stream_id", "stream_key", "protocol", "first_frame",
-                    "last_frame", "start_epoch", F.explode(outcomes).alias("o"))
-            .select(casts.finding_id(F.col("o.rule_id"), F.col("capture_id"),
+                    "last_frame", "start_epoch", F.inline(outcomes))
+            .filter(F.col("o").isNotNull())
+            .select(casts.finding_id(F.col("rule_id"), F.col("capture_id"),
                                      F.col("tcp_stream_id"), F.col("o.status"))
                     .alias("finding_id"),
-                    "o.rule_id", "o.title", "o.status", "o.severity", "o.conclusion",
-                    "o.standards", "o.evidence_refs", "o.guidance", "o.seq", "capture_id",
-                    "tcp_stream_id", "stream_key", "protocol", "first_frame", "last_frame",
+                    "rule_id", "title", "o.status", "o.severity", "o.conclusion", "standards",
+                    "evidence_refs", "guidance", "seq", "capture_id", "tcp_stream_id",
+                    "stream_key", "protocol", "first_frame", "last_frame",
                     F.col("start_epoch").alias("timestamp_epoch")))
 
 

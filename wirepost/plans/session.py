@@ -10,6 +10,7 @@ def build(master: str | None = None, shuffle_partitions: int | None = None,
     """On a cluster leave `master` and the partition count to the submit command."""
     b = (SparkSession.builder.appName("wirepost")
          .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true"))
     if master:
