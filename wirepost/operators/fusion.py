@@ -126,7 +126,7 @@ def citation(text: Column) -> Column:
 
 def resolve_citations(texts: Column) -> Column:
     """Distinct citations of an array of standards strings, in display order."""
-    kept = F.filter(F.transform(texts, F.trim), lambda t: t != "")
+    kept = F.filter(F.transform(texts, lambda t: F.trim(t)), lambda t: t != "")
     return F.array_sort(F.array_distinct(F.transform(kept, citation)))
 
 

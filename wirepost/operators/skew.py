@@ -102,3 +102,15 @@ def median(df: DataFrame, keys: list[str], value: str, name: str = "median") ->
     n = F.col("n")
     both = values_at(df, keys, value, {"_m1": F.floor((n + 1) / 2), "_m2": F.floor(n / 2) + 1})
     return both.withColumn(name, (F.col("_m1") + F.col("_m2")) / 2).drop("_m1", "_m2")
+
+
+def running_max(df: DataFrame, keys: list[str], block: str, order: list, value: Column,
+                name: str, before: bool = False) -> DataFrame:
+    """Exact running maximum up to each row, or up to the row before it.  Keys must not be null."""
+    local = W.partitionBy(*keys, block).orderBy(*order) \
+        .rowsBetween(W.unboundedPreceding, -1 if before else W.currentRow)
+    earlier = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
+    tops = df.groupBy(*keys, block).agg(F.max(value).alias("_m")) \
+        .select(*keys, block, F.max("_m").over(earlier).alias("_above"))
+    return (df.withColumn("_local", F.max(value).over(local)).join(tops, keys + [block])
+            .withColumn(name, F.greatest("_local", "_above")).drop("_local", "_above"))
