@@ -131,7 +131,7 @@ def matrix(spark, sf):
         .select("grp", "vec_id", "column", F.round(F.col("v").cast("double"), 4).alias("value"))
 
 
-@query("dataset_hash", f"""WITH {L6}, rw AS (SELECT grp, vec_id, substr(sha256(string_agg(printf('%.6f', value), ',' ORDER BY "column")), 1, 16) AS h FROM e GROUP BY 1, 2),
+@query("dataset_hash", f"""WITH {L6}, rw AS (SELECT grp, vec_id, substr(sha256(string_agg(printf('%.6f', value + 0.0), ',' ORDER BY "column")), 1, 16) AS h FROM e GROUP BY 1, 2),
   cn AS (SELECT grp, h, count(*) AS n FROM rw GROUP BY 1, 2), pf AS (SELECT grp, substr(h, 1, 3) AS p, sha256(string_agg(h || ':' || CAST(n AS VARCHAR), '|' ORDER BY h)) AS d, sum(n) AS n FROM cn GROUP BY 1, 2)
   SELECT grp, substr(sha256(string_agg(p || ':' || d, '|' ORDER BY p)), 1, 16) AS dataset_hash, sum(n) AS rows FROM pf GROUP BY 1""")
 def dataset_hash(spark, sf):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from wirepost.functions import casts, vocab
 from wirepost.functions import evidence as ev
 from wirepost.operators import skew
+from wirepost.plans.lineage import cut
 
 # ------------------------------------------------------------- fixed values: feature schema
 TRI = ["true", "false", "UNKNOWN", "AMBIGUOUS", "INCOMPLETE", "NOT_OBSERVABLE", "INFERRED",
@@ -365,8 +366,9 @@ def anomaly_lane(context: DataFrame, quantile: float = 0.95, groups=None, exclud
     as NOT_SCORED.
     """
     feats = features(context, groups, keep=("protocol", "completeness"))
-    matrix = encode(feats, groups, exclude, keep=("protocol", "completeness"))
-    scored = score_wide(matrix, fit_wide(matrix, groups, exclude)).drop("row")
+    # the matrix feeds every column statistic, the scores and the result: compute it once
+    matrix = cut(encode(feats, groups, exclude, keep=("protocol", "completeness")))
+    scored = score_wide(matrix, cut(fit_wide(matrix, groups, exclude))).drop("row")
     cut = threshold(scored, ["capture_id"], quantile)
     reason = abstain_reason()
     return (scored.join(cut, "capture_id", "left")
