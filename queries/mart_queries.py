@@ -327,7 +327,7 @@ def custom_rule(spark, sf):
     registry = rules.RuleRegistry(rules.BASE_RULES)
     registry.register(rules.Rule("LOCAL-001", "Long session", ["local policy"], ["tls_transition"], lambda: F.col("packet_count") > 50,
                                  lambda: [(rules.OTHERWISE, rules.ISSUE, "LOW", "The session is long.")]))
-    return rules.run_rules(lifts.sessions(spark, sf), registry.rules).filter(F.col("rule_id") == "LOCAL-001") \
+    return rules.run_rules(lifts.sessions(spark, sf, crypto=True), registry.rules).filter(F.col("rule_id") == "LOCAL-001") \
         .select("stream_key", "rule_id", "status", "severity")
 
 

@@ -369,9 +369,9 @@ def anomaly_lane(context: DataFrame, quantile: float = 0.95, groups=None, exclud
     # the matrix feeds every column statistic, the scores and the result: compute it once
     matrix = cut(encode(feats, groups, exclude, keep=("protocol", "completeness")))
     scored = score_wide(matrix, cut(fit_wide(matrix, groups, exclude))).drop("row")
-    cut = threshold(scored, ["capture_id"], quantile)
+    limits = threshold(scored, ["capture_id"], quantile)
     reason = abstain_reason()
-    return (scored.join(cut, "capture_id", "left")
+    return (scored.join(limits, "capture_id", "left")
             .withColumn("reason", reason).withColumn("score", F.when(F.col("reason").isNull(), F.col("score")))
             .withColumn("band", band()).drop("protocol", "completeness"))
 
