@@ -15,7 +15,9 @@ def build(master: str | None = None, shuffle_partitions: int | None = None,
          .config("spark.sql.adaptive.skewJoin.enabled", "true"))
     if master:
         b = b.master(master).config("spark.ui.enabled", "false") \
-            .config("spark.driver.memory", "16g")
+            .config("spark.driver.memory", "16g") \
+            .config("spark.ui.showConsoleProgress", "false") \
+            .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in extra.items():
