@@ -15,11 +15,11 @@ from wirepost.plans.session import build  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINE = ["run_rules", "build_baseline", "evaluate_contrast", "cross_findings", "fuse", "issue_groups",
-            "posture_score", "prioritise", "population_stats", "detector_d2_contrast", "walk_states",
-            "reconstruct_sessions", "feat_context", "fit_robust", "ranking_metrics"]
-SESSION_QUERIES = {"run_rules", "build_baseline", "evaluate_contrast", "cross_findings", "fuse",
-                   "issue_groups", "posture_score", "prioritise", "feat_context"}
+HEADLINE = ["run_rules", "build_baseline", "evaluate_contrast", "cross_findings", "issue_groups", "posture_score",
+            "population_stats", "detector_d2_contrast", "walk_states", "feat_structure", "fit_robust",
+            "ranking_metrics"]
+SESSION_QUERIES = {"run_rules", "build_baseline", "evaluate_contrast", "cross_findings",
+                   "issue_groups", "posture_score", "feat_structure"}
 
 
 def main() -> None:

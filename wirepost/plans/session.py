@@ -17,6 +17,7 @@ def build(master: str | None = None, shuffle_partitions: int | None = None,
         b = b.master(master).config("spark.ui.enabled", "false") \
             .config("spark.driver.memory", "16g") \
             .config("spark.ui.showConsoleProgress", "false") \
+            .config("spark.sql.autoBroadcastJoinThreshold", "1m") \
             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
