@@ -39,10 +39,11 @@ def list_runs(runs: DataFrame, assessments: DataFrame, state: str | None = None,
         kept = kept.filter(F.col("state") == state)
     if capture_id:
         kept = kept.filter(F.col("capture_id") == capture_id)
-    total = kept.agg(F.count(F.lit(1)).alias("total"))
+    total = kept.agg(F.count(F.lit(1)).alias("total"), F.lit(1).alias("_one"))
     page = kept.orderBy(F.col("created_at").desc(), F.col("run_id").desc()).offset(offset).limit(page_size(limit))
     slim = assessments.select("assessment_id", "overall_posture", "score_value")
-    return page.join(slim, "assessment_id", "left").join(F.broadcast(total))
+    return page.withColumn("_one", F.lit(1)).join(slim, "assessment_id", "left") \
+        .join(F.broadcast(total), "_one").drop("_one")
 
 
 def first_completed_run(runs: DataFrame) -> DataFrame:
