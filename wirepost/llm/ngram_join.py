@@ -6,10 +6,10 @@ prefixes, so the order's early part alone yields candidates.  The order is then
 each fragment counts the overlap of a candidate pair on its own, and the counts are summed per pair.
 
 Pairs are not spread out within groups.  Equal sets are one class.  In every prefix shingle's list
-one hub (the set with the least before that shingle, so the one closest to what the others share) is
-compared with the rest; the verified links give first components.  Only pairs that are still in
-different components can change the result, and all of these that share a prefix shingle are
-compared in a second round.
+one hub (the set with the least before that shingle, so the one closest to what the others share)
+stands for the rest; each set is compared with the hub it shares most lists with, and the verified
+links give first components.  Only pairs that are still in different components can change the
+result, and all of these that share a prefix shingle are compared in a second round.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are alone; with
 fewer than five words the whole sequence is one shingle; rows that repeat a text are one class; rows
@@ -23,7 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirepost.llm import scratch, words
@@ -34,7 +34,9 @@ WORDS = 5
 LEAST = 80
 #: occurrences from which a shingle is ranked by its count, and how many such shingles at most are
 #: sent to every task (16 MB); any order gives the same result, this one gives short lists
-FREQUENT, RANKED = 16, 1 << 20
+FREQUENT, RANKED = 3, 1 << 20
+#: parts that a frequent shingle's list is spread over
+SALTS = 64
 FRAGMENTS = 16
 #: shingles counted together before a task reports those that repeat
 COUNTED = 1 << 21
@@ -103,42 +105,42 @@ class Order:
         self.sorted = np.sort(frequent)
         self.rank = np.argsort(frequent, kind="stable")
 
-    def __call__(self, tokens: np.ndarray) -> np.ndarray:
-        """`tokens` (ascending) in global order."""
+    def __call__(self, tokens: np.ndarray) -> tuple[np.ndarray, int]:
+        """`tokens` (ascending) in global order, and how many of them are not frequent."""
         if not len(self.sorted) or not len(tokens):
-            return tokens
+            return tokens, len(tokens)
         at = np.minimum(np.searchsorted(self.sorted, tokens), len(self.sorted) - 1)
         hit = self.sorted[at] == tokens
-        return np.concatenate([tokens[~hit], tokens[hit][np.argsort(self.rank[at[hit]], kind="stable")]])
+        rare = tokens[~hit]
+        return np.concatenate([rare, tokens[hit][np.argsort(self.rank[at[hit]], kind="stable")]]), len(rare)
 
 
 def _prefixes(k: int, least: int, frequent):
-    """(token, rank, id, n): prefix shingles of each text; rank orders a list, its upper bits are
-    the place in the set (at most 2**15 - 1), the lower are the set's own."""
+    """(token, salt, id, at): prefix shingles of each text and their places (at most 2**15 - 1) in
+    its order.  Frequent shingles are known to repeat; their salt, 1 or more, spreads them."""
     def run(batches):
         order = Order(frequent.value)
         for batch in batches:
-            out_t, out_r, out_i, out_n = [], [], [], []
-            for i, tokens in zip(batch.column(0).to_pylist(), _sets(batch.column(1), k)):
-                n = len(tokens)
-                if not n or i is None:
+            tokens, salts, ids, at = [], [], [], []
+            for i, own in zip(batch.column(0).to_pylist(), _sets(batch.column(1), k)):
+                if i is None or not len(own):
                     continue
-                own = order(tokens)[:prefix_size(n, least)]
-                mark = int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=6).digest(), "little")
-                out_t.append(own)
-                out_r.append((np.minimum(np.arange(len(own)), 32767).astype(np.int64) << 48) | mark)
-                out_i.append(np.full(len(own), i, np.int64))
-                out_n.append(np.full(len(own), n, np.int32))
-            if out_t:
+                ranked, rare = order(own)
+                m = prefix_size(len(own), least)
+                tokens.append(ranked[:m])
+                salts.append(np.where(np.arange(m) < rare, 0, 1 + i % SALTS).astype(np.int16))
+                ids.append(np.full(m, i, np.int64))
+                at.append(np.minimum(np.arange(m), 32767).astype(np.int16))
+            if tokens:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out_t).view(np.int64)), pa.array(np.concatenate(out_r)), pa.array(np.concatenate(out_i)), pa.array(np.concatenate(out_n))],
-                    ["token", "rank", "id", "n"])
+                    [pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.concatenate(c)) for c in (salts, ids, at))],
+                    ["token", "salt", "id", "at"])
     return run
 
 
-def _fragments(k: int, fragments: int):
-    """(id, other, n, fragment, tokens): a set cut along the order, once for itself (other null) if
-    it is a right side, and once for each left side it is to be compared with."""
+def _fragments(k: int, fragments: int, low: int, high: int):
+    """(id, other, fragment, tokens): fragments low .. high-1 of a set, once for itself (other null)
+    if it is the left of a pair, and once for each left side that it is to be compared with."""
     width = 64 - int(math.log2(fragments))
 
     def run(batches):
@@ -146,10 +148,10 @@ def _fragments(k: int, fragments: int):
             held, size = [], 0
             for i, lefts, right, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), _sets(batch.column(1), k)):
                 cuts = np.searchsorted(tokens, np.arange(1, fragments, dtype=np.uint64) << np.uint64(width))
-                parts = [(f, p.view(np.int64)) for f, p in enumerate(np.split(tokens, cuts)) if len(p)]
+                parts = [(f, p.view(np.int64)) for f, p in enumerate(np.split(tokens, cuts)) if len(p) and low <= f < high]
                 for other in [*(lefts or []), *([None] if right else [])]:
-                    held += [(i, other, len(tokens), f, p) for f, p in parts]
-                    size += len(tokens)
+                    held += [(i, other, f, p) for f, p in parts]
+                    size += sum(len(p) for _, p in parts)
                     if size > CUT:
                         yield _rows(held)
                         held, size = [], 0
@@ -159,26 +161,40 @@ def _fragments(k: int, fragments: int):
 
 
 def _rows(held) -> pa.RecordBatch:
-    ids, others, n, fragment, tokens = zip(*held)
+    ids, others, fragment, tokens = zip(*held)
     bounds = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(n, pa.int64()), pa.array(fragment, pa.int32()),
-         pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(tokens)))], ["id", "other", "n", "fragment", "tokens"])
+        [pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(fragment, pa.int32()),
+         pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(tokens)))], ["id", "other", "fragment", "tokens"])
 
 
-def verified(texts: DataFrame, pairs: DataFrame, k: int = WORDS, least: int = LEAST, fragments: int = FRAGMENTS) -> DataFrame:
-    """(a, b, shared, union_size) of the pairs (a, b) that reach the threshold: overlaps are counted
-    per fragment of the order and summed."""
-    asked = pairs.groupBy(F.col("b").alias("id")).agg(F.collect_list("a").alias("lefts")).withColumn("right", F.lit(False)) \
+def _overlaps(texts: DataFrame, pairs: DataFrame, k: int, fragments: int, low: int, high: int) -> DataFrame:
+    """(a, b, shared, seen_a, seen_b) of the pairs (a, b): overlaps are counted in each of the
+    fragments low .. high-1 alone and summed; seen is how much of a side met the other there."""
+    asked = pairs.groupBy(F.col("b").alias("id")).agg(F.collect_list("a").alias("lefts"), F.lit(False).alias("right")) \
         .unionByName(pairs.select(F.col("a").alias("id")).distinct().select("id", F.lit(None).cast("array<bigint>").alias("lefts"), F.lit(True).alias("right")))
-    asked = asked.groupBy("id").agg(F.max("lefts").alias("lefts"), F.max("right").alias("right"))
-    near = scratch.narrow(texts.select("id", "text"), "id", asked.select("id"))
+    asked = scratch.keep(asked.groupBy("id").agg(F.max("lefts").alias("lefts"), F.max("right").alias("right")), "asked")
+    near = scratch.narrow(texts, "id", asked.select("id"))
     cut = near.join(asked, "id").select("id", F.col("text").cast("binary").alias("text"), "lefts", "right") \
-        .mapInArrow(_fragments(k, fragments), "id bigint, other bigint, n bigint, fragment int, tokens array<bigint>")
-    left = cut.filter("other is null").select(F.col("id").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
-    right = cut.filter("other is not null").select(F.col("other").alias("a"), "fragment", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
-    partial = right.join(left, ["a", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("part"))
-    return partial.groupBy("a", "b").agg(F.sum("part").alias("shared"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b")) \
+        .mapInArrow(_fragments(k, fragments, low, high), "id bigint, other bigint, fragment int, tokens array<bigint>")
+    left = cut.filter("other is null").select(F.col("id").alias("a"), "fragment", F.col("tokens").alias("tokens_a"))
+    right = cut.filter("other is not null").select(F.col("other").alias("a"), "fragment", F.col("id").alias("b"), F.col("tokens").alias("tokens_b"))
+    partial = right.join(left, ["a", "fragment"]).select(
+        "a", "b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("part"), F.size("tokens_a").alias("part_a"), F.size("tokens_b").alias("part_b"))
+    return partial.groupBy("a", "b").agg(F.sum("part").alias("shared"), F.sum("part_a").alias("seen_a"), F.sum("part_b").alias("seen_b"))
+
+
+def verified(texts: DataFrame, pairs: DataFrame, k: int = WORDS, least: int = LEAST, fragments: int = FRAGMENTS) -> DataFrame:
+    """(a, b, shared, union_size) of the pairs (a, b, n_a, n_b) that reach the threshold.  After the
+    first quarter of the fragments, pairs that cannot reach it any more are left alone."""
+    early = max(1, fragments // 4)
+    first = _overlaps(texts, pairs.select("a", "b"), k, fragments, 0, early)
+    some = pairs.join(first, ["a", "b"], "left").na.fill(0, ["shared", "seen_a", "seen_b"])
+    most = F.col("shared") + F.least(F.col("n_a") - F.col("seen_a"), F.col("n_b") - F.col("seen_b"))
+    open_ = scratch.keep(some.filter(most * (100 + least) >= (F.col("n_a") + F.col("n_b")) * least).select("a", "b", "n_a", "n_b", "shared"), "open")
+    rest = _overlaps(texts, open_.select("a", "b"), k, fragments, early, fragments).select("a", "b", F.col("shared").alias("later"))
+    return open_.join(rest, ["a", "b"], "left") \
+        .withColumn("shared", F.col("shared") + F.coalesce("later", F.lit(0))) \
         .withColumn("union_size", F.col("n_a") + F.col("n_b") - F.col("shared")) \
         .filter(F.col("shared") * 100 >= F.col("union_size") * least).select("a", "b", "shared", "union_size")
 
@@ -186,7 +202,7 @@ def verified(texts: DataFrame, pairs: DataFrame, k: int = WORDS, least: int = LE
 def _may_reach(n_a, n_b, at_a, at_b, least: int):
     """Whether sizes and places of a shared prefix shingle leave room for the threshold."""
     low, high = F.least(n_a, n_b), F.greatest(n_a, n_b)
-    most = 1 + F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b) - 1
+    most = F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b)
     return (low * 100 >= high * least) & (most * (100 + least) >= (n_a + n_b) * least)
 
 
@@ -201,32 +217,36 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = survey.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
     frequent = counts.orderBy(F.desc("n"), "id").limit(RANKED).orderBy("n", "id").select("id").toArrow()["id"].to_numpy().astype(np.int64).view(np.uint64)
     shared = spark.sparkContext.broadcast(frequent)
-
-    entries = raw.mapInArrow(_prefixes(k, least, shared), "token bigint, rank bigint, id bigint, n int")
-    lists = entries.groupBy("token").agg(F.min("rank").alias("first"), F.max("rank").alias("last"),
-                                         F.min_by("id", "rank").alias("hub"), F.min_by("n", "rank").alias("hub_n")).filter("first <> last")
-    met = scratch.keep(entries.join(lists, "token").select("token", "rank", "id", "n", "first", "hub", "hub_n"), "met")
     classes = sizes.filter("n > 0 and id is not null").groupBy("digest", "n").agg(F.min("id").alias("rep"))
-    members = scratch.keep(sizes.join(classes, ["digest", "n"]).select("id", "rep"), "members")
-    rep_a, rep_b = members.select(F.col("id").alias("a0"), F.col("rep").alias("a")), members.select(F.col("id").alias("b0"), F.col("rep").alias("b"))
-
-    at = lambda c: F.shiftright(F.col(c), 48)
-    raw_pairs = met.filter(_may_reach(F.col("hub_n"), F.col("n"), at("first"), at("rank"), least)) \
-        .select(F.col("hub").alias("a0"), F.col("id").alias("b0")).filter("a0 <> b0").distinct()
-    stars = scratch.keep(raw_pairs.join(rep_a, "a0").join(rep_b, "b0").filter("a <> b").select("a", "b").distinct(), "stars")
+    members = scratch.keep(sizes.join(classes, ["digest", "n"]).select("id", "rep", "n"), "members")
+
+    # prefix shingles that occur in more than one text, as (token, rep, n, at)
+    entries = raw.mapInArrow(_prefixes(k, least, shared), "token bigint, salt short, id bigint, at short")
+    alike = F.count(F.lit(1)).over(Window.partitionBy("token", "salt"))
+    met = scratch.keep(entries.withColumn("alike", alike).filter("alike > 1 or salt > 0").select("token", "id", "at"), "met")
+    own = scratch.keep(met.join(members, "id").select("token", "rep", "n", "at").distinct(), "own")
+
+    # one hub per list, one pair per text: with the hub that it shares most lists with
+    lists = own.groupBy("token").agg(F.min(F.struct("at", "rep", "n")).alias("hub"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
+    spokes = own.join(lists.select("token", "hub"), "token").filter("rep <> hub.rep") \
+        .filter(_may_reach(F.col("n"), F.col("hub.n"), F.col("at"), F.col("hub.at"), least))
+    stars = scratch.keep(
+        spokes.groupBy("rep", "n", F.col("hub.rep").alias("a"), F.col("hub.n").alias("n_a")).agg(F.count(F.lit(1)).alias("lists"))
+        .groupBy("rep", "n").agg(F.max(F.struct("lists", "a", "n_a")).alias("best"))
+        .select("best.a", F.col("rep").alias("b"), "best.n_a", F.col("n").alias("n_b")), "stars")
     links = scratch.keep(verified(texts, stars, k, least, fragments).select("a", "b"), "links")
     roots = components(links)
 
-    own = met.select("token", "rank", "id", "n").join(members, "id").groupBy("token", "rank", "n").agg(F.min("rep").alias("rep"))
+    # every other pair that could still join two components
     own = own.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    own = scratch.keep(own, "own")
+    own = scratch.keep(own, "rooted")
     mixed = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-    left = own.join(mixed, "token", "left_semi")
-    right = left.select("token", F.col("rank").alias("rank_b"), F.col("n").alias("n_b"), F.col("rep").alias("b"), F.col("root").alias("root_b"))
-    rest = left.withColumnRenamed("rep", "a").join(right, "token") \
+    left = own.join(mixed, "token", "left_semi").withColumnsRenamed({"rep": "a", "n": "n_a"})
+    right = left.select("token", F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("at").alias("at_b"), F.col("root").alias("root_b"))
+    rest = left.join(right, "token") \
         .filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))
-                & _may_reach(F.col("n"), F.col("n_b"), at("rank"), at("rank_b"), least)).select("a", "b").distinct()
-    tried = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+                & _may_reach(F.col("n_a"), F.col("n_b"), F.col("at"), F.col("at_b"), least)).select("a", "b", "n_a", "n_b").distinct()
+    tried = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     second = scratch.keep(rest.join(tried, ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
         more = scratch.keep(verified(texts, second, k, least, fragments).select("a", "b"), "links")

@@ -32,4 +32,45 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.
 l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n_shingles + y.n_shingles - c)),
 r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.root FROM r JOIN l ON r.doc_id = l.a)
 SELECT n.doc_id, n_shingles, min(root) AS component_id FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY 1, 2""",
+    "op8_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, i, array_to_string(words[i:i + 34], ' ') AS span
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY span) AS n FROM s) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS at FROM r),
+kept AS (SELECT doc_id, list(word ORDER BY at) AS words FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM w)
+         ANTI JOIN gone USING (doc_id, at) GROUP BY 1)
+SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(len(w.words) - coalesce(len(kept.words), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(kept.words, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id""",
+    "op4_url_reputation": r"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+o AS (SELECT doc_id, CASE WHEN min(quality) = max(quality) THEN 1 - max(quality) END AS bad FROM labels GROUP BY 1),
+p AS (SELECT host, count(o.bad) AS n, coalesce(sum(o.bad), 0) AS bad FROM u LEFT JOIN o ON page_id = doc_id GROUP BY 1),
+b AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS bare FROM p),
+t AS (SELECT *, string_split(bare, '.') AS q, NOT contains(bare, '.') OR regexp_full_match(bare, '[0-9.]+') AS alone FROM b),
+d AS (SELECT *, array_to_string(q[-2:], '.') IN ('ac.uk', 'co.jp', 'co.uk', 'com.au', 'com.br', 'gov.uk', 'org.uk') AS two FROM t),
+h AS (SELECT host, n, bad, CASE WHEN alone THEN bare WHEN two THEN array_to_string(q[-3:], '.') ELSE array_to_string(q[-2:], '.') END AS domain,
+  CASE WHEN alone THEN '' WHEN two THEN array_to_string(q[-2:], '.') ELSE q[-1] END AS suffix FROM d),
+g AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS mean, sum(n) AS n FROM h),
+s0 AS (SELECT suffix, sum(h.n) AS n, sum(bad) AS bad, any_value(g.mean) AS above FROM h, g GROUP BY 1),
+ks AS (SELECT 1 / least(greatest((sum(n * pow(bad / n - above, 2) / greatest(above * (1 - above), 1e-9)) - count(*)) / greatest(sum(n - 1), 1), 0.005), 0.5) - 1 AS k FROM s0 WHERE n > 0),
+s1 AS (SELECT suffix, (coalesce(k, 199) * above + bad) / (coalesce(k, 199) + n) AS mean FROM s0, ks),
+d0 AS (SELECT h.suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(s1.mean) AS above FROM h JOIN s1 ON h.suffix = s1.suffix GROUP BY 1, 2),
+kd AS (SELECT 1 / least(greatest((sum(n * pow(bad / n - above, 2) / greatest(above * (1 - above), 1e-9)) - count(*)) / greatest(sum(n - 1), 1), 0.005), 0.5) - 1 AS k FROM d0 WHERE n > 0),
+d1 AS (SELECT domain, (coalesce(k, 199) * above + bad) / (coalesce(k, 199) + n) AS mean FROM d0, kd),
+h0 AS (SELECT host, n, bad, d1.mean AS above FROM h JOIN d1 ON h.domain = d1.domain),
+kh AS (SELECT 1 / least(greatest((sum(n * pow(bad / n - above, 2) / greatest(above * (1 - above), 1e-9)) - count(*)) / greatest(sum(n - 1), 1), 0.005), 0.5) - 1 AS k FROM h0 WHERE n > 0),
+h1 AS (SELECT host, n, coalesce(k, 199) AS k, (coalesce(k, 199) * above + bad) / (coalesce(k, 199) + n) AS mean FROM h0, kh),
+h2 AS (SELECT host, mean, CASE WHEN (SELECT n FROM g) = 0 THEN 0.0 ELSE mean - 2 * sqrt(mean * (1 - mean) / (k + n + 1)) END AS bound FROM h1),
+r AS (SELECT u.*, mean, bound, CASE
+  WHEN (u.host = 'example.net' OR ends_with(u.host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (u.host = 'example.com' OR ends_with(u.host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (u.host = 'org' OR ends_with(u.host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (u.host = 'net' OR ends_with(u.host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM u JOIN h2 ON u.host = h2.host)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict, mean, bound FROM r""",
 }

@@ -37,23 +37,33 @@ def _slot(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
 
 
-def narrow(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows of `df` whose `key` may occur in the first column of `wanted`; no wanted row is lost.
+def _marked(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """`df` with __maybe, false where `key` does not occur in the first column of `wanted`.
 
-    A bitmap over hashed keys, at most 2**20 rows however large `wanted` is, goes to every task, so
-    that rows nobody asks for (texts, mostly) need no shuffle.  False positives remain: an exact
-    join follows.  A full bitmap only stops helping."""
+    A bitmap over hashed keys, at most 2**20 rows however large `wanted` is, goes to every task.
+    False positives remain; a full bitmap only stops helping."""
     name = wanted.columns[0]
     bits = (wanted.select(_slot(F.col(name)).alias("slot")).distinct()
             .groupBy(F.shiftright("slot", 6).alias("__word"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("__bits")))
-    at = _slot(F.col(key))
-    return (df.withColumns({"__at": at})
-            .join(F.broadcast(bits), F.shiftright("__at", 6) == F.col("__word"))
-            .filter(F.expr("(shiftright(__bits, cast(__at & 63 as int)) & 1L) = 1L"))
+    return (df.withColumns({"__at": _slot(F.col(key))})
+            .join(F.broadcast(bits), F.shiftright("__at", 6) == F.col("__word"), "left")
+            .withColumn("__maybe", F.expr("coalesce((shiftright(__bits, cast(__at & 63 as int)) & 1L) = 1L, false)"))
             .drop("__at", "__word", "__bits"))
 
 
+def narrow(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of `df` whose `key` may occur in the first column of `wanted`: no wanted row is lost, and
+    rows nobody asks for (texts, mostly) need no shuffle.  An exact join follows."""
+    return _marked(df, key, wanted).filter("__maybe").drop("__maybe")
+
+
+def split(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may be wanted, rows that are certainly not)."""
+    marked = _marked(df, key, wanted)
+    return marked.filter("__maybe").drop("__maybe"), marked.filter("not __maybe").drop("__maybe")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, which need not have it installed (once a session)."""
     sc = spark.sparkContext
