@@ -131,9 +131,11 @@ def matrix(spark, sf):
         .select("grp", "vec_id", "column", F.round(F.col("v").cast("double"), 4).alias("value"))
 
 
-@query("dataset_hash", f"""WITH {L6}, rw AS (SELECT grp, vec_id, substr(sha256(string_agg(printf('%.6f', value + 0.0), ',' ORDER BY "column")), 1, 16) AS h FROM e GROUP BY 1, 2),
-  cn AS (SELECT grp, h, count(*) AS n FROM rw GROUP BY 1, 2), pf AS (SELECT grp, substr(h, 1, 3) AS p, sha256(string_agg(h || ':' || CAST(n AS VARCHAR), '|' ORDER BY h)) AS d, sum(n) AS n FROM cn GROUP BY 1, 2)
-  SELECT grp, substr(sha256(string_agg(p || ':' || d, '|' ORDER BY p)), 1, 16) AS dataset_hash, sum(n) AS rows FROM pf GROUP BY 1""")
+_HASHED = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
+
+
+@query("dataset_hash", f"""WITH {L6}, rw AS (SELECT grp, vec_id, sha256(string_agg(printf('%.6f', value + 0.0), ',' ORDER BY "column")) AS h FROM e GROUP BY 1, 2)
+  SELECT grp, substr(sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {_HASHED})), 1, 16) AS dataset_hash, count(*) AS rows FROM rw GROUP BY 1""")
 def dataset_hash(spark, sf):
     lifts.register(spark, sf, "embeddings")
     rows = spark.table("embeddings").select(
@@ -201,7 +203,7 @@ def reference_row(spark, sf):
   j AS (SELECT e.*, med AS ref, pow(value - mean, 2) AS d2, pow(med - mean, 2) AS r2, sum(pow(value - mean, 2)) OVER (PARTITION BY e.grp, vec_id) AS s FROM e
     JOIN mn ON e.grp = mn.grp AND e."column" = mn."column" JOIN st ON e.grp = st.grp AND e."column" = st."column"),
   p AS (SELECT *, row_number() OVER (PARTITION BY grp, vec_id ORDER BY abs(value - ref) DESC, "column") AS pr FROM j WHERE value <> ref),
-  d AS (SELECT *, sqrt(s) - sqrt(greatest(s - d2 + r2, 0)) AS delta FROM p WHERE pr <= 40),
+  d AS (SELECT *, sqrt(s) - sqrt(greatest(s - d2 + r2, 0)) AS delta FROM p),
   k AS (SELECT *, row_number() OVER (PARTITION BY grp, vec_id ORDER BY delta DESC, pr) AS place FROM d WHERE delta > 0)
   SELECT grp, vec_id, place, "column", round(delta, 6) AS delta, CASE WHEN value > ref THEN 'above_normal' ELSE 'below_normal' END AS direction FROM k WHERE place <= 5""")
 def occlusion(spark, sf):
@@ -214,8 +216,7 @@ def occlusion(spark, sf):
   UNION ALL SELECT grp, vec_id, 'all', round(sum(abs(z)), 4) FROM z GROUP BY 1, 2
   UNION ALL SELECT grp, vec_id, 'without_first_eight', round(sum(CASE WHEN "column" >= 8 THEN abs(z) ELSE 0 END), 4) FROM z GROUP BY 1, 2""")
 def ablation(spark, sf):
-    width = range(4096)
-    subsets = {"first_half": list(width[:32]), "all": list(width), "without_first_eight": list(width[8:])}
+    subsets = {"first_half": lambda c: c < 32, "all": None, "without_first_eight": lambda c: c >= 8}
     return evaluation.ablation(matrix(spark, sf), subsets, ["grp"], "vec_id").withColumn("score", F.round("score", 4))
 
 

@@ -105,9 +105,8 @@ FROM (
 
 
 def certificates_sql(d) -> str:
-    """lineitem as certificates of the stream with the same key, at most ten a stream."""
+    """lineitem as certificates of the stream with the same key."""
     return f"""
-SELECT * FROM (
   SELECT l_orderkey AS tcp_stream_id,
     CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
          l_shipdate, l_extendedprice) - 1 AS INT) AS idx,
@@ -119,7 +118,7 @@ SELECT * FROM (
     'k' || CAST(l_partkey % 5 AS STRING) AS aki,
     CASE l_returnflag WHEN 'A' THEN '1.2.840.113549.1.1.11' WHEN 'N' THEN '1.2.840.113549.1.1.5'
          ELSE '1.2.3.4' END AS sig_oid
-  FROM lineitem) c WHERE idx < 10"""
+  FROM lineitem"""
 
 
 def flat_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from queries import cross_queries, lifts
 from queries import posture_queries as pq
+from queries.anomaly_queries import _LB, FT, LANE
 from queries import rule_queries as rq
-from queries.base import DIM_SIG, S, lit, query, values  # noqa: F401
+from queries.base import DIM_SIG, FR, S, lit, query, values  # noqa: F401
 from queries.session_queries import SESSIONS  # noqa: F401
 from wirepost.functions import casts, vocab
 from wirepost.operators import anomaly, cross, fusion, marts, rules, scoring
+from wirepost.plans import lineage
 from wirepost.sources import catalog, ek
 from wirepost.streaming import ingest
 
@@ -36,15 +36,15 @@ def assessments(spark, sf):
     return spark.sql(ASSESS.format(sha="sha2(c_name, 256)"))
 
 
-@query("content_hash", """SELECT doc_id, sha256('doc_id=' || CAST(doc_id AS VARCHAR) || '|lang=' || coalesce(lang, 'null') || '|source=' || coalesce(source, 'null') || '|text=' || text) AS h FROM documents""")
+@query("content_hash", """SELECT doc_id, sha256(CAST(to_json({'doc_id': doc_id, 'lang': nullif(lang, 'de'), 'source': source, 'text': text}) AS VARCHAR)) AS h FROM documents""")
 def content_hash(spark, sf):
     lifts.register(spark, sf, "documents")
-    d = spark.table("documents").select("doc_id", "text", "lang", "source", F.col("n_chars").alias("run_id"))
+    d = spark.table("documents").select("doc_id", "text", F.nullif("lang", F.lit("de")).alias("lang"), "source", F.col("n_chars").alias("run_id"))
     return d.select("doc_id", catalog.content_hash(d).alias("h"))
 
 
 @query("upsert_assessments", """WITH n AS (SELECT o_orderkey, 'a' || CAST(o_custkey + o_orderkey % 2 * 700 AS VARCHAR) AS assessment_id, sha256(CASE WHEN o_orderkey % 5 = 0 THEN 'changed' ELSE 'Customer#' || lpad(CAST(o_custkey + o_orderkey % 2 * 700 AS VARCHAR), 9, '0') END) AS h FROM orders)
-  SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'insert' WHEN h = sha256(c_name) THEN 'replay' ELSE 'conflict' END AS action FROM n LEFT JOIN customer ON assessment_id = 'a' || CAST(c_custkey AS VARCHAR)""")
+  SELECT o_orderkey, CASE WHEN h = sha256(c_name) THEN 'replay' WHEN c_custkey IS NOT NULL OR several THEN 'conflict' ELSE 'insert' END AS action FROM (SELECT *, min(h) OVER w <> max(h) OVER w AS several FROM n WINDOW w AS (PARTITION BY assessment_id)) LEFT JOIN customer ON assessment_id = 'a' || CAST(c_custkey AS VARCHAR)""")
 def upsert_assessments(spark, sf):
     lifts.register(spark, sf, "orders")
     new = spark.sql("""SELECT o_orderkey, concat('a', o_custkey + o_orderkey % 2 * 700) AS assessment_id, sha2(CASE WHEN o_orderkey % 5 = 0 THEN 'changed'
@@ -53,7 +53,7 @@ def upsert_assessments(spark, sf):
 
 
 @query("list_runs", f"""WITH r AS ({RUNS}), a AS ({ASSESS.format(sha='sha256(c_name)')}), k AS (SELECT * FROM r WHERE state = 'COMPLETED'),
-  p AS (SELECT *, (SELECT count(*) FROM k) AS total FROM k ORDER BY created_at DESC, run_id DESC LIMIT 100 OFFSET 40) SELECT run_id, p.assessment_id, overall_posture, total FROM p LEFT JOIN a ON p.assessment_id = a.assessment_id""")
+  p AS (SELECT *, (SELECT count(*) FROM k) AS total FROM k ORDER BY created_at DESC, run_id DESC LIMIT 500 OFFSET 40) SELECT run_id, p.assessment_id, overall_posture, total FROM p LEFT JOIN a ON p.assessment_id = a.assessment_id""")
 def list_runs(spark, sf):
     return catalog.list_runs(runs(spark, sf), assessments(spark, sf), state="COMPLETED", limit=500, offset=40) \
         .select("run_id", "assessment_id", "overall_posture", "total")
@@ -197,7 +197,7 @@ def report_summary(spark, sf):
     return marts.report_summary(scoring.posture_score(gr, cov), cov, gr, fusion.abstentions(kl)).drop("score_text")
 
 
-@query("report_prioritised", f"{G}, {pq.PRI} SELECT capture_id, rank, {MARKER} || ' ' || severity AS severity, {human_sql('issue_class')} AS issue, recurrence AS sessions, count(*) OVER (PARTITION BY capture_id) AS of, false AS truncated FROM pri")
+@query("report_prioritised", f"{G}, {pq.PRI} SELECT capture_id, rank, {MARKER} || ' ' || severity AS severity, {human_sql('issue_class')} AS issue, recurrence AS sessions, count(*) OVER (PARTITION BY capture_id) AS of FROM pri")
 def report_prioritised(spark, sf):
     return marts.report_prioritised(scoring.prioritise(pq.groups(spark, sf))).drop("priority")
 
@@ -209,10 +209,10 @@ def report_issues(spark, sf):
     return marts.report_issues(g, scoring.prioritise(g)).select("capture_id", "issue_class", "fact_kind", "severity", "recurrence", "representative")
 
 
-@query("frame_label", f"""WITH {S} SELECT stream_key, CASE WHEN last_frame = first_frame THEN '#' || CAST(first_frame AS VARCHAR) WHEN packet_count = last_frame - first_frame + 1 AND packet_count > 1 THEN '#' || CAST(first_frame AS VARCHAR) || '–#' || CAST(last_frame AS VARCHAR)
-   WHEN packet_count = 0 THEN '—' WHEN packet_count = 1 THEN '#' || CAST(first_frame AS VARCHAR) ELSE '#' || CAST(first_frame AS VARCHAR) || ' +' || CAST(packet_count - 1 AS VARCHAR) END AS label FROM s WHERE last_frame > first_frame""")
+@query("frame_label", f"""WITH {S} SELECT stream_key, CASE WHEN packet_count = last_frame - first_frame + 1 AND packet_count > 1 THEN '#' || CAST(first_frame AS VARCHAR) || '–#' || CAST(last_frame AS VARCHAR)
+   WHEN packet_count = 0 THEN '—' WHEN packet_count = 1 THEN '#' || CAST(first_frame AS VARCHAR) ELSE '#' || CAST(first_frame AS VARCHAR) || ' +' || CAST(packet_count - 1 AS VARCHAR) END AS label FROM s""")
 def frame_label(spark, sf):
-    s = lifts.flat_sessions(spark, sf).filter(F.col("last_frame") > F.col("first_frame"))
+    s = lifts.flat_sessions(spark, sf)
     return s.select("stream_key", casts.frame_label(F.col("first_frame"), F.col("last_frame"), F.col("packet_count")).alias("label"))
 
 
@@ -272,23 +272,23 @@ def assess_posture(spark, sf):
                                               "duplicate_sources_merged", "rule_ids")
 
 
-@query("anomaly_facts")
+@query("anomaly_facts", f"WITH {S}, {FT}, {LANE} SELECT capture_id, stream_key, 'ANOMALY' AS issue_class, 'ANOMALY_SIGNAL' AS fact_kind, 'INFO' AS severity, band AS ml_band FROM ab WHERE band = 'ANOMALOUS'")
 def anomaly_facts(spark, sf):
     """Anomaly signals beside the facts; the score never moves."""
     ctx = cross.cross_context(lifts.sessions(spark, sf), dominant=True)
     return fusion.anomaly_facts(anomaly.anomaly_lane(ctx)).select("capture_id", "stream_key", "issue_class", "fact_kind", "severity", "ml_band")
 
 
-@query("model_summary")
+@query("model_summary", f"WITH {S}, {FT}, {LANE} SELECT capture_id, count(*) AS results, count(score) AS scored, count(*) - count(score) AS abstained, round(max(threshold), 3) AS threshold, {_LB} FROM ab GROUP BY 1")
 def model_summary(spark, sf):
-    return fusion.model_summary(anomaly.anomaly_lane(cross.cross_context(lifts.sessions(spark, sf), dominant=True)))
+    return fusion.model_summary(anomaly.anomaly_lane(cross.cross_context(lifts.sessions(spark, sf), dominant=True))).withColumn("threshold", F.round("threshold", 3))
 
 
 # ------------------------------------------------------------------------------- streaming
-@query("stream_frames")
+@query("stream_frames", f"WITH {FR} SELECT app_protocol, count(*) AS frames FROM fr GROUP BY 1")
 def stream_frames(spark, sf):
     """The packet lines written as files, read back as a stream."""
-    base = tempfile.mkdtemp(prefix="wirepost-stream-")
+    base = lineage.scratch(spark, "stream")
     lifts.ek_lines(spark, sf).select("value").write.mode("overwrite").text(f"{base}/in")
     q = ingest.stream_frames(spark, f"{base}/in").writeStream.format("parquet").option("checkpointLocation", f"{base}/ckpt") \
         .trigger(availableNow=True).start(f"{base}/out")
@@ -296,29 +296,38 @@ def stream_frames(spark, sf):
     return spark.read.parquet(f"{base}/out").groupBy("app_protocol").agg(F.count(F.lit(1)).alias("frames"))
 
 
-@query("foreach_batch_upsert")
+@query("foreach_batch_upsert", f"""WITH a AS ({ASSESS.format(sha='sha256(c_name)')}), k AS (SELECT *, CAST(substr(assessment_id, 2) AS BIGINT) AS n FROM a)
+  SELECT 'stored' AS part, overall_posture, count(*) AS assessments FROM k WHERE n % 3 <> 0 OR n % 2 = 0 GROUP BY 1, 2
+  UNION ALL SELECT 'conflict', overall_posture, sum(CASE WHEN n % 3 <> 0 THEN 1 ELSE 2 END) FROM k WHERE n % 2 = 1 GROUP BY 1, 2""")
 def foreach_batch_upsert(spark, sf):
-    base = tempfile.mkdtemp(prefix="wirepost-upsert-")
+    """First two thirds arrive, then all with every second one replayed or new, and every other one
+    under another content: a conflict where stored, and where both contents of a new id arrive."""
+    base = lineage.scratch(spark, "upsert")
     a = assessments(spark, sf)
-    a.write.mode("overwrite").parquet(f"{base}/in")
-    q = spark.readStream.schema(a.schema).parquet(f"{base}/in").writeStream.foreachBatch(ingest.assessment_upsert(f"{base}/stored", f"{base}/conflicts")) \
-        .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/stored").groupBy("overall_posture").agg(F.count(F.lit(1)).alias("assessments"))
-
-
-@query("write_assessments")
+    n = F.substr("assessment_id", F.lit(2)).cast("bigint")
+    changed = a.filter(n % 2 == 1).withColumn("content_sha256", F.sha2("content_sha256", 256))
+    again = a.filter((n % 2 == 0) | (n % 3 == 0)).unionByName(changed)
+    for step, part in enumerate((a.filter(n % 3 != 0), again)):
+        part.coalesce(1).write.parquet(f"{base}/in{step}")
+        q = spark.readStream.schema(a.schema).parquet(f"{base}/in{step}").writeStream.foreachBatch(ingest.assessment_upsert(f"{base}/stored", f"{base}/conflicts")) \
+            .option("checkpointLocation", f"{base}/ckpt{step}").trigger(availableNow=True).start()
+        q.awaitTermination()
+    count = lambda part, at: spark.read.schema(a.schema).parquet(f"{base}/{at}").groupBy(F.lit(part).alias("part"), "overall_posture").agg(F.count(F.lit(1)).alias("assessments"))
+    return count("stored", "stored").unionByName(count("conflict", "conflicts"))
+
+
+@query("write_assessments", f"{pq.SCORE_SQL} SELECT band, capture_id FROM sc")
 def write_assessments(spark, sf):
-    path = tempfile.mkdtemp(prefix="wirepost-docs-") + "/out"
+    path = lineage.scratch(spark, "docs")
     catalog.write_assessments(pq.scored(spark, sf), path)
     return spark.read.text(path).select("band", F.get_json_object("value", "$.capture_id").alias("capture_id"))
 
 
-@query("read_ek")
+@query("read_ek", f"WITH {FR} SELECT frame_number, src_ip, src_port, app_protocol FROM fr")
 def read_ek(spark, sf):
-    path = tempfile.mkdtemp(prefix="wirepost-ek-") + "/in"
-    lifts.ek_lines(spark, sf).select("value").write.mode("overwrite").text(path)
-    return ek.read_ek(spark, path).select(F.size("layers").alias("layers")).groupBy("layers").agg(F.count(F.lit(1)).alias("packets"))
+    path = lineage.scratch(spark, "ek")
+    lifts.ek_lines(spark, sf).select("value").write.text(path)
+    return ek.frames_from(ek.read_ek(spark, path)).select("frame_number", "src_ip", "src_port", "app_protocol")
 
 
 # --------------------------------------------------------------------------------- extensions

@@ -309,7 +309,7 @@ def standards_summary(spark, sf):
 
 
 @query("remediation_summary", f"""WITH {U}, {FU}, {GR}, r AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY sr DESC, recurrence DESC, issue_class, fact_kind) AS position
-    FROM gr WHERE actionable) SELECT capture_id, position, issue_class, fact_kind, severity, recurrence FROM r WHERE position <= 20""")
+    FROM gr WHERE actionable) SELECT capture_id, position, issue_class, fact_kind, severity, recurrence FROM r""")
 def remediation_summary(spark, sf):
     return fusion.remediation_summary(groups(spark, sf)).select("capture_id", "position", "issue_class", "fact_kind", "severity", "recurrence")
 

@@ -71,11 +71,11 @@ def decode_payload(spark, sf):
     return projected(spark, sf).select("frame_number", "payload_text")
 
 
-@query("decode_documents", "SELECT doc_id, substr(text, 1, 4096) AS payload FROM documents WHERE strlen(text) = length(text)")
+@query("decode_documents", "SELECT doc_id, nullif(text, '') AS payload FROM documents")
 def decode_documents(spark, sf):
-    """Long plain-ASCII texts through the payload decoder and its byte limit."""
+    """Whole texts through the payload decoder."""
     lifts.register(spark, sf, "documents")
-    d = spark.table("documents").filter(F.octet_length("text") == F.length("text"))
+    d = spark.table("documents")
     colons = F.regexp_replace(F.hex("text"), "(..)(?!$)", "$1:")
     return d.select("doc_id", casts.decode_payload(colons).alias("payload"))
 
@@ -120,9 +120,15 @@ def project_frames(spark, sf):
         "mail.pop_response_description", "has_payload")
 
 
+@query("flag_ceiling", f"WITH {FR} SELECT capture_id, frame_number, count(*) OVER (PARTITION BY capture_id) > 1500 AS limit_exceeded FROM fr")
+def flag_ceiling(spark, sf):
+    return ek.flag_ceiling(lifts.frames(spark, sf), 1500).select("capture_id", "frame_number", "limit_exceeded")
+
+
 @query("cap_frames", f"""WITH {FR}, n AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY frame_number) AS rn, count(*) OVER (PARTITION BY capture_id) AS total FROM fr)
   SELECT capture_id, frame_number, total > 1500 AS limit_exceeded FROM n WHERE rn <= 1500""")
 def cap_frames(spark, sf):
+    """The cut is what this operator is asked for; `flag_ceiling` keeps every frame."""
     return ek.cap_frames(lifts.frames(spark, sf), 1500).select("capture_id", "frame_number", "limit_exceeded")
 
 

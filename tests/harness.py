@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -77,7 +78,7 @@ def main(argv):
     import __spark_entry__ as entry
     sf = argv[0] if argv else "0.01"
     only = argv[1:]
-    spark = build("local[8]", 8)
+    spark = build(os.environ.get("HARNESS_MASTER", "local[8]"), 8)
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"{TESTDATA}/sf{sf}"
     con = duck(sf_dir)

@@ -61,12 +61,11 @@ def to_epoch(text: Column) -> Column:
     return F.coalesce(to_float(text), iso)
 
 
-def decode_payload(text: Column, limit: int = vocab.PAYLOAD_LIMIT) -> Column:
-    """Colon-separated hex to text, bounded; bad UTF-8 becomes the replacement character."""
-    digits = F.trim(F.regexp_replace(text, ":", ""))
-    head = F.substring(digits, 1, 2 * limit)
-    clean = head.rlike(r"^([0-9a-fA-F]{2})+$")
-    return F.when(clean, F.make_valid_utf8(F.unhex(head).cast("string")))
+def decode_payload(text: Column) -> Column:
+    """Colon-separated hex to text; bad UTF-8 becomes the replacement character."""
+    digits = F.trim(F.replace(text, F.lit(":"), F.lit("")))
+    clean = (digits != "") & (F.length(digits) % 2 == 0) & ~digits.rlike("[^0-9a-fA-F]")
+    return F.when(clean, F.make_valid_utf8(F.unhex(digits).cast("string")))
 
 
 def int_set(col: Column, values) -> Column:
@@ -89,7 +88,7 @@ def finding_id(*parts: Column) -> Column:
 # ------------------------------------------------------------------------- report text
 def humanise(col: Column) -> Column:
     words = F.lower(F.replace(F.coalesce(col, F.lit("")), F.lit("_"), F.lit(" ")))
-    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 10_000))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2)))
 
 
 def lookup(table: dict[str, str], col: Column, default: Column) -> Column:
@@ -139,5 +138,6 @@ def percent_text(col: Column) -> Column:
 
 
 def clip(col: Column, limit: int = vocab.MAX_CLIP) -> Column:
+    """A short form for display; keep the text itself beside it."""
     return F.when(F.length(col) <= limit, col) \
         .otherwise(F.concat(F.substring(col, 1, limit), F.lit(" […truncated]")))

@@ -75,7 +75,6 @@ MAIL_PORTS = {
 PORT_CLASSES = {25: "smtp", 587: "submission", 465: "smtps", 143: "imap",
                 993: "imaps", 110: "pop3", 995: "pop3s"}
 
-PAYLOAD_LIMIT = 4096
 MAX_FRAMES = 2_000_000
 TLS_VERSIONS = {0x0200: "SSL2.0", 0x0300: "SSL3.0", 0x0301: "TLS1.0",
                 0x0302: "TLS1.1", 0x0303: "TLS1.2", 0x0304: "TLS1.3"}
@@ -285,8 +284,6 @@ KEY_USAGE_OIDS = {
 }
 DEPRECATED_HASHES = ["MD2", "MD5", "SHA-1"]
 MAX_CHAIN = 10
-MAX_TEXT = 256
-MAX_SAN = 32
 MIN_RSA_BITS = 2048
 
 # ------------------------------------------------------------------ fixed values: posture
@@ -418,7 +415,6 @@ SEVERITY_MARKER = {"CRITICAL": "[!!!]", "HIGH": "[!! ]", "MEDIUM": "[!  ]", "LOW
 DISPLAY_SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"]
 UNATTRIBUTED = "__unattributed__"
 UNATTRIBUTED_LABEL = "Not attributed to a protocol"
-MAX_REPORT_ROWS = 500
 MAX_CLIP = 2000
 #: (id, display order) of the overview distributions
 OTHER = "__other__"

@@ -80,7 +80,6 @@ VERSION_ORDINAL = {"SSL3.0": 1.0, "TLS1.0": 2.0, "TLS1.1": 3.0, "TLS1.2": 4.0, "
 MAD_TO_SIGMA = 1.4826
 NOVELTY = 3.0
 MIN_SCALE = 1e-6
-MAX_PROBES = 40
 BORDERLINE_MARGIN = 0.15
 # --------------------------------------------------------------------- end of fixed values
 GROUPS = ["PROTOCOL", "TLS", "STRUCTURE", "AUTH", "CONTEXT"]
@@ -215,21 +214,23 @@ def layout_signature(groups=None, exclude=()) -> Column:
     return F.substring(F.sha2(F.lit(text), 256), 1, 16)
 
 
+def row_text(row: Column) -> Column:
+    return F.array_join(F.transform(row, lambda v: F.format_string("%.6f", v)), ",")
+
+
 def row_hash(row: Column) -> Column:
-    text = F.array_join(F.transform(row, lambda v: F.format_string("%.6f", v)), ",")
-    return F.substring(F.sha2(text, 256), 1, 16)
+    """Short display id of a row; groups and joins use the whole hash."""
+    return F.substring(F.sha2(row_text(row), 256), 1, 16)
 
 
 def dataset_hash(matrix: DataFrame, keys: list[str]) -> DataFrame:
-    """Order-free identity of a matrix: equal row hashes are counted, the counted hashes hashed
-    by prefix, and the prefixes hashed together, so no task holds more than one prefix."""
-    counted = matrix.groupBy(*keys, row_hash(F.col("row")).alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    line = F.concat_ws(":", "h", F.col("n").cast("string"))
-    by_prefix = counted.groupBy(*keys, F.substring("h", 1, 3).alias("p")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "|"), 256).alias("d"), F.sum("n").alias("n"))
-    whole = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "p", "d"))), "|")
-    return by_prefix.groupBy(*keys).agg(F.substring(F.sha2(whole, 256), 1, 16).alias("dataset_hash"),
-                                        F.sum("n").alias("rows"))
+    """Order-free identity of a matrix: the rows' hashes are added as four integers of 64 bits each
+    (twice 32, in decimals that do not overflow), so nothing is collected or sorted."""
+    h = F.sha2(row_text(F.col("row")), 256)
+    parts = [F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)") for i in range(8)]
+    sums = matrix.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(p).alias(f"_s{i}") for i, p in enumerate(parts)])
+    text = F.concat_ws("|", F.col("rows").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(8)])
+    return sums.select(*keys, F.substring(F.sha2(text, 256), 1, 16).alias("dataset_hash"), "rows")
 
 
 # -------------------------------------------------------------------- long-form models
@@ -284,7 +285,7 @@ def score_mean(long: DataFrame, means: DataFrame, keys: list[str], row: str) ->
 
 
 def occlusion(long: DataFrame, means: DataFrame, reference: DataFrame, keys: list[str], row: str,
-              k: int = 5, probes: int = MAX_PROBES) -> DataFrame:
+              k: int = 5) -> DataFrame:
     """How much the mean-distance score drops when one column is reset to the typical row.
 
     The reset score has a closed form in the squared distance, so nothing is scored again.
@@ -295,7 +296,7 @@ def occlusion(long: DataFrame, means: DataFrame, reference: DataFrame, keys: lis
         .withColumns({"_d2": d * d, "_r2": r * r}).withColumn("_s", F.sum("_d2").over(each))
     away = F.abs(F.col("value") - F.col("reference"))
     near = joined.filter(F.col("value") != F.col("reference")).withColumn(
-        "_p", F.row_number().over(each.orderBy(away.desc(), "column"))).filter(F.col("_p") <= probes)
+        "_p", F.row_number().over(each.orderBy(away.desc(), "column")))
     delta = F.sqrt("_s") - F.sqrt(F.greatest(F.col("_s") - F.col("_d2") + F.col("_r2"), F.lit(0.0)))
     raised = near.withColumn("delta", delta).filter(F.col("delta") > 0)
     return raised.withColumn("place", F.row_number().over(each.orderBy(F.col("delta").desc(), "_p"))) \

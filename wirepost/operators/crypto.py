@@ -118,11 +118,6 @@ def cert_epoch(col: Column) -> Column:
                   days.cast("bigint") * 86400 + hour * 3600 + minute * 60 + second)
 
 
-def cap_text(col: Column) -> Column:
-    return F.when(F.length(col) <= vocab.MAX_TEXT, col) \
-        .otherwise(F.concat(F.substring(col, 1, vocab.MAX_TEXT), F.lit("...[truncated]")))
-
-
 def self_signed(ski: Column, aki: Column) -> Column:
     """Key identifiers equal; null when either is absent or empty."""
     return F.when((F.coalesce(ski, F.lit("")) != "") & (F.coalesce(aki, F.lit("")) != ""),
@@ -134,14 +129,14 @@ def build_chain(df: DataFrame, x509: str = "x509") -> DataFrame:
 
     A list belongs to single certificates only when its length says so: one entry each, or two
     for the validity dates.  Alternative names are attributed to a lone certificate only, and
-    distinguished-name text never is.
+    distinguished-name text never is.  Every certificate and every text is kept whole;
+    `chain_truncated` only tells a display that the chain is longer than it may want to show.
     """
     lists = {name: F.coalesce(F.col(x509)[name], F.array().cast("array<string>"))
              for name in vocab.X509_FIELD_NAMES}
     n_all = F.when(F.size(lists["serials"]) > 0, F.size(lists["serials"])) \
         .otherwise(F.size(lists["cert_elements"]))
-    out = df.withColumn("_n", F.least(n_all, F.lit(vocab.MAX_CHAIN))) \
-        .withColumn("chain_truncated", n_all > vocab.MAX_CHAIN)
+    out = df.withColumn("_n", n_all).withColumn("chain_truncated", n_all > vocab.MAX_CHAIN)
     n = F.col("_n")
 
     def take(name: str, i: Column, per: int = 1, plus: int = 0) -> Column:
@@ -152,16 +147,14 @@ def build_chain(df: DataFrame, x509: str = "x509") -> DataFrame:
         ski, aki = take("subject_key_ids", i), take("authority_key_ids", i)
         before, after = take("validity_utc", i, 2), take("validity_utc", i, 2, 1)
         return F.struct(
-            i.cast("int").alias("idx"), cap_text(take("serials", i)).alias("serial"),
+            i.cast("int").alias("idx"), take("serials", i).alias("serial"),
             take("versions", i).alias("version"),
             cert_epoch(before).alias("not_before"), cert_epoch(after).alias("not_after"),
-            cap_text(before).alias("not_before_text"), cap_text(after).alias("not_after_text"),
+            before.alias("not_before_text"), after.alias("not_after_text"),
             F.when(F.coalesce(modulus, F.lit("")) != "", "RSA").alias("key_algorithm"),
             rsa_bits(modulus).alias("key_bits"), ski.alias("ski"), aki.alias("aki"),
             self_signed(ski, aki).alias("self_signed"),
-            F.when(n == 1, F.transform(
-                F.slice(F.filter(lists["san_dns"], lambda s: s != ""), 1, vocab.MAX_SAN),
-                cap_text)).alias("san"))
+            F.when(n == 1, F.filter(lists["san_dns"], lambda s: s != "")).alias("san"))
 
     index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     out = out.withColumn("certificates", F.transform(index, certificate))
@@ -190,12 +183,12 @@ def links(certs: Column) -> Column:
 
 
 def chain_arrays(certs: DataFrame, keys: list[str]) -> DataFrame:
-    """Certificate rows (at most ten a chain) to one chain per key."""
+    """Certificate rows to one chain per key; a handshake message bounds its length."""
     row = F.struct("idx", F.when(F.col("key_bits").isNotNull(), "RSA").alias("key_algorithm"),
                    "key_bits", "not_before", "not_after", "ski", "aki",
                    self_signed(F.col("ski"), F.col("aki")).alias("self_signed"))
     signed = F.struct("idx", F.col("sig_oid").alias("oid"))
-    grouped = certs.filter(F.col("idx") < vocab.MAX_CHAIN).groupBy(*keys).agg(
+    grouped = certs.groupBy(*keys).agg(
         F.array_sort(F.collect_list(row)).alias("certificates"),
         F.array_sort(F.collect_list(signed)).alias("_oids"))
     return grouped.select(

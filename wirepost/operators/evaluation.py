@@ -178,12 +178,14 @@ def benign_fp(df: DataFrame, cut: float) -> DataFrame:
         F.round("median_score", 4).alias("median_score"))
 
 
-def ablation(long: DataFrame, subsets: dict[str, list], keys: list[str], row: str) -> DataFrame:
+def ablation(long: DataFrame, subsets: dict, keys: list[str], row: str) -> DataFrame:
     """Total deviation per row for each subset of columns, from one fitted matrix: the column
-    statistics do not depend on the subset, so the matrix is fitted and joined once."""
+    statistics do not depend on the subset, so the matrix is fitted and joined once.  A subset is a
+    list of columns, a condition on the column, or None for all."""
     z = anomaly.with_z(long, anomaly.fit_robust(long, keys), keys)
-    sums = [F.sum(F.when(F.col("column").isin(cols), F.abs("z")).otherwise(0.0)).alias(name)
-            for name, cols in subsets.items()]
+    def member(cols):
+        return F.lit(True) if cols is None else cols(F.col("column")) if callable(cols) else F.col("column").isin(list(cols))
+    sums = [F.sum(F.when(member(cols), F.abs("z")).otherwise(0.0)).alias(name) for name, cols in subsets.items()]
     wide = z.groupBy(*keys, row).agg(*sums)
     entries = F.array(*[F.struct(F.lit(n).alias("subset"), F.col(n).alias("score")) for n in subsets])
     return wide.select(*keys, row, F.inline(entries))

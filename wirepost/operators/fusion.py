@@ -376,11 +376,10 @@ def standards_summary(fused: DataFrame) -> DataFrame:
                 F.count(F.lit(1)).alias("texts"), F.sum("uses").alias("uses")))
 
 
-def remediation_summary(groups: DataFrame, limit: int = 20) -> DataFrame:
-    """The first groups of a capture that penalise and have guidance."""
+def remediation_summary(groups: DataFrame) -> DataFrame:
+    """The groups of a capture that penalise and have guidance, with their position."""
     w = W.partitionBy("capture_id").orderBy(*group_order())
-    return groups.filter("actionable").withColumn("position", F.row_number().over(w)) \
-        .filter(F.col("position") <= limit)
+    return groups.filter("actionable").withColumn("position", F.row_number().over(w))
 
 
 def model_summary(results: DataFrame) -> DataFrame:

@@ -92,31 +92,32 @@ def report_summary(score: DataFrame, cov: DataFrame, groups: DataFrame, abst: Da
         ev.unrank(F.col("_w"), vocab.SEVERITIES).alias("highest_severity"), F.coalesce("abstentions", F.lit(0)).alias("abstentions"))
 
 
-def report_prioritised(prioritised: DataFrame, limit: int = vocab.MAX_REPORT_ROWS) -> DataFrame:
-    """The first `limit` ranks of a capture, with how many there were."""
+def report_prioritised(prioritised: DataFrame) -> DataFrame:
+    """All ranks of a capture, with how many there are; paging is the reader's."""
     totals = prioritised.groupBy("capture_id").agg(F.count(F.lit(1)).alias("of"))
-    return prioritised.filter(F.col("rank") <= limit).join(totals, "capture_id").select(
+    return prioritised.join(totals, "capture_id").select(
         "capture_id", "rank", F.concat(casts.severity_marker(F.col("severity")), F.lit(" "), F.col("severity")).alias("severity"),
         casts.humanise(F.col("issue_class")).alias("issue"), F.col("recurrence").alias("sessions"),
-        casts.number_text(F.col("priority_score")).alias("priority"), "of", (F.col("of") > limit).alias("truncated"))
+        casts.number_text(F.col("priority_score")).alias("priority"), "of")
 
 
 def report_issues(groups: DataFrame, prioritised: DataFrame, frames: DataFrame | None = None, limit: int = 12) -> DataFrame:
-    """Groups with the first ranked representative of their class and its first frames.
+    """Groups with the first ranked representative of their class and its frames.
 
-    `frames` has capture_id, stream_key, frame_number; the first ones are a top-k per stream.
+    `frames` has capture_id, stream_key, frame_number.  `frames` of the result is the whole list of
+    the evidence of one session, `frame_text` a short form of it, `title_text` one of the title.
     """
     rep = prioritised.groupBy("capture_id", "issue_class").agg(F.min_by("representative", "rank").alias("representative"))
     out = groups.drop("representative").join(rep, ["capture_id", "issue_class"], "left")
     if frames is not None:
-        w = W.partitionBy("capture_id", "stream_key").orderBy("frame_number")
-        first = frames.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).groupBy("capture_id", "stream_key") \
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list("frame_number")), lambda n: n.cast("string")), ", ").alias("_t"))
-        total = frames.groupBy("capture_id", "stream_key").agg(F.count(F.lit(1)).alias("_n"))
-        text = F.when(F.col("_n") > limit, F.concat("_t", F.lit(", … ("), F.col("_n").cast("string"), F.lit(" total)"))).otherwise(F.col("_t"))
-        lists = first.join(total, ["capture_id", "stream_key"]).select("capture_id", F.col("stream_key").alias("representative"), text.alias("frame_text"))
-        out = out.join(lists, ["capture_id", "representative"], "left")
-    return out.withColumn("title", casts.clip(F.col("title")))
+        wanted = rep.select("capture_id", F.col("representative").alias("stream_key")).distinct()
+        lists = frames.join(wanted, ["capture_id", "stream_key"], "left_semi").groupBy("capture_id", F.col("stream_key").alias("representative")) \
+            .agg(F.sort_array(F.collect_set("frame_number")).alias("frames"))
+        n = F.size("frames")
+        head = F.array_join(F.transform(F.slice("frames", 1, limit), lambda f: f.cast("string")), ", ")
+        text = F.when(n > limit, F.concat(head, F.lit(", … ("), n.cast("string"), F.lit(" total)"))).otherwise(head)
+        out = out.join(lists.withColumn("frame_text", text), ["capture_id", "representative"], "left")
+    return out.withColumn("title_text", casts.clip(F.col("title")))
 
 
 def evidence_matrix(sessions: DataFrame) -> DataFrame:

@@ -238,7 +238,7 @@ def pop3_events(frames: DataFrame) -> DataFrame:
         _event("plaintext_command", 0, cmd.isin(vocab.POP3_PLAINTEXT), cmd),
         _event("starttls_accepted", 1, (ind != "") & begin, "+OK begin TLS negotiation"),
         _event("starttls_rejected", 1, ~begin & ind.startswith("-ERR"),
-               F.concat(F.lit("-ERR "), F.substring(desc, 1, 40))),
+               F.concat(F.lit("-ERR "), desc)),
         _event("capability_response", 1, listing, "+OK capability list"),
         _event("greeting", 1, plain_ok & ~listing, "+OK greeting"),
         _event("starttls_advertised", 2, stls, "STLS line in CAPA body")])

@@ -5,30 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wirepost.functions import vocab
 
 RUNTIME_FIELDS = ("run_id", "generated_at")
-PAGE, MAX_PAGE = 20, 100
+PAGE = 20
 
 
 def content_hash(df: DataFrame) -> Column:
-    """Hash of a row without its runtime fields, over name-sorted columns."""
-    cols = sorted(c for c in df.columns if c not in RUNTIME_FIELDS)
-    text = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in cols]
-    return F.sha2(F.concat_ws("|", *text), 256)
+    """Hash of a row without its runtime fields: of its JSON document with the keys of every level in
+    order and missing values written out, so that no two contents share a text."""
+    def ordered(col: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            fields = [ordered(col[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+            return F.when(col.isNotNull(), F.struct(*fields))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(col, lambda v: ordered(v, kind.elementType))
+        return col
+
+    fields = sorted((f for f in df.schema.fields if f.name not in RUNTIME_FIELDS), key=lambda f: f.name)
+    document = F.struct(*[ordered(F.col(f.name), f.dataType).alias(f.name) for f in fields])
+    return F.sha2(F.to_json(document, {"ignoreNullFields": "false"}), 256)
 
 
 def upsert_assessments(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """What storing each new assessment means: insert, replay of equal content, or conflict."""
+    """What storing each new assessment means: insert, replay of equal content, or conflict.  Two
+    contents for one new id are a conflict, too: neither is older."""
     old = stored.select("assessment_id", F.col("content_sha256").alias("_old"))
-    return new.join(old, "assessment_id", "left").withColumn(
-        "action", F.when(F.col("_old").isNull(), "insert")
-        .when(F.col("_old") == F.col("content_sha256"), "replay").otherwise("conflict")).drop("_old")
+    own = new.groupBy("assessment_id").agg((F.min("content_sha256") != F.max("content_sha256")).alias("_several"))
+    return new.join(own, "assessment_id").join(old, "assessment_id", "left").withColumn(
+        "action", F.when(F.col("_old") == F.col("content_sha256"), "replay")
+        .when(F.col("_old").isNotNull() | F.col("_several"), "conflict").otherwise("insert")).drop("_old", "_several")
 
 
 def page_size(requested: int) -> int:
-    return PAGE if requested <= 0 else min(requested, MAX_PAGE)
+    return PAGE if requested <= 0 else requested
 
 
 def list_runs(runs: DataFrame, assessments: DataFrame, state: str | None = None,

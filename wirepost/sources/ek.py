@@ -19,11 +19,17 @@ def parse_ek(lines: DataFrame, text: str = "value") -> DataFrame:
         .drop(text)
 
 
+def capture_name(path: Column) -> Column:
+    """A capture's id: its file's name, and a digest of the whole path, since folders may hold files
+    of one name."""
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    return F.concat(name, F.lit("-"), F.substring(F.sha2(path, 256), 1, 16))
+
+
 def read_ek(spark: SparkSession, path: str) -> DataFrame:
-    """Packet records under `path`; every file is one capture, named after the file."""
-    lines = spark.read.text(path)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return parse_ek(lines.withColumn("capture_id", F.regexp_replace(name, r"\.[^.]*$", "")))
+    """Packet records under `path` and its folders; every file is one capture."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    return parse_ek(lines.withColumn("capture_id", capture_name(F.col("_metadata.file_path"))))
 
 
 def flatten_layers(records: DataFrame) -> DataFrame:
@@ -153,13 +159,18 @@ def frames_from(records: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- whole captures
-def cap_frames(frames: DataFrame, limit: int = vocab.MAX_FRAMES) -> DataFrame:
-    """Keep the first `limit` frames of each capture and flag the captures that had more."""
+def flag_ceiling(frames: DataFrame, limit: int = vocab.MAX_FRAMES) -> DataFrame:
+    """Every frame, with whether its capture has more than `limit`."""
+    over = frames.groupBy("capture_id").agg((F.count(F.lit(1)) > limit).alias("limit_exceeded"))
+    return frames.join(over, "capture_id")
+
+
+def cap_frames(frames: DataFrame, limit: int) -> DataFrame:
+    """For a caller who asks for it: the first `limit` frames of each capture, flagged."""
     blocked = frames.withColumn("_block", F.floor(F.coalesce("frame_number", F.lit(0))
                                                   / FRAME_BLOCK))
     ranked = skew.ordinals(blocked, ["capture_id"], "_block", ["frame_number"], "_n")
-    over = frames.groupBy("capture_id").agg((F.count(F.lit(1)) > limit).alias("limit_exceeded"))
-    return ranked.filter(F.col("_n") <= limit).drop("_n", "_block").join(over, "capture_id")
+    return flag_ceiling(ranked, limit).filter(F.col("_n") <= limit).drop("_n", "_block")
 
 
 def capture_catalog(spark: SparkSession, glob: str) -> DataFrame:

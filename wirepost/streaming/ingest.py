@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,21 +15,24 @@ def stream_frames(spark: SparkSession, path: str, max_files: int = 1000) -> Data
     """Typed frames of packet files as they arrive; the projection is stateless, so no state and
     no watermark is needed.  Sessions are built later, from captures that are complete."""
     lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return ek.frames_from(ek.parse_ek(lines.withColumn("capture_id", F.regexp_replace(name, r"\.[^.]*$", ""))))
+    return ek.frames_from(ek.parse_ek(lines.withColumn("capture_id", ek.capture_name(F.col("_metadata.file_path")))))
 
 
 def assessment_upsert(stored_path: str, conflicts_path: str) -> Callable[[DataFrame, int], None]:
     """`foreachBatch` sink: new ids are appended, equal content is a replay, and differing content
-    under a stored id goes to the conflict table.  A repeated batch therefore changes nothing."""
+    under a stored id, or under one new id of the batch, goes to the conflict table.  A repeated batch
+    therefore stores nothing anew."""
     def sink(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         try:
             stored = spark.read.schema(batch.schema).parquet(stored_path)
-            stored.limit(1).count()
-        except Exception:  # noqa: BLE001 - the first batch finds no table
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
             stored = spark.createDataFrame([], batch.schema)
-        decided = catalog.upsert_assessments(batch.dropDuplicates(["assessment_id", "content_sha256"]), stored)
-        decided.filter(F.col("action") == "insert").drop("action").write.mode("append").parquet(stored_path)
+        asked = stored.join(batch.select("assessment_id").distinct(), "assessment_id", "left_semi")
+        decided = catalog.upsert_assessments(batch.dropDuplicates(["assessment_id", "content_sha256"]), asked).persist()
         decided.filter(F.col("action") == "conflict").drop("action").write.mode("append").parquet(conflicts_path)
+        decided.filter(F.col("action") == "insert").drop("action").write.mode("append").parquet(stored_path)
+        decided.unpersist()
     return sink
