@@ -1,8 +1,9 @@
 """Language identification by compression.
 
 A text is compressed once per language, with a raw-content dictionary of that language's training
-text; the language that leaves it smallest is predicted.  Texts are compressed whole, in blocks, so
-that the dictionary keeps its weight in long texts.  The margin between the two smallest sizes is
+text; the language that leaves it smallest is predicted.  Case, digits and marks say little about a
+language: texts are compressed as lower-case letters and single spaces, whole, in blocks, so that
+the dictionary keeps its weight in long texts.  The margin between the two smallest sizes is
 the score; a narrow one is reported as rejected.
 
 Training takes at most `DOCS` slices of at most `SLICE` characters per language, from the documents
@@ -16,18 +17,28 @@ empty table gives an empty result; columns other than id and text are inputs of
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DOCS, SLICE, DICT = 300, 4096, 96 * 1024
-BLOCK = 2048
-LEVEL = 3
+DOCS, SLICE, DICT = 300, 1024, 96 * 1024
+BLOCK = 4096
+LEVEL, MATCH = 3, 3
 #: margin (share of the second smallest size) under which a prediction counts as rejected
 NARROW = 0.01
 
 
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    """Lower-case letters of a text with one space for all between them, in UTF-8."""
+    return _OTHER.sub(" ", text.lower()).strip().encode("utf-8", "replace")
+
+
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         docs: int = DOCS, slice_chars: int = SLICE, size: int = DICT) -> dict[str, bytes]:
     """Dictionary of each language: bounded samples of its texts."""
@@ -40,7 +51,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         .groupBy("lang", "rank").agg(F.max("part").alias("part")).orderBy("lang", "rank")
     found: dict[str, list[bytes]] = {}
     for lang, _, part in slices.collect():
-        own, raw = found.setdefault(lang, []), part.encode("utf-8", "replace")
+        own, raw = found.setdefault(lang, []), letters(part)
         if raw not in own and sum(map(len, own)) < size:
             own.append(raw)
     return {lang: b"\n".join(parts)[:size] for lang, parts in sorted(found.items())}
@@ -51,22 +62,26 @@ def _sizes(text: bytes, packers) -> list[int]:
     return [sum(len(p.compress(b)) for b in blocks) for p in packers]
 
 
+def _packer(content: bytes) -> zstandard.ZstdCompressor:
+    settings = zstandard.ZstdCompressionParameters.from_level(
+        LEVEL, min_match=MATCH, source_size=BLOCK, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0)
+    data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    data.precompute_compress(compression_params=settings)
+    return zstandard.ZstdCompressor(dict_data=data, compression_params=settings)
+
+
 def _predict(shared):
     def run(batches):
         langs = list(shared.value)
-        packers = []
-        for lang in langs:
-            data = zstandard.ZstdCompressionDict(shared.value[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=LEVEL)
-            packers.append(zstandard.ZstdCompressor(dict_data=data, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
+        packers = [_packer(shared.value[lang]) for lang in langs]
         for batch in batches:
             names, scores, narrow = [], [], []
             for text in batch.column(1):
-                raw = text.as_py()
-                if raw is None or not langs or not any(map(str.isalpha, raw.decode("utf-8", "replace"))):
+                raw = (text.as_py() or b"").decode("utf-8", "replace")
+                if not langs or not any(map(str.isalpha, raw)):
                     names.append("und"), scores.append(0.0), narrow.append(True)
                     continue
-                sizes = _sizes(raw, packers)
+                sizes = _sizes(letters(raw), packers)
                 least = min(sizes)
                 rest = sorted(sizes)[1] if len(sizes) > 1 else None
                 margin = 1.0 if rest is None else (rest - least) / rest

@@ -38,9 +38,9 @@ WITH w AS (
 s AS (SELECT doc_id, i, array_to_string(words[i:i + 34], ' ') AS span
       FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY span) AS n FROM s) WHERE n > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS at FROM r),
-kept AS (SELECT doc_id, list(word ORDER BY at) AS words FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM w)
-         ANTI JOIN gone USING (doc_id, at) GROUP BY 1)
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS pos FROM r),
+kept AS (SELECT doc_id, list(word ORDER BY pos) AS words FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w)
+         ANTI JOIN gone USING (doc_id, pos) GROUP BY 1)
 SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(len(w.words) - coalesce(len(kept.words), 0) AS BIGINT) AS n_removed,
   sha256(coalesce(array_to_string(kept.words, ' '), '')) AS kept_sha256
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id""",

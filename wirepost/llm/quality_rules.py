@@ -28,8 +28,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = r"[#*$%&|<>]"
 FEATURES = ("f1", "f2", "f3", "f4", "f5")
 LEAST, SHARE, STEPS = 100, 0.75, 6
-#: chi-square with five degrees of freedom: its value at SHARE, and the cut (one in about 10**7)
-EXPECTED, CUT = 6.626, 42.0
+#: chi-square with five degrees of freedom: its value at SHARE, and the cut (one in 10**5)
+EXPECTED, CUT = 6.626, 30.86
 #: least deviation of each statistic
 RIDGE = (0.5, 0.08, 0.12, 0.12, 0.12)
 #: histogram bins per doubling of a squared distance
@@ -41,7 +41,7 @@ def _windows(words: Column) -> Column:
     shifted = F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b"),
                            F.slice(words, 3, F.greatest(F.size(words), F.lit(1))).alias("c"))
     return F.transform(F.slice(shifted, 1, F.greatest(F.size(words) - 2, F.lit(0))),
-                       lambda z, i: F.struct(F.xxhash64(z["0"], z["1"], z["2"]).alias("h"), i.alias("p")))
+                       lambda z, i: F.struct(F.xxhash64(z["a"], z["b"], z["c"]).alias("h"), i.alias("p")))
 
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -56,11 +56,11 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
         F.coalesce(F.length(F.array_join("words", "")), F.lit(0)).cast("bigint").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
-        F.array_sort(_windows(F.col("words"))).alias("windows"))
-    pairs = F.arrays_zip(F.col("windows"), F.slice("windows", 2, F.greatest(F.size("windows"), F.lit(1))))
-    equal = F.filter(F.slice(pairs, 1, F.greatest(F.size("windows") - 1, F.lit(0))), lambda z: z["windows"]["h"] == z["1"]["h"])
+        F.sort_array(_windows(F.col("words"))).alias("windows"))
+    pairs = F.arrays_zip(F.col("windows").alias("x"), F.slice("windows", 2, F.greatest(F.size("windows"), F.lit(1))).alias("y"))
+    equal = F.filter(F.slice(pairs, 1, F.greatest(F.size("windows") - 1, F.lit(0))), lambda z: z["x"]["h"] == z["y"]["h"])
     three = two.withColumn("equal", equal).drop("windows")
-    places = F.array_sort(F.array_distinct(F.flatten(F.transform("equal", lambda z: F.array(z["windows"]["p"], z["1"]["p"])))))
+    places = F.sort_array(F.array_distinct(F.flatten(F.transform("equal", lambda z: F.array(z["x"]["p"], z["y"]["p"])))))
     four = three.withColumn("places", places).drop("equal")
     steps = F.zip_with(F.col("places"), F.slice("places", 2, F.greatest(F.size("places"), F.lit(1))),
                        lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
