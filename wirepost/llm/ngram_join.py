@@ -7,9 +7,10 @@ each fragment counts the overlap of a candidate pair on its own, and the counts
 
 Pairs are not spread out within groups.  Equal sets are one class.  In every prefix shingle's list
 one hub (the set with the least before that shingle, so the one closest to what the others share)
-stands for the rest; each set is compared with the hub it shares most lists with, and the verified
-links give first components.  Only pairs that are still in different components can change the
-result, and all of these that share a prefix shingle are compared in a second round.
+stands for the rest; each set is compared with two of its hubs, and the verified links give first
+components.  Only pairs that are still in different components can change the result.  Of these, all
+that share a prefix shingle are compared in a second round, unless the overlaps of both with a
+common hub show that they cannot reach the threshold.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are alone; with
 fewer than five words the whole sequence is one shingle; rows that repeat a text are one class; rows
@@ -37,6 +38,8 @@ LEAST = 80
 FREQUENT, RANKED = 3, 1 << 20
 #: parts that a frequent shingle's list is spread over
 SALTS = 64
+#: places in a set from here on count as this one
+FAR = 32767
 FRAGMENTS = 16
 #: shingles counted together before a task reports those that repeat
 COUNTED = 1 << 21
@@ -117,7 +120,8 @@ class Order:
 
 def _prefixes(k: int, least: int, frequent):
     """(token, salt, id, at): prefix shingles of each text and their places (at most 2**15 - 1) in
-    its order.  Frequent shingles are known to repeat; their salt, 1 or more, spreads them."""
+    its order.  Frequent shingles are known to repeat; their salt, 1 or more, spreads them.  One row
+    per text with salt -1 tells in `at` how many of its prefix shingles are not frequent."""
     def run(batches):
         order = Order(frequent.value)
         for batch in batches:
@@ -127,10 +131,10 @@ def _prefixes(k: int, least: int, frequent):
                     continue
                 ranked, rare = order(own)
                 m = prefix_size(len(own), least)
-                tokens.append(ranked[:m])
-                salts.append(np.where(np.arange(m) < rare, 0, 1 + i % SALTS).astype(np.int16))
-                ids.append(np.full(m, i, np.int64))
-                at.append(np.minimum(np.arange(m), 32767).astype(np.int16))
+                tokens.append(np.append(ranked[:m], np.uint64(i & 0xFFFFFFFFFFFFFFFF)))
+                salts.append(np.append(np.where(np.arange(m) < rare, 0, 1 + i % SALTS), -1).astype(np.int16))
+                ids.append(np.full(m + 1, i, np.int64))
+                at.append(np.minimum(np.append(np.arange(m), min(rare, m)), FAR).astype(np.int16))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.concatenate(c)) for c in (salts, ids, at))],
@@ -184,26 +188,60 @@ def _overlaps(texts: DataFrame, pairs: DataFrame, k: int, fragments: int, low: i
     return partial.groupBy("a", "b").agg(F.sum("part").alias("shared"), F.sum("part_a").alias("seen_a"), F.sum("part_b").alias("seen_b"))
 
 
-def verified(texts: DataFrame, pairs: DataFrame, k: int = WORDS, least: int = LEAST, fragments: int = FRAGMENTS) -> DataFrame:
-    """(a, b, shared, union_size) of the pairs (a, b, n_a, n_b) that reach the threshold.  After the
-    first quarter of the fragments, pairs that cannot reach it any more are left alone."""
+def compared(texts: DataFrame, pairs: DataFrame, k: int = WORDS, least: int = LEAST, fragments: int = FRAGMENTS) -> DataFrame:
+    """(a, b, n_a, n_b, low, high, linked) of the pairs (a, b, n_a, n_b): bounds of the overlap, equal
+    where it was counted to the end.  After the first quarter of the fragments, pairs that cannot
+    reach the threshold any more are left alone."""
     early = max(1, fragments // 4)
+    need = (F.col("n_a") + F.col("n_b")) * least
     first = _overlaps(texts, pairs.select("a", "b"), k, fragments, 0, early)
     some = pairs.join(first, ["a", "b"], "left").na.fill(0, ["shared", "seen_a", "seen_b"])
     most = F.col("shared") + F.least(F.col("n_a") - F.col("seen_a"), F.col("n_b") - F.col("seen_b"))
-    open_ = scratch.keep(some.filter(most * (100 + least) >= (F.col("n_a") + F.col("n_b")) * least).select("a", "b", "n_a", "n_b", "shared"), "open")
-    rest = _overlaps(texts, open_.select("a", "b"), k, fragments, early, fragments).select("a", "b", F.col("shared").alias("later"))
-    return open_.join(rest, ["a", "b"], "left") \
-        .withColumn("shared", F.col("shared") + F.coalesce("later", F.lit(0))) \
-        .withColumn("union_size", F.col("n_a") + F.col("n_b") - F.col("shared")) \
-        .filter(F.col("shared") * 100 >= F.col("union_size") * least).select("a", "b", "shared", "union_size")
+    some = scratch.keep(some.select("a", "b", "n_a", "n_b", F.col("shared").alias("low"), most.alias("high"), (most * (100 + least) >= need).alias("open")), "begun")
+    rest = _overlaps(texts, some.filter("open").select("a", "b"), k, fragments, early, fragments).select("a", "b", F.col("shared").alias("later"))
+    both = some.join(rest, ["a", "b"], "left").withColumn("low", F.col("low") + F.when(F.col("open"), F.coalesce("later", F.lit(0))).otherwise(0))
+    return both.withColumn("high", F.when(F.col("open"), F.col("low")).otherwise(F.col("high"))) \
+        .withColumn("linked", F.col("open") & (F.col("low") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("low")) * least)) \
+        .select("a", "b", "n_a", "n_b", "low", "high", "linked")
 
 
-def _may_reach(n_a, n_b, at_a, at_b, least: int):
-    """Whether sizes and places of a shared prefix shingle leave room for the threshold."""
-    low, high = F.least(n_a, n_b), F.greatest(n_a, n_b)
-    most = F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b)
-    return (low * 100 >= high * least) & (most * (100 + least) >= (n_a + n_b) * least)
+SIDE = ("rep", "n", "at", "most", "complete")
+
+
+def _may_reach(a, b, least: int):
+    """Whether two sets that share a prefix shingle can reach the threshold; a and b give the columns
+    of `SIDE`.  What precedes and follows the shingle bounds the overlap, and so does `most`, the
+    shingles of a set that occur anywhere else, if the other's prefix holds all its rare shingles."""
+    low, high = F.least(a("n"), b("n")), F.greatest(a("n"), b("n"))
+    near = F.least(a("at"), b("at")) + F.least(a("n") - a("at"), b("n") - b("at"))
+    held_a = F.when(b("complete"), a("most")).otherwise(a("n"))
+    held_b = F.when(a("complete"), b("most")).otherwise(b("n"))
+    return (low * 100 >= high * least) & (F.least(near, held_a, held_b) * (100 + least) >= (a("n") + b("n")) * least)
+
+
+def _may_reach_by_hub(a, b, least: int):
+    """Whether two sets that were compared with one hub can reach the threshold: what they share lies
+    in the hub, so in the smaller of the two overlaps with it, or outside of it in both."""
+    out_a = F.when(b("complete"), a("most")).otherwise(a("n")) - a("low")
+    out_b = F.when(a("complete"), b("most")).otherwise(b("n")) - b("low")
+    most = F.least(a("high"), b("high")) + F.greatest(F.least(out_a, out_b), F.lit(0))
+    return ~F.coalesce(a("hub") == b("hub"), F.lit(False)) | (most * (100 + least) >= (a("n") + b("n")) * least)
+
+
+def profiled(met: DataFrame, members: DataFrame, least: int) -> DataFrame:
+    """(token, rep, n, at, most, complete) of the prefix shingles that several classes have.
+
+    Of a class's rare prefix shingles, those that no other class has in its prefix are counted out in
+    `most`.  `complete` tells that the prefix goes beyond the rare shingles, so holds them all."""
+    own = scratch.keep(met.filter("salt >= 0").join(members, "id").select("token", F.expr("salt = 0").alias("rare"), "rep", "n", "at").distinct(), "own")
+    several = own.groupBy("token").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("token")
+    own = scratch.keep(own.join(several, "token", "left_semi"), "several")
+    rare = met.filter("salt = -1").join(members, "id").groupBy("rep", "n").agg(F.max("at").alias("rare"))
+    seen = own.groupBy("rep").agg(F.count_if("rare").alias("seen"))
+    prefix = F.col("n") - F.ceil(F.col("n") * least / 100) + 1
+    sides = rare.join(seen, "rep").select(
+        "rep", (F.col("n") - F.col("rare") + F.col("seen")).alias("most"), ((F.col("rare") < prefix) & (F.col("rare") < FAR)).alias("complete"))
+    return own.join(sides, "rep").select("token", *SIDE)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, least: int = LEAST,
@@ -220,36 +258,44 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = sizes.filter("n > 0 and id is not null").groupBy("digest", "n").agg(F.min("id").alias("rep"))
     members = scratch.keep(sizes.join(classes, ["digest", "n"]).select("id", "rep", "n"), "members")
 
-    # prefix shingles that occur in more than one text, as (token, rep, n, at)
+    # prefix shingles that occur in more than one text
     entries = raw.mapInArrow(_prefixes(k, least, shared), "token bigint, salt short, id bigint, at short")
     alike = F.count(F.lit(1)).over(Window.partitionBy("token", "salt"))
-    met = scratch.keep(entries.withColumn("alike", alike).filter("alike > 1 or salt > 0").select("token", "id", "at"), "met")
-    own = scratch.keep(met.join(members, "id").select("token", "rep", "n", "at").distinct(), "own")
-
-    # one hub per list, one pair per text: with the hub that it shares most lists with
-    lists = own.groupBy("token").agg(F.min(F.struct("at", "rep", "n")).alias("hub"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
-    spokes = own.join(lists.select("token", "hub"), "token").filter("rep <> hub.rep") \
-        .filter(_may_reach(F.col("n"), F.col("hub.n"), F.col("at"), F.col("hub.at"), least))
-    stars = scratch.keep(
-        spokes.groupBy("rep", "n", F.col("hub.rep").alias("a"), F.col("hub.n").alias("n_a")).agg(F.count(F.lit(1)).alias("lists"))
-        .groupBy("rep", "n").agg(F.max(F.struct("lists", "a", "n_a")).alias("best"))
-        .select("best.a", F.col("rep").alias("b"), "best.n_a", F.col("n").alias("n_b")), "stars")
-    links = scratch.keep(verified(texts, stars, k, least, fragments).select("a", "b"), "links")
+    met = scratch.keep(entries.withColumn("alike", alike).filter("alike > 1 or salt <> 0").drop("alike"), "met")
+    own = scratch.keep(profiled(met, members, least), "sides")
+
+    # one hub per list; each text is compared with the hub that it shares most lists with among those
+    # that it could link with, and with the most popular of its hubs
+    hubs = own.groupBy("token").agg(F.min(F.struct("at", "rep", "n", "most", "complete")).alias("hub"))
+    fits = _may_reach(lambda c: F.col(f"hub.{c}"), F.col, least)
+    spokes = scratch.keep(
+        own.join(hubs, "token").filter("rep <> hub.rep").groupBy("rep", "n", F.col("hub.rep").alias("a"), F.col("hub.n").alias("n_a"))
+        .agg(F.count(F.lit(1)).alias("lists"), F.max(fits).alias("fits")), "spokes")
+    best = F.max(F.struct("lists", "a", "n_a"))
+    near = spokes.filter("fits").groupBy("rep", "n").agg(best.alias("s")).select("s.a", F.col("rep").alias("b"), "s.n_a", F.col("n").alias("n_b"))
+    popular = spokes.groupBy("a").agg(F.count(F.lit(1)).alias("texts"))
+    common = scratch.keep(spokes.join(popular, "a").groupBy("rep", "n").agg(F.max(F.struct("texts", "a", "n_a")).alias("s"))
+                          .select("s.a", F.col("rep").alias("b"), "s.n_a", F.col("n").alias("n_b")), "common")
+    stars = scratch.keep(compared(texts, near.unionByName(common).distinct(), k, least, fragments), "compared")
+    links = stars.filter("linked").select("a", "b")
     roots = components(links)
+    measured = stars.join(common.select("a", "b"), ["a", "b"]).select(F.col("b").alias("rep"), F.col("a").alias("hub"), "low", "high")
 
     # every other pair that could still join two components
-    own = own.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    own = own.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")) \
+        .join(measured, "rep", "left")
     own = scratch.keep(own, "rooted")
-    mixed = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-    left = own.join(mixed, "token", "left_semi").withColumnsRenamed({"rep": "a", "n": "n_a"})
-    right = left.select("token", F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("at").alias("at_b"), F.col("root").alias("root_b"))
-    rest = left.join(right, "token") \
-        .filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))
-                & _may_reach(F.col("n_a"), F.col("n_b"), F.col("at"), F.col("at_b"), least)).select("a", "b", "n_a", "n_b").distinct()
+    mixed = own.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("greatest")).filter("least <> greatest").select("token")
+    left = own.join(mixed, "token", "left_semi")
+    right = left.withColumnsRenamed({c: f"{c}_b" for c in (*SIDE, "root", "hub", "low", "high")})
+    own_b = lambda c: F.col(f"{c}_b")
+    rest = left.join(right, "token").filter((F.col("rep") < F.col("rep_b")) & (F.col("root") != F.col("root_b"))
+                                            & _may_reach(F.col, own_b, least) & _may_reach_by_hub(F.col, own_b, least)) \
+        .select(F.col("rep").alias("a"), F.col("rep_b").alias("b"), F.col("n").alias("n_a"), F.col("n_b")).distinct()
     tried = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     second = scratch.keep(rest.join(tried, ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
-        more = scratch.keep(verified(texts, second, k, least, fragments).select("a", "b"), "links")
+        more = scratch.keep(compared(texts, second, k, least, fragments).filter("linked").select("a", "b"), "links")
         if not more.isEmpty():
             roots = components(links.unionByName(more))
     named = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("component"))
