@@ -199,13 +199,16 @@ class Codec:
         plain = [not self.runs(t) for t in texts]
         parts = pc.split_pattern(pa.array([t if f else "" for t, f in zip(texts, plain)], pa.large_string()), " ")
         bounds = parts.offsets.to_numpy()
-        units = parts.values.dictionary_encode()
-        codes = units.indices.to_numpy().astype(np.int64)
-        words = units.dictionary.to_pylist()
-        first, n = bounds[:-1], len(words)
         # the first unit of a text has no space before it; an empty one is the space that ends a text
-        alone = [t.split(" ", 1)[0] if f else t for t, f in zip(texts, plain)] + [" "]
+        first = np.zeros(len(parts.values), bool)
+        first[bounds[:-1]] = True
+        units = parts.values.filter(pa.array(~first)).dictionary_encode()
+        words = units.dictionary.to_pylist()
+        n = len(words)
+        codes = np.empty(len(first), np.int64)
+        codes[~first] = units.indices.to_numpy()
         codes[first] = n + np.arange(len(texts))
+        alone = [t.split(" ", 1)[0] if f else t for t, f in zip(texts, plain)] + [" "]
         if "" in words:
             empty = words.index("")
             words[empty] = "x"
