@@ -40,7 +40,7 @@ FREQUENT, RANKED = 3, 1 << 20
 SALTS = 64
 #: places in a set from here on count as this one
 FAR = 32767
-FRAGMENTS = 16
+FRAGMENTS = 8
 #: shingles counted together before a task reports those that repeat
 COUNTED = 1 << 21
 #: shingles of cut sets sent on together
