@@ -55,16 +55,16 @@ t AS (SELECT *, string_split(bare, '.') AS q, NOT contains(bare, '.') OR regexp_
 d AS (SELECT *, array_to_string(q[-2:], '.') IN ('ac.uk', 'co.jp', 'co.uk', 'com.au', 'com.br', 'gov.uk', 'org.uk') AS two FROM t),
 h AS (SELECT host, n, bad, CASE WHEN alone THEN bare WHEN two THEN array_to_string(q[-3:], '.') ELSE array_to_string(q[-2:], '.') END AS domain,
   CASE WHEN alone THEN '' WHEN two THEN array_to_string(q[-2:], '.') ELSE q[-1] END AS suffix FROM d),
-g AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS mean, sum(n) AS n FROM h),
-s0 AS (SELECT suffix, sum(h.n) AS n, sum(bad) AS bad, any_value(g.mean) AS above FROM h, g GROUP BY 1),
+g AS (SELECT sum(bad) AS bad, sum(n) AS n FROM h),
+s0 AS (SELECT q.*, (g.bad - q.bad + 0.5) / (g.n - q.n + 1) AS above FROM (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1) q, g),
 ks AS (SELECT 1 / least(greatest((sum(n * pow(bad / n - above, 2) / greatest(above * (1 - above), 1e-9)) - count(*)) / greatest(sum(n - 1), 1), 0.005), 0.5) - 1 AS k FROM s0 WHERE n > 0),
-s1 AS (SELECT suffix, (coalesce(k, 199) * above + bad) / (coalesce(k, 199) + n) AS mean FROM s0, ks),
-d0 AS (SELECT h.suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(s1.mean) AS above FROM h JOIN s1 ON h.suffix = s1.suffix GROUP BY 1, 2),
+s1 AS (SELECT *, coalesce(k, 199) AS strength FROM s0, ks),
+d0 AS (SELECT q.*, (s1.strength * s1.above + s1.bad - q.bad) / (s1.strength + s1.n - q.n) AS above FROM (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2) q JOIN s1 ON q.suffix = s1.suffix),
 kd AS (SELECT 1 / least(greatest((sum(n * pow(bad / n - above, 2) / greatest(above * (1 - above), 1e-9)) - count(*)) / greatest(sum(n - 1), 1), 0.005), 0.5) - 1 AS k FROM d0 WHERE n > 0),
-d1 AS (SELECT domain, (coalesce(k, 199) * above + bad) / (coalesce(k, 199) + n) AS mean FROM d0, kd),
-h0 AS (SELECT host, n, bad, d1.mean AS above FROM h JOIN d1 ON h.domain = d1.domain),
+d1 AS (SELECT *, coalesce(k, 199) AS strength FROM d0, kd),
+h0 AS (SELECT h.*, (d1.strength * d1.above + d1.bad - h.bad) / (d1.strength + d1.n - h.n) AS above FROM h JOIN d1 ON h.domain = d1.domain),
 kh AS (SELECT 1 / least(greatest((sum(n * pow(bad / n - above, 2) / greatest(above * (1 - above), 1e-9)) - count(*)) / greatest(sum(n - 1), 1), 0.005), 0.5) - 1 AS k FROM h0 WHERE n > 0),
-h1 AS (SELECT host, n, coalesce(k, 199) AS k, (coalesce(k, 199) * above + bad) / (coalesce(k, 199) + n) AS mean FROM h0, kh),
+h1 AS (SELECT host, n, k, (k * above + bad) / (k + n) AS mean FROM (SELECT h0.host, h0.n, h0.bad, h0.above, coalesce(kh.k, 199) AS k FROM h0, kh)),
 h2 AS (SELECT host, mean, CASE WHEN (SELECT n FROM g) = 0 THEN 0.0 ELSE mean - 2 * sqrt(mean * (1 - mean) / (k + n + 1)) END AS bound FROM h1),
 r AS (SELECT u.*, mean, bound, CASE
   WHEN (u.host = 'example.net' OR ends_with(u.host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'

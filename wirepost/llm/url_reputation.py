@@ -2,7 +2,7 @@
 
 Labelled page outcomes (1 bad, 0 good) are shrunk through beta-binomial priors down the tree of
 names: the corpus is the prior of a suffix, the suffix that of a registered domain, the domain that
-of a host.  The strength of each prior is the method-of-moments estimate of how much rates differ
+of a host.  A prior leaves out the pages of the name it is for, so no page counts twice.  The strength of each prior is the method-of-moments estimate of how much rates differ
 within their parents.  A page is blocked when the lower posterior bound of its host's bad rate,
 mean - Z deviations, is above `LIMIT`.  Given rules come first: the longest that fits decides.
 
@@ -72,12 +72,13 @@ def strength_of(joined: DataFrame) -> float:
     return 1 / min(max(rho, WEAKEST), STRONGEST) - 1
 
 
-def _shrunk(children: DataFrame, parents: DataFrame, link: str) -> DataFrame:
-    """`children` (key columns, n, bad) with strength and mean, the posterior mean of their rate;
-    `parents` has `link` and mean."""
-    joined = children.join(parents.select(link, F.col("mean").alias("above")), link)
-    strength = strength_of(joined)
-    return joined.withColumns({"strength": F.lit(strength), "mean": (strength * F.col("above") + F.col("bad")) / (strength + F.col("n"))})
+def _below(children: DataFrame, parents: DataFrame, link: str) -> DataFrame:
+    """`children` (key columns, n, bad) with above, the rate that their parent (link, n, bad, above,
+    strength) expects of them from everything but their own pages, and strength, that of this prior."""
+    up = parents.select(link, F.col("n").alias("n_up"), F.col("bad").alias("bad_up"), F.col("above").alias("above_up"), F.col("strength").alias("strength_up"))
+    above = (F.col("strength_up") * F.col("above_up") + F.col("bad_up") - F.col("bad")) / (F.col("strength_up") + F.col("n_up") - F.col("n"))
+    joined = children.join(up, link).withColumn("above", above).drop("n_up", "bad_up", "above_up", "strength_up")
+    return joined.withColumn("strength", F.lit(strength_of(joined)))
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
@@ -90,14 +91,13 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     domains = hosts.groupBy("suffix", "domain").agg(*add)
     suffixes = domains.groupBy("suffix").agg(*add)
     n, bad = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    above = (bad + 0.5) / (n + 1)
-    first = strength_of(suffixes.withColumn("above", F.lit(above)))
-    suffixes = suffixes.withColumn("mean", (first * above + F.col("bad")) / (first + F.col("n"))).select("suffix", "mean")
-    domains = _shrunk(domains, suffixes, "suffix").select("domain", "mean")
-    hosts = _shrunk(hosts, domains, "domain")
+    suffixes = suffixes.withColumn("above", (bad - F.col("bad") + 0.5) / (n - F.col("n") + 1))
+    suffixes = suffixes.withColumn("strength", F.lit(strength_of(suffixes)))
+    hosts = _below(hosts, _below(domains, suffixes, "suffix"), "domain")
+    mean = (F.col("strength") * F.col("above") + F.col("bad")) / (F.col("strength") + F.col("n"))
     deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + F.col("n") + 1))
     bound = F.col("mean") - Z * deviation if n else F.lit(0.0)
-    return hosts.select("host", F.col("n").alias("labelled"), "mean", deviation.alias("deviation"), bound.alias("bound"))
+    return hosts.withColumn("mean", mean).select("host", F.col("n").alias("labelled"), "mean", deviation.alias("deviation"), bound.alias("bound"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url",
