@@ -9,7 +9,8 @@ The n-grams of a document: words, word pairs, word endings with the one before (
 and which of the three words before a word equal it.  The raw model counts every document; the
 target model is fitted on at most `SAMPLE` labelled rows, those with the smallest hashed ids.  By
 default k is the number of documents whose key reaches the `LOST` quantile among those rows, so that
-about this share of good documents is lost; `k` can be given.
+about this share of good documents is lost; `k` can be given.  Target rows are weighed by a model of
+the other half of the target, so that the quantile is that of documents the model has not seen.
 
 Defined results: null and empty texts have no n-grams and weight 0; labels that contradict each
 other for one id, or are null, are not used; without target rows every weight is 0 and all are
@@ -28,12 +29,12 @@ from pyspark.sql import functions as F
 from wirepost.llm import scratch, words
 
 SAMPLE = 20_000
-LOST = 0.004
+LOST = 0.005
 #: buckets of words, word pairs, endings and repeats
-SPACES = (1 << 15, 1 << 15, 1 << 12, 8)
+SPACES = (1 << 12, 1 << 12, 1 << 10, 8)
 BUCKETS = sum(SPACES)
-#: weight, in n-grams, of the raw model inside the target model
-PRIOR = 2000.0
+#: n-grams of each bucket that are taken to be as expected, so that rare ones do not speak by chance
+PRIOR = 10.0
 #: keys are multiples of 1 / KEY
 KEY = 1 << 16
 
@@ -62,36 +63,38 @@ def _grams(column: pa.Array):
 
 
 def _count(batches):
-    """Counts of the task's n-grams: (bucket, raw, target)."""
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    """Counts of the task's n-grams: (bucket, raw, even, odd), the last two of the target's folds."""
+    raw, even, odd = (np.zeros(BUCKETS, np.int64) for _ in range(3))
     for batch in batches:
-        good = np.array(batch.column(1).to_pylist(), bool)
+        fold = batch.column(1).to_numpy()
         for grams, owner, first, _ in _grams(batch.column(0)):
+            own = fold[first + owner]
             raw += np.bincount(grams, minlength=BUCKETS)
-            target += np.bincount(grams[good[first + owner]], minlength=BUCKETS)
+            even += np.bincount(grams[own == 0], minlength=BUCKETS)
+            odd += np.bincount(grams[own == 1], minlength=BUCKETS)
     used = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], ["bucket", "raw", "target"])
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (used, raw[used], even[used], odd[used])], ["bucket", "raw", "even", "odd"])
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Per bucket log(p_target / p_raw), each space of n-grams a distribution of its own."""
     out, at = np.zeros(BUCKETS), 0
     for size in SPACES:
-        r, t = raw[at:at + size] + 0.5, target[at:at + size]
+        r, t = raw[at:at + size], target[at:at + size]
         if t.sum():
-            p = r / r.sum()
-            out[at:at + size] = np.log((t + PRIOR * p) / (t.sum() + PRIOR) / p)
+            out[at:at + size] = np.log((t + PRIOR) / (t.sum() * r / r.sum() + PRIOR))
         at += size
     return out
 
 
-def _weigh(ratio):
+def _weigh(ratios):
+    """A text outside the target is weighed by the whole model, one inside by the other fold's."""
     def run(batches):
-        table = ratio.value
+        tables = ratios.value
         for batch in batches:
-            weights = np.zeros(batch.num_rows)
+            weights, fold = np.zeros(batch.num_rows), batch.column(3).to_numpy()
             for grams, owner, first, n in _grams(batch.column(2)):
-                weights[first:first + n] += np.bincount(owner, table[grams], n)
+                weights[first:first + n] = np.bincount(owner, tables[fold[first + owner], grams], n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weights)], ["id", "draw", "weight"])
     return run
 
@@ -123,17 +126,18 @@ def importance(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """(doc_id, log_weight, key, kept), one row per row of `docs`."""
     spark = docs.sparkSession
     ids = scratch.keep(target_ids(labels, sample=sample), "target")
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    flagged = base.join(F.broadcast(ids.withColumn("good", F.lit(True))), "id", "left")
-    counted = flagged.select(F.col("text").cast("binary").alias("text"), F.coalesce("good", F.lit(False)).alias("good")) \
-        .mapInArrow(_count, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    folds = F.broadcast(ids.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int")))
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
+        .join(folds, "id", "left").withColumn("fold", F.coalesce("fold", F.lit(2)))
+    counted = base.select(F.col("text").cast("binary").alias("text"), "fold") \
+        .mapInArrow(_count, "bucket bigint, raw bigint, even bigint, odd bigint").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", "even", "odd")])
     table = counted.toArrow()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    at = table["bucket"].to_numpy()
-    raw[at], target[at] = table["raw"].to_numpy(), table["target"].to_numpy()
-    ratio = spark.sparkContext.broadcast(log_ratio(raw, target))
-    scored = base.select("id", F.xxhash64("id", "text").alias("draw"), F.col("text").cast("binary").alias("text")) \
-        .mapInArrow(_weigh(ratio), "id bigint, draw bigint, weight double")
+    raw, even, odd = (np.zeros(BUCKETS) for _ in range(3))
+    for name, counts in (("raw", raw), ("even", even), ("odd", odd)):
+        counts[table["bucket"].to_numpy()] = table[name].to_numpy()
+    ratios = spark.sparkContext.broadcast(np.stack([log_ratio(raw, odd), log_ratio(raw, even), log_ratio(raw, even + odd)]))
+    scored = base.select("id", F.xxhash64("id", "text").alias("draw"), F.col("text").cast("binary").alias("text"), "fold") \
+        .mapInArrow(_weigh(ratios), "id bigint, draw bigint, weight double")
     uniform = (F.shiftright(F.col("draw"), 12).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
     fixed = F.round((F.col("weight") - F.log(-F.log(uniform))) * KEY).cast("bigint") + F.lit(1 << 61)
     keyed = scratch.keep(scored.withColumn("fixed", fixed), "keys")
