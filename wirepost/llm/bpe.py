@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 LEAF = 32
 NEVER = 1 << 40
 #: pieces after which a task's memory of them begins anew
-MEMORY = 1 << 19
+MEMORY = 1 << 18
 #: bytes of text encoded together
-GROUP = 1 << 23
+GROUP = 1 << 22
 
 
 class Vocabulary:
@@ -261,18 +261,17 @@ def _run(path: str, pattern: str, name: str | None, with_ids: bool):
     def run(batches):
         c = codec(_local(path, name), pattern)
         for batch in batches:
-            n, ids_sha, text_sha, packed = [], [], [], []
+            done = 0
             for group in _grouped(batch.column(1)):
-                for ids in c.encode(group):
-                    n.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
-                    packed.append(ids if with_ids else None)
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                arrays, names = [*arrays, pa.array(packed, pa.binary())], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+                packed = c.encode(group)
+                arrays = [batch.column(0).slice(done, len(group)), pa.array([len(p) // 4 for p in packed], pa.int64()),
+                          pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+                          pa.array([hashlib.sha256(c.decode(p)).hexdigest() for p in packed], pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    arrays, names = [*arrays, pa.array(packed, pa.binary())], [*names, "ids"]
+                done += len(group)
+                yield pa.RecordBatch.from_arrays(arrays, names)
     return run
 
 
