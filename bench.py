@@ -17,9 +17,9 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = ["run_rules", "build_baseline", "evaluate_contrast", "cross_findings", "issue_groups", "posture_score",
             "population_stats", "detector_d2_contrast", "walk_states", "feat_structure", "fit_robust",
-            "ranking_metrics"]
+            "ranking_metrics", "project_frames", "anomaly_lane", "assess_posture", "reconstruct_sessions"]
 SESSION_QUERIES = {"run_rules", "build_baseline", "evaluate_contrast", "cross_findings",
-                   "issue_groups", "posture_score", "feat_structure"}
+                   "issue_groups", "posture_score", "feat_structure", "anomaly_lane", "assess_posture"}
 
 
 def main() -> None:

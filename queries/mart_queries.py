@@ -216,10 +216,13 @@ def frame_label(spark, sf):
     return s.select("stream_key", casts.frame_label(F.col("first_frame"), F.col("last_frame"), F.col("packet_count")).alias("label"))
 
 
-@query("evidence_matrix", f"""WITH {S}, l AS (SELECT capture_id, 'starttls_advertised' AS field, adv_state || '|' || coalesce(adv_value, '') AS sg FROM s UNION ALL SELECT capture_id, 'tls_negotiated_version', ver_state || '|' || coalesce(ver_value, '') FROM s),
+_SIGNATURES = " UNION ALL ".join(f"SELECT capture_id, '{field}' AS field, {p}_state || '|' || coalesce({p}_value, '') AS sg FROM s" for field, (p, _) in lifts.FIELD_LAYOUT.items())
+
+
+@query("evidence_matrix", f"""WITH {S}, l AS ({_SIGNATURES}),
   n AS (SELECT capture_id, field, sg, count(*) AS n FROM l GROUP BY ALL) SELECT capture_id, field, count(*) AS signatures, sum(n) AS sessions, CASE WHEN max(n) * 2 > sum(n) THEN arg_max(sg, n) END AS majority, CASE WHEN max(n) * 2 > sum(n) THEN sum(n) - max(n) ELSE 0 END AS divergent FROM n GROUP BY 1, 2""")
 def evidence_matrix(spark, sf):
-    return marts.evidence_matrix(lifts.sessions(spark, sf).select("capture_id", "starttls_advertised", "tls_negotiated_version"))
+    return marts.evidence_matrix(lifts.sessions(spark, sf))
 
 
 @query("side_facts", f"""WITH {S} SELECT capture_id, client_ip, count(*) AS sessions, count(CASE WHEN adv_value = 'true' THEN 1 END) AS starttls, count(CASE WHEN tls_state <> 'NONE' THEN 1 END) AS tls,

@@ -60,3 +60,21 @@ def test_exact_median(spark):
     for k, _, _, x in rows:
         by.setdefault(k, []).append(x)
     assert got == {k: round(statistics.median(v), 9) for k, v in by.items()}
+
+
+def test_chunk_shorter_than_the_look_back(spark):
+    df = skew.ordinals(frame(spark, hot_rows(600)), ["key"], "block", ["at"], "n")
+    cut = skew.chunked(df, ["key"], "n", lookback=20, chunk=8)
+    near = W.partitionBy("key", "_chunk").orderBy("n").rowsBetween(-20, -1)
+    whole = W.partitionBy("key").orderBy("at").rowsBetween(-20, -1)
+    got = {r["at"]: r["s"] for r in skew.own_rows(cut.withColumn("s", F.sum("v").over(near))).collect()}
+    assert got == {r["at"]: r["s"] for r in df.withColumn("s", F.sum("v").over(whole)).collect()}
+
+
+def test_median_with_heavy_tail_and_infinity(spark):
+    rnd = random.Random(8)
+    values = {"tail": [rnd.paretovariate(0.3) for _ in range(801)], "inf": [float("inf")] * 3 + [-float("inf")] + [rnd.random() for _ in range(60)],
+              "offset": [1e9 + rnd.random() for _ in range(301)], "all_inf": [float("inf")] * 5, "negative": [-rnd.paretovariate(0.5) for _ in range(101)]}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in values.items() for x in xs], "key string, x double").repartition(3)
+    got = {r["key"]: r["median"] for r in skew.median(df, ["key"], "x").collect()}
+    assert got == {k: statistics.median(xs) for k, xs in values.items()}

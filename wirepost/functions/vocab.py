@@ -514,8 +514,3 @@ def dim_class(spark: SparkSession) -> DataFrame:
 
 def dim_edges(spark: SparkSession) -> DataFrame:
     return inline(spark, JOB_EDGES, "from_state string, to_state string")
-
-
-def dim_labels(spark: SparkSession) -> DataFrame:
-    rows = [(voc, key, text) for voc, table in LABELS.items() for key, text in table.items()]
-    return inline(spark, rows, "vocabulary string, code string, label string")

@@ -354,7 +354,7 @@ def fit_wide(matrix: DataFrame, groups=None, exclude=()) -> DataFrame:
 
 def score_wide(matrix: DataFrame, stats: DataFrame) -> DataFrame:
     """Total absolute deviation of each row."""
-    z = F.expr("""zip_with(row, stats, (v, t) -> CASE WHEN t.constant THEN CASE WHEN v = t.med THEN 0D ELSE 3D END
+    z = F.expr(f"""zip_with(row, stats, (v, t) -> CASE WHEN t.constant THEN CASE WHEN v = t.med THEN 0D ELSE {NOVELTY}D END
                   ELSE abs(v - t.med) / t.scale END)""")
     return matrix.join(stats, "capture_id").withColumn(
         "score", F.aggregate(z, F.lit(0.0), lambda a, x: a + x)).drop("stats")

@@ -16,6 +16,10 @@ from wirepost.functions import evidence as ev
 from wirepost.operators import crypto, skew
 
 STREAM = ["capture_id", "tcp_stream_id"]
+#: characters that end a line besides a carriage return: line feed, vertical tab, form feed, next
+#: line, line and paragraph separator
+LINE_MARK = "[\n\x0b\x0c\x85\u2028\u2029]"
+LINE_END = f"\r\n|\r|{LINE_MARK}"
 FRAME_RANGE = 1024
 PORTS = list(vocab.MAIL_PORTS)
 
@@ -229,7 +233,7 @@ def pop3_events(frames: DataFrame) -> DataFrame:
     marked = skew.running_max(marked, STREAM, "_block", ["frame_number"], F.when(plain_ok, n), "_ok", before=True)
     pending = F.col("_capa").isNotNull() & (F.col("_ok").isNull() | (F.col("_capa") > F.col("_ok")))
     listing = plain_ok & (F.upper(desc).contains("CAPABILITY LIST") | pending)
-    stls = F.exists(F.split("payload_text", r"\r\n|\r|\n"), lambda x: F.upper(F.trim(x)) == "STLS")
+    stls = F.exists(F.split("payload_text", LINE_END), lambda x: F.upper(F.trim(x)) == "STLS")
     return _explode_events(marked, [
         _event("capability_request", 0, cmd == "CAPA", "CAPA"),
         _event("starttls_command", 0, cmd == "STLS", "STLS"),
@@ -354,9 +358,8 @@ def reassembled_advert(directed: DataFrame) -> DataFrame:
         "_at", F.when(F.col("_gap"), F.col("frame_number")).otherwise(seq))
     ordered = ordered.withColumn("_block", F.floor(F.col("_at") / (1 << 20)))
     # a carriage return and its line feed may arrive in different segments
-    pieces = F.split("payload_text", "(?<=\n)|(?<=\r)(?!\n)")
-    ends = F.size(F.filter(F.split("payload_text", "(?<=\n)|(?<=\r)(?!\n)"),
-                           lambda p: p.endswith("\n") | p.endswith("\r")))
+    pieces = F.split("payload_text", f"(?<={LINE_MARK})|(?<=\r)(?!\n)")
+    ends = F.size(F.filter(pieces, lambda p: p.rlike(f"({LINE_MARK}|\r)$")))
     counted = skew.running_total(ordered, STREAM, "_block", ["_at", "frame_number"], ends, "_upto")
     rows = counted.select(*STREAM, "_at", "frame_number", (F.col("_upto") - ends).alias("_base"),
                           F.posexplode(pieces).alias("_i", "piece")).filter(F.col("piece") != "")
@@ -366,7 +369,7 @@ def reassembled_advert(directed: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(letters <= 12, F.struct("_at", "frame_number", "piece"))))
          .alias("_p"))
     # a capability line has at most twelve visible characters
-    text = F.regexp_replace(F.array_join(F.transform("_p", lambda p: p["piece"]), ""), r"[\r\n]+$", "")
+    text = F.regexp_replace(F.array_join(F.transform("_p", lambda p: p["piece"]), ""), f"({LINE_MARK}|\r)+$", "")
     return lines.filter((F.col("_letters") <= 12) & text.rlike(vocab.CAPABILITY_LINE)) \
         .select(*STREAM, F.explode(F.transform("_p", lambda p: p["frame_number"])).alias("frame_number")) \
         .distinct()
@@ -473,7 +476,7 @@ def plaintext_after() -> Column:
                  F.greatest("plaintext_command_hi", "auth_command_hi"), clear)))
             .when(boundary.isNull(), ev.observed("false", "no cleartext activity"))
             .when(F.coalesce(last_clear > boundary, F.lit(False)), ev.observed(
-                "true", "cleartext activity after the upgrade point", (None, last_clear, None)))
+                "true", "cleartext activity after the upgrade point", (last_clear, last_clear, F.lit(1))))
             .otherwise(ev.observed("false", "no cleartext activity after the upgrade point")))
 
 

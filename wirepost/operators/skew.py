@@ -8,6 +8,8 @@ so the result is exact and no task sees more than one block.
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,7 +46,9 @@ def chunked(df: DataFrame, keys: list[str], ordinal: str, lookback: int,
             chunk: int = CHUNK) -> DataFrame:
     """Cut each key into fixed-size chunks and copy the last `lookback` rows of a chunk into
     the next one, so a `rowsBetween(-lookback, ...)` window partitioned by (keys, _chunk) sees
-    what a window over the whole key would.  Drop the copies afterwards with `own_rows`."""
+    what a window over the whole key would.  Drop the copies afterwards with `own_rows`.  A chunk
+    is never shorter than the look-back, else a window would reach past the copies."""
+    chunk = max(chunk, lookback)
     at = F.floor((F.col(ordinal) - 1) / chunk)
     near_end = (F.col(ordinal) - 1) % chunk >= chunk - lookback
     return (df.withColumn("_home", at)
@@ -57,22 +61,25 @@ def own_rows(df: DataFrame) -> DataFrame:
 
 
 def values_at(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column],
-              bins: int = 4096) -> DataFrame:
+              bins: int = 1024) -> DataFrame:
     """Exact order statistics per key.
 
     `ranks` maps an output name to a 1-based rank, an expression over the key's row count `n`.
-    Equal values are counted before they travel; a fixed-width histogram between the exact
-    minimum and maximum then names the bin that holds each rank, and only the distinct values
-    of those bins are ordered.
+    Equal values are counted before they travel.  A histogram then names the bin that holds each
+    rank, and only the distinct values of those bins are ordered.  Bins are octaves of the distance
+    from the key's least value, each cut into `bins` parts of equal width, so a heavy tail does not
+    press all other values into one bin; infinite values have bins of their own.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value) \
         .agg(F.count(F.lit(1)).alias("_c"))
-    span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-                                 F.count(value).alias("n"))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
+    finite = F.col(value).between(-sys.float_info.max, sys.float_info.max)
+    span = df.groupBy(*keys).agg(F.min(F.when(finite, F.col(value))).alias("_lo"), F.count(value).alias("n"))
+    far = F.greatest(F.col(value) - F.coalesce("_lo", F.lit(0.0)), F.lit(2.0 ** -40))
+    octave = F.floor(F.log2(far))
+    inside = F.least(F.floor((far / F.pow(F.lit(2.0), octave) - 1) * bins), F.lit(bins - 1))
     binned = counts.join(span, keys).withColumn(
-        "_bin", F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width),
-                                          F.lit(bins - 1))).otherwise(F.lit(0)))
+        "_bin", F.when(finite, octave * bins + inside).otherwise(
+            F.when(F.col(value) < 0, F.lit(-(1 << 40))).otherwise(F.lit(1 << 40))).cast("bigint"))
     hist = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_bc"), F.max("n").alias("n"))
     upto = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow)
     wanted = F.array(*[F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank"))
