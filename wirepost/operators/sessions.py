@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wirepost.functions import casts, vocab
 from wirepost.functions import evidence as ev
 from wirepost.operators import crypto, skew
+from wirepost.plans import lineage
 
 STREAM = ["capture_id", "tcp_stream_id"]
 #: characters that end a line besides a carriage return: line feed, vertical tab, form feed, next
@@ -21,6 +22,8 @@ STREAM = ["capture_id", "tcp_stream_id"]
 LINE_MARK = "[\n\x0b\x0c\x85\u2028\u2029]"
 LINE_END = f"\r\n|\r|{LINE_MARK}"
 FRAME_RANGE = 1024
+#: frame ranges of a section of the dialogue walk
+SECTION = 1024
 PORTS = list(vocab.MAIL_PORTS)
 
 
@@ -282,8 +285,10 @@ def walk_states(events: DataFrame) -> DataFrame:
     """Every event with the state before it and the state it led to (null when ignored).
 
     A frame range is folded once from every possible state, which turns it into a small lookup
-    vector.  The vectors before a range give its true starting state, and one more fold inside
-    the range replays the events.
+    vector.  Vectors compose: those of a thousand ranges make the vector of a section, the sections
+    before one give its starting state, the ranges before one inside its section that of the range,
+    and one more fold inside the range replays the events.  So no list is longer than a section,
+    but that of a stream's sections, each about a million frames.
     """
     edges = _edges()
     row = F.struct("frame_number", "pos", "kind", "detail", "timestamp_epoch")
@@ -294,11 +299,17 @@ def walk_states(events: DataFrame) -> DataFrame:
         return F.coalesce(edges[F.concat(e["kind"], F.lit("|"), state.cast("string"))], state)
 
     starts = F.array(*[F.lit(i) for i in range(len(WALK_STATES))])
-    vector = F.transform(starts, lambda s: F.aggregate("_ev", s, step))
-    before = W.partitionBy(*STREAM).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    placed = ranges.withColumn("_vector", vector) \
-        .withColumn("_prior", F.collect_list("_vector").over(before)) \
-        .withColumn("_start", F.aggregate("_prior", F.lit(0), lambda s, v: F.get(v, s)))
+    ranges = ranges.withColumns({"_vector": F.transform(starts, lambda s: F.aggregate("_ev", s, step)),
+                                 "_section": F.floor(F.col("_range") / SECTION)})
+    earlier = lambda key, by: W.partitionBy(*key).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+    follow = lambda vectors, start: F.aggregate(vectors, start, lambda s, v: F.get(v, s))
+    sections = ranges.groupBy(*STREAM, "_section").agg(F.array_sort(F.collect_list(F.struct("_range", "_vector"))).alias("_parts")) \
+        .withColumn("_whole", F.transform(starts, lambda s: F.aggregate("_parts", s, lambda a, p: F.get(p["_vector"], a)))) \
+        .withColumn("_before", F.collect_list("_whole").over(earlier(STREAM, "_section"))) \
+        .select(*STREAM, "_section", follow("_before", F.lit(0)).alias("_entry"))
+    placed = ranges.join(sections, [*STREAM, "_section"]) \
+        .withColumn("_prior", F.collect_list("_vector").over(earlier([*STREAM, "_section"], "_range"))) \
+        .withColumn("_start", follow("_prior", F.col("_entry")))
 
     def replay(acc: Column, e: Column) -> Column:
         key = F.concat(e["kind"], F.lit("|"), acc["state"].cast("string"))
@@ -498,9 +509,11 @@ def reconstruct_sessions(spark: SparkSession, frames: DataFrame,
     """
     # packets outside any stream form one group of their own; -1 keeps them joinable
     frames = frames.withColumn("tcp_stream_id", F.coalesce("tcp_stream_id", F.lit(-1)))
-    facts = stream_facts(frames)
-    directed = with_direction(frames, facts)
-    events = dedupe_events(mail_events(directed))
+    # three tables are read by many branches and are written once each: the facts of a stream, the
+    # frames with a cleartext dialogue, and its events
+    facts = lineage.cut(stream_facts(frames))
+    directed = lineage.cut(with_direction(frames, facts.filter("protocol is not null and not implicit")))
+    events = lineage.cut(dedupe_events(mail_events(directed)))
     per_event = event_facts(events)
     steps = walk_states(events).filter(F.col("to_state").isNotNull())
     walked = steps.groupBy(*STREAM).agg(
