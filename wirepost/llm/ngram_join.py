@@ -38,6 +38,8 @@ LEAST = 80
 FREQUENT, RANKED = 3, 1 << 20
 #: parts that a frequent shingle's list is spread over
 SALTS = 64
+#: texts of a hub from which on they are measured against it
+POPULAR = 64
 #: places in a set from here on count as this one
 FAR = 32767
 FRAGMENTS = 8
@@ -265,7 +267,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = scratch.keep(profiled(met, members, least), "sides")
 
     # one hub per list; each text is compared with the hub that it shares most lists with among those
-    # that it could link with, and with the most popular of its hubs
+    # that it could link with, and with the most popular of its hubs if that has many texts: only
+    # there do bounds by a common hub save many pairs
     hubs = own.groupBy("token").agg(F.min(F.struct("at", "rep", "n", "most", "complete")).alias("hub"))
     fits = _may_reach(lambda c: F.col(f"hub.{c}"), F.col, least)
     spokes = scratch.keep(
@@ -273,8 +276,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.count(F.lit(1)).alias("lists"), F.max(fits).alias("fits")), "spokes")
     best = F.max(F.struct("lists", "a", "n_a"))
     near = spokes.filter("fits").groupBy("rep", "n").agg(best.alias("s")).select("s.a", F.col("rep").alias("b"), "s.n_a", F.col("n").alias("n_b"))
-    popular = spokes.groupBy("a").agg(F.count(F.lit(1)).alias("texts"))
-    common = scratch.keep(spokes.join(popular, "a").groupBy("rep", "n").agg(F.max(F.struct("texts", "a", "n_a")).alias("s"))
+    alike = F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * least
+    popular = spokes.groupBy("a").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= POPULAR)
+    common = scratch.keep(spokes.filter(alike).join(popular, "a").groupBy("rep", "n").agg(F.max(F.struct("texts", "a", "n_a")).alias("s"))
                           .select("s.a", F.col("rep").alias("b"), "s.n_a", F.col("n").alias("n_b")), "common")
     stars = scratch.keep(compared(texts, near.unionByName(common).distinct(), k, least, fragments), "compared")
     links = stars.filter("linked").select("a", "b")
