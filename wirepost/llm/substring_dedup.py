@@ -155,7 +155,7 @@ def repeated_runs(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     k = first_length(window)
     runs = scratch.keep(texts.mapInArrow(_runs(window), "row bigint, start int, count short, offset short, anchor bigint, right int, left int, span bigint"), "runs")
     twice = runs.groupBy("anchor").count().filter("count > 1").select("anchor")
-    live = scratch.keep(runs.join(twice, "anchor", "left_semi"), "level1")
+    live = scratch.keep(scratch.narrow(runs, "anchor", twice).join(twice, "anchor", "left_semi"), "level1")
 
     kind = ["anchor", "offset", "count", "span"]
     classes = scratch.keep(live.groupBy(*kind, "right", "left").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.min_by("start", "row").alias("start")), "classes")
