@@ -440,3 +440,24 @@ _LB = ", ".join(f"count(CASE WHEN band = '{b}' THEN 1 END) AS {b.lower()}" for b
 @query("lane_report", f"WITH {S}, {FT}, {LANE} SELECT capture_id, count(*) AS sessions_seen, count(score) AS sessions_scored, count(*) - count(score) AS abstentions, round(max(threshold), 3) AS threshold, {_LB} FROM ab GROUP BY 1")
 def lane_report(spark, sf):
     return anomaly.lane_report(lane(spark, sf)).withColumn("threshold", F.round("threshold", 3))
+
+
+@query("custom_anomaly_model", f"""WITH {S}, {FT}, {MX}, lg AS (SELECT capture_id, stream_key, unnest(range(1, len(r) + 1)) AS c, unnest(r) AS v FROM mx),
+  mn AS (SELECT capture_id, c, avg(v) AS m FROM lg GROUP BY 1, 2),
+  sc AS (SELECT lg.capture_id, stream_key, sqrt(sum(pow(v - m, 2))) AS score FROM lg JOIN mn ON lg.capture_id = mn.capture_id AND lg.c = mn.c GROUP BY 1, 2)
+  SELECT sc.capture_id, sc.stream_key, CASE WHEN the_protocol IS NOT NULL THEN round(score, 3) END AS score, 'mean-distance' AS model FROM sc JOIN mx ON sc.stream_key = mx.stream_key""")
+def custom_anomaly_model(spark, sf):
+    found = anomaly.anomaly_lane(context(spark, sf), model=anomaly.MEAN_MODEL, judge_truncated=True)
+    return found.select("capture_id", "stream_key", F.round("score", 3).alias("score"), "model")
+
+
+_TOP = "row_number() OVER (PARTITION BY lg.capture_id, stream_key ORDER BY abs(CASE WHEN sc < 0.000001 THEN CASE WHEN v = m THEN 0.0 ELSE 3.0 END ELSE (v - m) / sc END) DESC, lg.c)"
+
+
+@query("explained_anomalies", f"""WITH {S}, {FT}, {LANE}, tp AS (SELECT lg.capture_id, stream_key, lg.c - 1 AS at, {_TOP} AS place,
+    abs(CASE WHEN sc < 0.000001 THEN CASE WHEN v = m THEN 0.0 ELSE 3.0 END ELSE (v - m) / sc END) AS contribution FROM lg JOIN ma ON lg.capture_id = ma.capture_id AND lg.c = ma.c)
+  SELECT tp.capture_id, tp.stream_key, count(*) AS features, round(sum(contribution), 3) AS explained FROM tp JOIN ab ON ab.stream_key = tp.stream_key
+  WHERE place <= 5 AND contribution > 1e-9 AND score IS NOT NULL GROUP BY 1, 2""")
+def explained_anomalies(spark, sf):
+    found = lane(spark, sf).filter("score is not null").select("capture_id", "stream_key", F.explode("top_features").alias("t"))
+    return found.groupBy("capture_id", "stream_key").agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("t.contribution"), 3).alias("explained"))

@@ -7,6 +7,9 @@ medians follow from sums and only the few numeric columns are ever exploded.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -352,28 +355,72 @@ def fit_wide(matrix: DataFrame, groups=None, exclude=()) -> DataFrame:
     return sums.join(fitted, "capture_id", "left").select("capture_id", stats.alias("stats"))
 
 
-def score_wide(matrix: DataFrame, stats: DataFrame) -> DataFrame:
-    """Total absolute deviation of each row."""
-    z = F.expr(f"""zip_with(row, stats, (v, t) -> CASE WHEN t.constant THEN CASE WHEN v = t.med THEN 0D ELSE {NOVELTY}D END
-                  ELSE abs(v - t.med) / t.scale END)""")
-    return matrix.join(stats, "capture_id").withColumn(
-        "score", F.aggregate(z, F.lit(0.0), lambda a, x: a + x)).drop("stats")
+@dataclass(frozen=True)
+class Model:
+    """What a lane needs of a model: `fit` turns the matrix (capture_id, row) into one `stats` per
+    capture, `terms` gives the signed deviation of each column of `row` under `stats`, and `score`
+    the total of such terms."""
+    name: str
+    basis: str
+    fit: Callable[[DataFrame], DataFrame]
+    terms: Callable[[], Column]
+    score: Callable[[Column], Column]
+
+
+def _robust_terms() -> Column:
+    return F.expr(f"""zip_with(row, stats, (v, t) -> CASE WHEN t.constant THEN CASE WHEN v = t.med THEN 0D ELSE {NOVELTY}D END
+                      ELSE (v - t.med) / t.scale END)""")
+
+
+def robust_model(groups=None, exclude=()) -> Model:
+    return Model("robust-z", "median and scaled deviation of the capture's own sessions", lambda m: fit_wide(m, groups, exclude),
+                 _robust_terms, lambda terms: F.aggregate(terms, F.lit(0.0), lambda a, x: a + F.abs(x)))
+
+
+def _fit_means(matrix: DataFrame) -> DataFrame:
+    long = matrix.select("capture_id", F.posexplode("row").alias("column", "value"))
+    means = long.groupBy("capture_id", "column").agg(F.avg("value").alias("mean"))
+    return means.groupBy("capture_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("column", "mean"))), lambda c: c["mean"]).alias("stats"))
+
+
+MEAN_MODEL = Model("mean-distance", "mean of the capture's own sessions", _fit_means, lambda: F.zip_with("row", "stats", lambda v, m: v - m),
+                   lambda terms: F.sqrt(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x * x)))
+
+
+def _top_terms(names: list[str], k: int) -> Column:
+    """The columns a score rests on most; ties go to the earlier column."""
+    placed = F.transform("_terms", lambda t, i: F.struct((-F.abs(t)).alias("least"), i.alias("at"), t.alias("term")))
+    first = F.slice(F.sort_array(F.filter(placed, lambda p: p["least"] < -1e-9)), 1, k)
+    known = F.array(*[F.lit(n) for n in names])
+    return F.transform(first, lambda p: F.struct(
+        F.get(known, p["at"]).alias("column"), (-p["least"]).alias("contribution"),
+        F.when(p["term"] > 0, "above_normal").otherwise("below_normal").alias("direction")))
 
 
-def anomaly_lane(context: DataFrame, quantile: float = 0.95, groups=None, exclude=()) -> DataFrame:
-    """Fit, threshold and score every capture on its own sessions.
+def anomaly_lane(context: DataFrame, quantile: float = 0.95, groups=None, exclude=(), model: Model | None = None,
+                 judge_truncated: bool = False, top: int = 5) -> DataFrame:
+    """Fit, threshold, score and explain every capture on its own sessions.
 
     All sessions take part in the fit and the threshold; those that must not be judged come out
-    as NOT_SCORED.
+    as NOT_SCORED (`judge_truncated` opts truncated and incomplete ones in).  A result names its top
+    columns, the model and its basis, the layout and a hash of the fitted statistics.
     """
+    if not 0.0 < quantile < 1.0:
+        raise ValueError(f"quantile {quantile} is not between 0 and 1")
+    model = model or robust_model(groups, exclude)
     feats = features(context, groups, keep=("protocol", "completeness"))
     # the matrix feeds every column statistic, the scores and the result: compute it once
     matrix = cut(encode(feats, groups, exclude, keep=("protocol", "completeness")))
-    scored = score_wide(matrix, cut(fit_wide(matrix, groups, exclude))).drop("row")
+    stats = cut(model.fit(matrix)).withColumn("artifact_hash", F.sha2(F.to_json(F.struct("stats"), {"ignoreNullFields": "false"}), 256))
+    names = [c for c, _, _ in layout(groups, exclude)]
+    scored = matrix.join(stats, "capture_id").withColumn("_terms", model.terms()) \
+        .withColumns({"score": model.score(F.col("_terms")), "top_features": _top_terms(names, top)}).drop("row", "stats", "_terms")
     limits = threshold(scored, ["capture_id"], quantile)
-    reason = abstain_reason()
+    reason = F.when(F.col("protocol").isNull(), "no mail protocol") if judge_truncated else abstain_reason()
     return (scored.join(limits, "capture_id", "left")
-            .withColumn("reason", reason).withColumn("score", F.when(F.col("reason").isNull(), F.col("score")))
+            .withColumns({"reason": reason, "model": F.lit(model.name), "basis": F.lit(model.basis), "layout": layout_signature(groups, exclude)})
+            .withColumn("score", F.when(F.col("reason").isNull(), F.col("score")))
+            .withColumn("top_features", F.when(F.col("reason").isNull(), F.col("top_features")))
             .withColumn("band", band()).drop("protocol", "completeness"))
 
 
