@@ -42,7 +42,7 @@ SALTS = 64
 POPULAR = 64
 #: places in a set from here on count as this one
 FAR = 32767
-FRAGMENTS = 8
+FRAGMENTS = 4
 #: shingles counted together before a task reports those that repeat
 COUNTED = 1 << 21
 #: shingles of cut sets sent on together
