@@ -86,6 +86,62 @@ def test_near_groups_on_copies_that_only_meet_in_their_origin(spark, monkeypatch
     assert cases.ordered(ngram_join.near_groups(docs).collect()) == want
 
 
+def word_sets(rows):
+    """Components of texts as sets of words (k = 1), by comparing all pairs."""
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    sets = {i: set(t.split()) for i, t in rows}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return [(i, len(sets[i]), find(i)) for i in sets]
+
+
+def in_order(names, frequent=False):
+    """`names` in the global order of one-word shingles: by hash, frequent ones of one count by signed hash."""
+    import pyarrow as pa
+    hashed = {n: int(next(ngram_join._sets(pa.array([n.encode()], pa.binary()), 1))[0]) for n in names}
+    return sorted(names, key=lambda n: (hashed[n] + (1 << 63)) % (1 << 64) if frequent else hashed[n])
+
+
+def test_links_past_a_popular_hub_that_is_not_complete(spark, monkeypatch):
+    """a and b share 90 of 100 words; the hub h holds ten more of a's rare words, beyond its prefix."""
+    monkeypatch.setattr(ngram_join, "POPULAR", 1)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 4)
+    rare = in_order([f"r{i}" for i in range(61)])
+    x, others, ys = rare[0], rare[1:51], rare[51:]
+    often = in_order([f"f{i}" for i in range(99)], frequent=True)
+    own = lambda name: [f"{name}{i}" for i in range(100)]
+    # p .. s give every word of `often` one count, c is the hub of the frequent ones in both prefixes
+    a, b, h, c = [x, *ys, *often[:89]], [x, *often], [x, *ys, *others, *often[:39]], often[:60]
+    rows = [(1, h), (2, a), (3, b), (4, c), (5, own("p") + often[39:]), (6, own("q") + often[60:]), (7, own("s") + often[89:])]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    want = word_sets(rows)
+    assert (3, 100, 2) in want
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert cases.ordered(ngram_join.near_groups(docs, k=1, fragments=1).collect()) == cases.ordered(want)
+
+
+def test_popular_hubs_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "POPULAR", 1)
+    r = random.Random(11)
+    rows = []
+    for g in range(12):
+        base, odd = [f"g{g}w{i}" for i in range(60)], [f"g{g}o{i}" for i in range(40)]
+        for i in range(12):
+            out = r.randint(2, 16)
+            rows.append((100 * g + i, " ".join(r.sample(base, 60 - out) + r.sample(odd, r.randint(0, out)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for fragments in (1, 4):
+        assert cases.ordered(ngram_join.near_groups(docs, k=1, fragments=fragments).collect()) == cases.ordered(word_sets(rows))
+
+
 def test_keep_first(spark):
     rows = cases.documents()
     got = [r.doc_id for r in ngram_join.keep_first(cases.frame(spark, rows)).collect()]

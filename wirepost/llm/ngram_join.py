@@ -223,9 +223,12 @@ def _may_reach(a, b, least: int):
 
 def _may_reach_by_hub(a, b, least: int):
     """Whether two sets that were compared with one hub can reach the threshold: what they share lies
-    in the hub, so in the smaller of the two overlaps with it, or outside of it in both."""
-    out_a = F.when(b("complete"), a("most")).otherwise(a("n")) - a("low")
-    out_b = F.when(a("complete"), b("most")).otherwise(b("n")) - b("low")
+    in the hub, so in the smaller of the two overlaps with it, or outside of it in both.  An overlap
+    is taken off `most` only if the hub is complete: else it can hold shingles `most` has left out."""
+    def outside(x, other):
+        rest = x("n") - x("low")
+        return F.when(other("complete"), F.when(x("whole"), x("most") - x("low")).otherwise(F.least(x("most"), rest))).otherwise(rest)
+    out_a, out_b = outside(a, b), outside(b, a)
     most = F.least(a("high"), b("high")) + F.greatest(F.least(out_a, out_b), F.lit(0))
     return ~F.coalesce(a("hub") == b("hub"), F.lit(False)) | (most * (100 + least) >= (a("n") + b("n")) * least)
 
@@ -273,17 +276,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fits = _may_reach(lambda c: F.col(f"hub.{c}"), F.col, least)
     spokes = scratch.keep(
         own.join(hubs, "token").filter("rep <> hub.rep").groupBy("rep", "n", F.col("hub.rep").alias("a"), F.col("hub.n").alias("n_a"))
-        .agg(F.count(F.lit(1)).alias("lists"), F.max(fits).alias("fits")), "spokes")
+        .agg(F.count(F.lit(1)).alias("lists"), F.max(fits).alias("fits"), F.max("hub.complete").alias("whole")), "spokes")
     best = F.max(F.struct("lists", "a", "n_a"))
     near = spokes.filter("fits").groupBy("rep", "n").agg(best.alias("s")).select("s.a", F.col("rep").alias("b"), "s.n_a", F.col("n").alias("n_b"))
     alike = F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * least
     popular = spokes.groupBy("a").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= POPULAR)
-    common = scratch.keep(spokes.filter(alike).join(popular, "a").groupBy("rep", "n").agg(F.max(F.struct("texts", "a", "n_a")).alias("s"))
-                          .select("s.a", F.col("rep").alias("b"), "s.n_a", F.col("n").alias("n_b")), "common")
-    stars = scratch.keep(compared(texts, near.unionByName(common).distinct(), k, least, fragments), "compared")
+    common = scratch.keep(spokes.filter(alike).join(popular, "a").groupBy("rep", "n").agg(F.max(F.struct("texts", "a", "n_a", "whole")).alias("s"))
+                          .select("s.a", F.col("rep").alias("b"), "s.n_a", F.col("n").alias("n_b"), "s.whole"), "common")
+    stars = scratch.keep(compared(texts, near.unionByName(common.drop("whole")).distinct(), k, least, fragments), "compared")
     links = stars.filter("linked").select("a", "b")
     roots = components(links)
-    measured = stars.join(common.select("a", "b"), ["a", "b"]).select(F.col("b").alias("rep"), F.col("a").alias("hub"), "low", "high")
+    measured = stars.join(common.select("a", "b", "whole"), ["a", "b"]).select(F.col("b").alias("rep"), F.col("a").alias("hub"), "low", "high", "whole")
 
     # every other pair that could still join two components
     own = own.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")) \
@@ -291,7 +294,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = scratch.keep(own, "rooted")
     mixed = own.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("greatest")).filter("least <> greatest").select("token")
     left = own.join(mixed, "token", "left_semi")
-    right = left.withColumnsRenamed({c: f"{c}_b" for c in (*SIDE, "root", "hub", "low", "high")})
+    right = left.withColumnsRenamed({c: f"{c}_b" for c in (*SIDE, "root", "hub", "low", "high", "whole")})
     own_b = lambda c: F.col(f"{c}_b")
     rest = left.join(right, "token").filter((F.col("rep") < F.col("rep_b")) & (F.col("root") != F.col("root_b"))
                                             & _may_reach(F.col, own_b, least) & _may_reach_by_hub(F.col, own_b, least)) \
