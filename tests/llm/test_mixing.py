@@ -60,6 +60,15 @@ def test_rates_are_one_tilt_per_source(spark):
         assert expected == pytest.approx(next(g.target for g in got if g.source == s), rel=1e-4)
 
 
+@pytest.mark.parametrize("share", [1.4, 1.6])
+def test_one_long_text_leaves_no_gap(spark, share):
+    """The rounding takes the long text once or twice, not 1.3 or 1.7 times; short texts make up for it."""
+    rows = [(i, "w " * (5 + i % 3), "en", "s", 1, 1, "r", "x") for i in range(1000)] + [(5000, "w " * 6000, "en", "s", 1, 1, "r", "x")]
+    got = mixing.plan(cases.frame(spark, rows), share=share).collect()
+    assert len(got) == 1001 and all(g.copies in (0, 1, 2) for g in got)
+    assert abs(sum(g.taken for g in got) - got[0].target) <= 7
+
+
 def test_hot_sizes_are_numbered_in_parts(spark, monkeypatch):
     monkeypatch.setattr(mixing, "NUMBERED", 10)
     rows = [(i, "a b c d", "en", "s" if i % 3 else "t", 1, 1, "r", "x") for i in range(300)]

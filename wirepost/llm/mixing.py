@@ -12,8 +12,9 @@ sizes, one Newton step for all sources at a time.  Sums are of fixed-point integ
 finds the same multipliers whatever order tasks finish in.
 
 Rates become copies by systematic rounding along each source ordered by size: neighbours have
-nearly the same size, so a source's words miss its target by about one long document at most,
-and a few shorter documents mend that.
+nearly the same size, so a source's words miss its target by about one long document at most.
+Shorter documents fill that gap, as many as it takes; where they do not suffice, one longer document
+is changed as well and shorter ones make up for its excess.
 
 Defined results: null text has size 0; null source is a source of its own, ordered last; a source
 without words has target 0; rows that repeat an id are documents of their own; an empty table gives
@@ -37,8 +38,9 @@ TERM = 1 << 10
 STEPS, STEP, EXACT = 60, 4.0, 1e-7
 #: documents of one source and size that one task numbers, about
 NUMBERED = 100_000
-#: documents per power of two that may mend a source's last gap
-MENDED = 4
+#: the documents of a power of two of size are tried by so many blocks (a power of two), the blocks of
+#: a block again, until blocks are single documents
+BLOCKS = 64
 
 
 def words_in(text: Column) -> Column:
@@ -129,30 +131,93 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
             .select("doc_id", "source", "size", "part", "place", F.col("source_size").cast("bigint").alias("source_size"), "target",
                     (F.col("unit") / UNIT).alias("rate"), "copies"))
     rows = scratch.keep(rows, "rounded")
-    mended = _mend(rows, most)
-    return rows.join(mended, rows["source"].eqNullSafe(mended["of"]) & (rows["size"] == mended["of_size"])
-                     & (rows["part"] == mended["of_part"]) & (rows["place"] == mended["of_place"]), "left") \
-        .withColumn("copies", (F.col("copies") + F.coalesce("change", F.lit(0))).cast("int")) \
-        .select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
-
-
-def _mend(rows: DataFrame, most: int) -> DataFrame:
-    """(of, of_size, of_part, of_place, change): documents that get one copy more or less so that
-    their source meets its target closely.  Systematic rounding leaves a gap of about one long
-    document; it is filled greedily from a few documents of each power of two below the gap."""
-    gaps = rows.groupBy("source").agg(F.round(F.first("target") - F.sum(F.col("copies") * F.col("size"))).cast("bigint").alias("gap")) \
-        .withColumnRenamed("source", "of")
-    few = rows.join(gaps, rows["source"].eqNullSafe(gaps["of"])).withColumn("change", F.signum("gap").cast("int")) \
-        .filter((F.col("size") > 0) & (F.col("size") <= F.abs("gap")) & (F.col("copies") + F.col("change")).between(0, most)) \
-        .withColumn("octave", F.floor(F.log2(F.abs("gap") / F.col("size"))))
-    order = Window.partitionBy("of", "octave").orderBy(F.xxhash64("doc_id"), "doc_id", "part", "place")
-    few = few.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= MENDED)
-    item = F.struct(F.col("size").alias("size"), F.col("part").alias("part"), F.col("place").alias("place"), F.col("change").alias("change"))
-    folded = few.groupBy("of").agg(F.abs(F.first("gap")).alias("gap"), F.reverse(F.sort_array(F.collect_list(item))).alias("items")) \
-        .select("of", F.expr("""aggregate(items, struct(gap AS left, filter(items, i -> false) AS took),
-            (acc, i) -> CASE WHEN i.size <= acc.left THEN struct(acc.left - i.size AS left, concat(acc.took, array(i)) AS took) ELSE acc END).took""").alias("took"))
-    return folded.select("of", F.inline("took")).select(
-        "of", F.col("size").alias("of_size"), F.col("part").alias("of_part"), F.col("place").alias("of_place"), "change")
+    filled = _fill(rows, _gaps(rows), most)
+    return filled.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
+
+
+PLACE = ("source", "size", "part", "place")
+
+
+def _gaps(rows: DataFrame) -> DataFrame:
+    """(of, gap): words that a source lacks to its target, negative where it has more."""
+    return rows.groupBy(F.col("source").alias("of")).agg(F.round(F.first("target") - F.sum(F.col("copies") * F.col("size"))).cast("bigint").alias("gap"))
+
+
+def _changed(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """`rows` with the changes (of_source, of_size, of_part, of_place, change) in their copies."""
+    same = [rows[c].eqNullSafe(changes[f"of_{c}"]) for c in PLACE]
+    return rows.join(changes, same, "left").withColumn("copies", (F.col("copies") + F.coalesce("change", F.lit(0))).cast("int")).select(*rows.columns)
+
+
+def _fill(rows: DataFrame, gaps: DataFrame, most: int) -> DataFrame:
+    """`rows` with the copies changed so that sources meet their targets.
+
+    A source that stays off by one of its shortest texts or more has no room left in texts below the
+    gap.  There one text above the gap is changed too and the excess is taken back from shorter ones;
+    that stands if it comes closer."""
+    gaps = scratch.keep(gaps, "gaps")
+    once = scratch.keep(_changed(rows, _mend(rows, gaps, most)), "mended")
+    left = scratch.keep(_gaps(once), "gaps")
+    shortest = rows.filter("size > 0").groupBy(F.col("source").alias("from")).agg(F.min("size").alias("shortest"))
+    off = left.join(shortest, left["of"].eqNullSafe(F.col("from"))).filter(F.abs("gap") >= F.col("shortest")).select("of", "gap")
+    off = scratch.keep(off, "off")
+    if off.isEmpty():
+        return once
+    some = once.join(off, once["source"].eqNullSafe(off["of"]))
+    sign = F.signum("gap").cast("int")
+    above = some.filter((F.col("size") > F.abs("gap")) & (F.col("copies") + sign).between(0, most)) \
+        .groupBy("of").agg(F.min(F.struct(F.col("size"), F.xxhash64(*PLACE).alias("hash"), *PLACE[2:], sign.alias("change"))).alias("x")) \
+        .select(F.col("of").alias("of_source"), *[F.col(f"x.{c}").alias(f"of_{c}") for c in PLACE[1:]], "x.change")
+    moved = scratch.keep(_changed(some.select(*rows.columns), above), "moved")
+    over = scratch.keep(_gaps(moved), "gaps")
+    twice = scratch.keep(_changed(moved, _mend(moved, over, most)), "mended")
+    closer = _gaps(twice).select(F.col("of").alias("to"), F.col("gap").alias("next")).join(off, F.col("to").eqNullSafe(F.col("of"))) \
+        .filter(F.abs("next") < F.abs("gap")).select("of")
+    closer = scratch.keep(closer, "closer")
+    return once.join(closer, once["source"].eqNullSafe(closer["of"]), "left_anti") \
+        .unionByName(twice.join(closer, twice["source"].eqNullSafe(closer["of"]), "left_semi"))
+
+
+def _mend(rows: DataFrame, gaps: DataFrame, most: int) -> DataFrame:
+    """(of_source, of_size, of_part, of_place, change): documents that get copies more or less so that
+    their source meets its target closely.
+
+    Every copy that a document has room for is one item, in octaves of size, longest first, and in
+    hashed order.  Blocks of items are taken while they fit; of the blocks of an octave that do not,
+    one is cut into blocks anew.  A block left out is larger than what is left of the gap, so the one
+    that is cut suffices to fill it, and in the end what is left is less than one document of it."""
+    gaps = gaps.filter("gap <> 0")
+    room = F.when(F.col("gap") > 0, most - F.col("copies")).otherwise(F.col("copies"))
+    items = rows.join(gaps, rows["source"].eqNullSafe(gaps["of"])).filter((F.col("size") > 0) & (F.col("size") <= F.abs("gap"))).withColumn("room", room) \
+        .filter("room > 0").select(*PLACE, F.signum("gap").cast("int").alias("change"), F.explode(F.sequence(F.lit(1), F.col("room"))).alias("copy")) \
+        .withColumns({"octave": F.floor(F.log2("size")).cast("int"), "hash": F.xxhash64(*PLACE, "copy")})
+    open_ = scratch.keep(items, "items")
+    state = scratch.keep(gaps.select(F.col("of").alias("whose"), F.abs("gap").alias("left")), "left")
+    bits = BLOCKS.bit_length() - 1
+    taken = None
+    for at in range(0, 64, bits):
+        open_ = open_.withColumn("block", F.shiftrightunsigned("hash", at).bitwiseAND(F.lit(BLOCKS - 1)).cast("int"))
+        blocks = open_.groupBy("source", "octave", "block").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+        entry = F.struct((-F.col("octave")).alias("octave"), "block", "words", "n")
+        folded = blocks.groupBy("source").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+        folded = folded.join(state, folded["source"].eqNullSafe(state["whose"])).select("source", F.expr("""aggregate(entries,
+            struct(left AS left, filter(entries, e -> false) AS took, filter(entries, e -> false) AS cut),
+            (acc, e) -> CASE WHEN e.words <= acc.left THEN struct(acc.left - e.words AS left, concat(acc.took, array(e)) AS took, acc.cut AS cut)
+                WHEN e.n > 1 AND (size(acc.cut) = 0 OR element_at(acc.cut, -1).octave <> e.octave) THEN struct(acc.left AS left, acc.took AS took, concat(acc.cut, array(e)) AS cut)
+                ELSE acc END)""").alias("r"))
+        folded = scratch.keep(folded.select("source", "r.*"), "folded")
+        state = folded.select(F.col("source").alias("whose"), "left")
+        chosen = lambda name: folded.select(F.col("source").alias("whose"), F.inline(name)).select(
+            "whose", (-F.col("octave")).alias("of_octave"), F.col("block").alias("of_block"))
+        within = lambda c: open_.join(c, open_["source"].eqNullSafe(c["whose"]) & (open_["octave"] == c["of_octave"])
+                                      & (open_["block"] == c["of_block"]), "left_semi")
+        took = within(chosen("took")).select(*PLACE, "change")
+        taken = took if taken is None else taken.unionByName(took)
+        cut = chosen("cut")
+        if cut.isEmpty():
+            break
+        open_ = scratch.keep(within(cut).drop("block"), "items")
+    return taken.groupBy(*[F.col(c).alias(f"of_{c}") for c in PLACE]).agg(F.sum("change").cast("int").alias("change"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
