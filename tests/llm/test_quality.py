@@ -58,6 +58,21 @@ def test_outliers_match_plain_mcd_and_are_found(spark):
     assert {i for i, g in got.items() if not g.kept and not g.base_failed} == {i for i in range(260) if i % 20 == 7}
 
 
+def test_outliers_just_past_the_cut_of_a_clean_group(spark):
+    """0.12 symbols or repeated lines per word are out, 0.05 are not."""
+    rows = []
+    for i in range(240):
+        words = cases.prose(i, 100).split()
+        if i % 20 in (3, 7):
+            words = [w + "#" * (j < (5 if i % 20 == 3 else 12)) for j, w in enumerate(words)]
+        text = " ".join(words)
+        if i % 20 in (11, 15):
+            text = "\n".join([" ".join(words[:95]), *[words[95]] * (6 if i % 20 == 11 else 14)])
+        rows.append((i, text, "en", "s", 1, 1, "r", "x"))
+    got = quality_rules.judge(cases.frame(spark, rows)).collect()
+    assert {g.doc_id for g in got if not g.kept} == {i for i in range(240) if i % 20 in (7, 15)}
+
+
 def test_native_plans_have_no_python(spark):
     plans = [quality_rules.judge(cases.frame(spark)), url_reputation.judge(
         spark.createDataFrame([(1, "http://a.b/c", "x")], "page_id long, url string, html string"),

@@ -30,8 +30,10 @@ FEATURES = ("f1", "f2", "f3", "f4", "f5")
 LEAST, SHARE, STEPS = 100, 0.75, 6
 #: chi-square with five degrees of freedom: its value at SHARE, and the cut (one in 10**5)
 EXPECTED, CUT = 6.626, 30.86
-#: least deviation of each statistic
-RIDGE = (0.5, 0.08, 0.12, 0.12, 0.12)
+#: symbols and repeated lines per word at which a text of a group without any is rejected
+APART = 0.1
+#: least deviation of each statistic; those of f3 and f4, which clean groups do not vary, put the cut at APART
+RIDGE = (0.5, 0.08, (APART / CUT) ** 0.5, (APART / CUT) ** 0.5, 0.12)
 #: histogram bins per doubling of a squared distance
 BINS = 32
 
