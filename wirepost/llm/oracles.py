@@ -7,6 +7,14 @@ _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, {1 + 5 * g}, 5) AS BIGINT) >> {15 - 5 * d}) & 31 AS INT), 1)"
     for g in range(8) for d in range(4))
 
+
+
+def crc32(text: str) -> str:
+    """SQL of the unsigned crc32 of the UTF-8 bytes of `text`, bit by bit."""
+    return f"""xor(4294967295, list_reduce(list_transform(range(1, 1 + strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i - 1, 2) AS BIGINT)),
+    lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), CAST(4294967295 AS BIGINT)))"""
+
+
 ORACLES: dict[str, str] = {
     "op1_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -73,4 +81,57 @@ r AS (SELECT u.*, mean, bound, CASE
   WHEN (u.host = 'net' OR ends_with(u.host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM u JOIN h2 ON u.host = h2.host)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
   WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict, mean, bound FROM r""",
+    "op11_spelling": f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+d AS (SELECT run, doc_id || ':' || run AS named, count(*) AS c FROM r GROUP BY ALL),
+e AS (SELECT run, c, {crc32("named")} AS h FROM d WHERE length(run) >= 6),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+        SELECT c, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM e)
+      WHERE length(word) >= 6 GROUP BY 1 HAVING sum(c) >= 5),
+k AS (SELECT word, n, substr(word, 1, i) || '*' || substr(word, i + 2) AS hole, substr(word, 1, i) || substr(word, i + 2) AS rest
+      FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+p AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM k a JOIN k b ON a.hole = b.hole AND a.word <> b.word
+      UNION SELECT k.word, k.n, v.word, v.n FROM k JOIN v ON k.rest = v.word
+      UNION SELECT v.word, v.n, k.word, k.n FROM k JOIN v ON k.rest = v.word),
+q AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS best, max(m) AS m FROM p GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN best END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n
+      FROM v LEFT JOIN q ON v.word = q.word),
+t(word, root) AS (SELECT word, word FROM f UNION SELECT t.word, f.form FROM t JOIN f ON t.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, t.root, f.n, f.n_near, f.form_n FROM f JOIN t ON f.word = t.word JOIN f g ON t.root = g.word WHERE g.form IS NULL""",
+    "op12_minhash": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 2 THEN words ELSE words[i:i + 1] END AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, 1 + greatest(len(words) - 1, 1))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT w.doc_id, CAST(count(s.doc_id) AS BIGINT) AS n_shingles FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY 1),
+z AS (SELECT shingle, row_number() OVER (ORDER BY count(*), shingle) AS token FROM s GROUP BY 1),
+h AS (SELECT s.doc_id, token, n_shingles AS n, row_number() OVER (PARTITION BY s.doc_id ORDER BY token) AS at
+      FROM s JOIN n ON s.doc_id = n.doc_id JOIN z ON s.shingle = z.shingle),
+o AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS x, b.n AS y FROM h a JOIN h b ON a.token = b.token AND a.doc_id < b.doc_id
+      WHERE a.at <= a.n - ceil(a.n * 80 / 100.0) + 1 AND b.at <= b.n - ceil(b.n * 80 / 100.0) + 1 AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+p AS (SELECT o.a, o.b, x, y, count(*) AS c FROM o JOIN h i ON o.a = i.doc_id JOIN h j ON o.b = j.doc_id AND i.token = j.token GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (x + y - c)),
+m AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT m.b, r.root FROM r JOIN m ON r.doc_id = m.a)
+SELECT n.doc_id, n_shingles, min(root) AS component_id, n.doc_id = min(root) AS kept FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY 1, 2""",
+    "op13_conversation_trie": f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT c.conv_id, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.i <= h
+      UNION ALL SELECT c.conv_id, h + t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > h),
+g AS (SELECT c.conv_id, coalesce(p, []) AS p FROM c LEFT JOIN (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY i) AS p FROM b GROUP BY 1) q
+      ON c.conv_id = q.conv_id),
+x AS (SELECT conv_id, p, unnest(range(len(p) + 1)) AS d FROM g),
+n AS (SELECT p[:d] AS node, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(p) = d), '')) AS ends_sha256 FROM x GROUP BY 1, 2),
+k AS (SELECT node[:d - 1] AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * length(n.node[d].text) ELSE 0 END AS saved FROM n LEFT JOIN k ON n.node = k.node),
+u AS (SELECT node[:e] AS node, sum(saved) AS saved, count_if(n_children = 0) AS leaves FROM (SELECT *, unnest(range(d + 1)) AS e FROM f) GROUP BY 1)
+SELECT f.conv_id, f.d AS depth, parent.conv_id AS parent_conv_id, f.n_convs, CAST(f.n_children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(u.saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN u ON f.node = u.node LEFT JOIN n parent ON f.d > 0 AND parent.node = f.node[:f.d - 1]""",
 }
