@@ -53,9 +53,8 @@ def test_near_classes_match_plain_python(spark):
 
 
 @pytest.mark.parametrize("seed", [3, 4])
-def test_groups_that_hubs_alone_do_not_join(spark, monkeypatch, seed):
+def test_groups_that_hubs_alone_do_not_join(spark, seed):
     """Copies edited on both sides of the threshold, chains, and texts that share long passages."""
-    monkeypatch.setattr(minhash, "BLOCK", 8)
     r = random.Random(seed)
     base, passage = cases.prose(50 + seed, 150).split(), cases.prose(51 + seed, 100)
     rows = [(1000 - i, edited(base, r.randint(0, 30), r)) for i in range(120)]

@@ -12,10 +12,11 @@ Pairs are not spread out within buckets:
 * Equal sets are one class, whatever their number.
 * In each bucket the member that shares most buckets with others is the hub, and each class is
   compared with its hubs.  The links give first components.
-* Only buckets that still hold several components go on.  There a class's private shingles (in no
-  other class left) are counted out; what two classes share lies in their common hub, so in the
-  smaller of their overlaps with it, or outside in both.  Pairs of different components that may
-  still reach the threshold by this bound are compared, blocks of a bucket against blocks.
+* Two classes x and y that met in a bucket have its hub h in common, so |x & y| is |x & h| + |y & h| -
+  |h| + the shared part of their differences from h.  Where a hub's classes are in several
+  components, differences alone are joined: for x without a link to h and y of another component to
+  link, they must share so many that the rarest of each, all but that many, hold one in common.
+  Copies edited in different places share none, however many they are.
 
 Shingles are 64-bit hashes: two of 10**10 different ones are equal with odds of about 3 in a thousand,
 and one such pair changes an overlap by one.
@@ -50,8 +51,6 @@ SPACE = 1 << 20
 SEED = 20120
 #: shingles whose windows of the table are reduced together
 STEP = 2048
-#: entries of a bucket compared with as many others by one task
-BLOCK = 512
 #: shingles of sets sent on together
 SENT = 1 << 18
 
@@ -158,67 +157,59 @@ class Texts:
                                                *[c for c in asked.columns if c not in ("rep", "key", "digest")])
 
 
-def overlaps(texts: Texts, pairs: DataFrame, k: int) -> DataFrame:
-    """(a, b, n_a, n_b, shared) of the pairs (a, b, n_a, n_b), counted on the full sets.  The set of b
-    goes to where a's is, once per pair."""
+def measured(texts: Texts, pairs: DataFrame, k: int) -> DataFrame:
+    """(a, b, n_a, n_b, shared, differ) of the pairs (a, b, n_a, n_b): the overlap of the full sets, and
+    the shingles that only one of them has.  The set of b goes to where a's is, once per pair."""
     met = pairs.groupBy(F.col("b").alias("rep")).agg(F.collect_set("a").alias("hubs"), F.lit(False).alias("alone"))
     hubs = pairs.select(F.col("a").alias("rep")).distinct().select("rep", F.lit(None).cast("array<bigint>").alias("hubs"), F.lit(True).alias("alone"))
     asked = met.unionByName(hubs).groupBy("rep").agg(F.max("hubs").alias("hubs"), F.max("alone").alias("alone"))
     sets = texts.of(asked).mapInArrow(_tokens(k), "rep bigint, other bigint, tokens array<bigint>")
     left = sets.filter("other is null").select(F.col("rep").alias("a"), F.col("tokens").alias("tokens_a"))
     right = sets.filter("other is not null").select(F.col("other").alias("a"), F.col("rep").alias("b"), F.col("tokens").alias("tokens_b"))
-    counted = right.join(left, "a").select("a", "b", F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long").alias("shared"))
-    return counted.join(pairs, ["a", "b"])
-
-
-def _alike(a: str, b: str, least: int):
-    return F.least(F.col(a), F.col(b)) * 100 >= F.greatest(F.col(a), F.col(b)) * least
+    only = F.concat(F.array_except("tokens_a", "tokens_b"), F.array_except("tokens_b", "tokens_a"))
+    n_a, n_b = F.size("tokens_a").cast("long"), F.size("tokens_b").cast("long")
+    return right.join(left, "a").select("a", "b", n_a.alias("n_a"), n_b.alias("n_b"), only.alias("differ")) \
+        .select("a", "b", "n_a", "n_b", F.floor((F.col("n_a") + F.col("n_b") - F.size("differ")) / 2).alias("shared"), "differ")
 
 
 def _linked(least: int):
     return F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * least
 
 
-def _exploded(k: int):
-    def run(batches):
-        for batch in batches:
-            for rep, digest, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _sets(batch.column(1), k)):
-                if _digest(own) == digest:
-                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), rep, np.int64))], ["token", "rep"])
-    return run
-
-
-def private(texts: Texts, reps: DataFrame, k: int) -> DataFrame:
-    """(rep, private): shingles of each of the classes `reps` that no other of them has.  A shingle
-    that many have shrinks to one row per task."""
-    tokens = texts.of(reps).mapInArrow(_exploded(k), "token bigint, rep bigint")
-    alone = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep")).filter("c = 1")
-    return alone.groupBy("rep").agg(F.count(F.lit(1)).alias("private"))
-
-
-def open_pairs(entries: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
-    """(a, b, n_a, n_b): pairs of `entries` (bucket, rep, n, root, hub, overlap, most) that share a
-    bucket, are in different components and may reach the threshold.
-
-    The commonest component of a bucket is never paired with itself; what is paired is dealt in
-    blocks of rows, so a large bucket is many tasks."""
-    sizes = entries.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    common = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("members")) \
-        .select("bucket", F.col("m.root").alias("main"), F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    dealt = scratch.keep(entries.join(common, "bucket"), "dealt")
-    left = dealt.filter("root <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")) \
-        .withColumnsRenamed({c: f"{c}_b" for c in ("rep", "n", "root", "hub", "overlap", "most", "main", "blocks")})
-    out_a, out_b = F.col("most") - F.col("overlap"), F.col("most_b") - F.col("overlap_b")
-    most = F.least("most", "most_b")
-    by_hub = F.least("overlap", "overlap_b") + F.least(out_a, out_b)
-    bound = F.when(F.col("hub") == F.col("hub_b"), F.least(most, by_hub)).otherwise(most)
-    once = (F.col("root_b") == F.col("main")) | (F.col("rep") < F.col("rep_b"))
-    found = left.join(right, ["bucket", "part"]).filter(
-        (F.col("root") != F.col("root_b")) & once & _alike("n", "n_b", least) & (bound * (100 + least) >= (F.col("n") + F.col("n_b")) * least))
-    first = F.col("rep") < F.col("rep_b")
-    return found.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b"),
-                        F.when(first, F.col("n")).otherwise(F.col("n_b")).alias("n_a"), F.when(first, F.col("n_b")).otherwise(F.col("n")).alias("n_b")).distinct()
+def by_differences(spokes: DataFrame, least: int) -> DataFrame:
+    """(a, b): links between classes of one hub but of different components.
+
+    `spokes` has (hub, hub_root, n_hub, rep, root, n, shared, differ).  With T = 100 + least, the
+    differences of a linked pair x, y share at least (x.lack + y.far) / T, where lack is above 0
+    unless x links with the hub, and far is never below 0."""
+    total = 100 + least
+    size = F.size("differ")
+    spokes = spokes.withColumns({
+        "lack": (F.col("n") + F.col("n_hub")) * least - F.col("shared") * total,
+        "far": F.col("n") * least + F.col("n_hub") * 100 - F.col("shared") * total}) \
+        .withColumns({"apart": F.col("root") != F.col("hub_root"),
+                      "prefix": (F.when(F.col("root") != F.col("hub_root"), size - F.ceil(F.col("lack") / total) + 1).otherwise(size - F.floor(F.col("far") / total))).cast("int")})
+    spokes = scratch.keep(spokes.withColumn("wide", (size - F.floor(F.col("far") / total)).cast("int")), "spokes")
+    tokens = spokes.select("hub", "rep", F.explode("differ").alias("token"))
+    often = scratch.keep(tokens.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
+    ranked = tokens.join(often, ["hub", "token"]).groupBy("hub", "rep").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("order"))
+    # what one class alone has comes before all that is shared, and can not meet
+    slim = spokes.select("hub", "rep", "root", "n", "lack", "far", "apart", "prefix", "wide", size.alias("size"))
+    placed = ranked.join(slim, ["hub", "rep"]).withColumn("alone", F.col("size") - F.size("order")) \
+        .select("hub", "rep", "root", "n", "lack", "far", "apart", "prefix", "wide", "size", "alone", F.posexplode("order").alias("i", "o")) \
+        .select("hub", "rep", "root", "n", "lack", "far", "apart", "prefix", "wide", "size", F.col("o.token").alias("token"), (F.col("alone") + F.col("i")).alias("at"))
+    placed = scratch.keep(placed.filter(F.col("at") < F.greatest("prefix", "wide")), "placed")
+    left = placed.filter(F.col("apart") & (F.col("at") < F.col("prefix")))
+    right = placed.filter(F.col("at") < F.col("wide")).withColumnsRenamed({c: f"{c}_b" for c in placed.columns if c not in ("hub", "token")})
+    rest = F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b"))
+    alike = F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * least
+    once = ~F.col("apart_b") | (F.col("rep") < F.col("rep_b"))
+    met = left.join(right, ["hub", "token"]).filter((F.col("root") != F.col("root_b")) & once & alike & (rest * total >= F.col("lack") + F.col("far_b")))
+    pairs = met.groupBy(F.col("rep").alias("x"), F.col("rep_b").alias("y")).agg(F.min("hub").alias("hub"), F.min_by(F.col("lack") + F.col("far_b"), "hub").alias("need"))
+    pairs = scratch.keep(pairs, "open")
+    own = lambda name: spokes.select("hub", F.col("rep").alias(name), F.col("differ").alias(f"differ_{name}"))
+    return pairs.join(own("x"), ["hub", "x"]).join(own("y"), ["hub", "y"]) \
+        .filter(F.size(F.array_intersect("differ_x", "differ_y")) * total >= F.col("need")).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, least: int = LEAST) -> DataFrame:
@@ -242,38 +233,26 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # each class meets the most popular member of each of its buckets
     popular = scratch.keep(entries.groupBy("rep").agg(F.sum("members").alias("weight")), "popular")
     weighed = entries.join(popular, "rep")
-    hubs = scratch.keep(weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"), "n")).alias("h"))
-                        .select("bucket", (-F.col("h.rep")).alias("hub"), F.col("h.n").alias("n_hub")), "hubs")
-    spokes = entries.join(hubs, "bucket").filter((F.col("rep") != F.col("hub")) & _alike("n", "n_hub", least)) \
-        .select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("n_hub").alias("n_a"), F.col("n").alias("n_b")).distinct()
-    measured = scratch.keep(overlaps(texts, scratch.keep(spokes, "spokes"), k), "measured")
-    links = measured.filter(_linked(least)).select("a", "b")
+    hubs = scratch.keep(weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("h"))
+                        .select("bucket", (-F.col("h.rep")).alias("hub")), "hubs")
+    spokes = entries.join(hubs, "bucket").filter(F.col("rep") != F.col("hub")) \
+        .select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = scratch.keep(measured(texts, scratch.keep(spokes, "pairs"), k), "measured")
+    links = stars.filter(_linked(least)).select("a", "b")
     roots = components(links)
 
-    # buckets that still hold several components
-    rooted = entries.select("bucket", "rep", "n").join(roots.withColumnRenamed("id", "rep"), "rep", "left") \
-        .withColumn("root", F.coalesce("root", "rep"))
-    rooted = scratch.keep(rooted, "rooted")
-    mixed = scratch.keep(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-                         .filter("low <> high").select("bucket"), "mixed")
-    left = scratch.keep(rooted.join(mixed, "bucket", "left_semi"), "left")
-    if not left.isEmpty():
-        own = measured.select(F.col("b").alias("rep"), F.col("a").alias("hub"), F.col("shared").alias("overlap")) \
-            .unionByName(measured.select(F.col("a").alias("rep"), F.col("a").alias("hub"), F.col("n_a").alias("overlap")).distinct())
-        reps = left.select("rep").distinct()
-        nearest = scratch.keep(own.join(reps, "rep", "left_semi").groupBy("rep").agg(F.max(F.struct("overlap", "hub")).alias("h"))
-                               .select("rep", "h.hub", "h.overlap"), "nearest")
-        stay = reps.unionByName(nearest.select(F.col("hub").alias("rep"))).distinct()
-        held = left.join(nearest, "rep", "left").join(private(texts, stay, k), "rep", "left") \
-            .select("bucket", "rep", "n", "root", "hub", F.coalesce("overlap", F.lit(0)).alias("overlap"),
-                    (F.col("n") - F.coalesce("private", F.lit(0))).alias("most"))
-        held = scratch.keep(held.filter(F.col("most") * 100 >= F.col("n") * least), "held")
-        tried = measured.select("a", "b").unionByName(measured.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        second = scratch.keep(open_pairs(held, least).join(tried, ["a", "b"], "left_anti"), "second")
-        if not second.isEmpty():
-            more = scratch.keep(overlaps(texts, second, k).filter(_linked(least)).select("a", "b"), "more")
-            if not more.isEmpty():
-                roots = components(links.unionByName(more))
+    # hubs whose classes are still in several components
+    rooted = lambda df, name: df.join(roots.select(F.col("id").alias(name), F.col("root").alias(f"root_{name}")), name, "left") \
+        .withColumn(f"root_{name}", F.coalesce(f"root_{name}", name))
+    known = scratch.keep(rooted(rooted(stars.select("a", "b"), "b"), "a"), "known")
+    mixed = scratch.keep(known.filter("root_b <> root_a").select("a").distinct(), "mixed")
+    if not mixed.isEmpty():
+        open_ = stars.join(known.join(mixed, "a", "left_semi"), ["a", "b"]).select(
+            F.col("a").alias("hub"), F.col("root_a").alias("hub_root"), F.col("n_a").alias("n_hub"), F.col("b").alias("rep"), F.col("root_b").alias("root"),
+            F.col("n_b").alias("n"), "shared", "differ")
+        more = scratch.keep(by_differences(open_, least), "more")
+        if not more.isEmpty():
+            roots = components(links.unionByName(more))
     # the smallest id of a component, then of all texts of an id
     whole = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     smallest = scratch.keep(whole.groupBy("root").agg(F.min("first").alias("component")), "smallest")
