@@ -176,6 +176,7 @@ def sessions(spark: SparkSession, sf_dir: str, crypto: bool = False,
 def frames_sql(d) -> str:
     """events as dissected frames, with the text a dissector would report."""
     hs1, hs2, app = "e % 9 = 0", "e % 9 = 1", "e % 9 = 2"
+    cert = "e % 9 = 1 AND e % 4 < 3 AND e % 41 <> 0"
     return f"""
 SELECT 'cap' || CAST(u % 3 AS STRING) AS capture_id, e AS frame_number, sid AS tcp_stream_id,
   'cap' || CAST(u % 3 AS STRING) || ':' || CAST(sid AS STRING) AS stream_key,
@@ -197,6 +198,9 @@ SELECT 'cap' || CAST(u % 3 AS STRING) AS capture_id, e AS frame_number, sid AS t
        WHEN 4 THEN NULL ELSE '64250' END END AS cipher_suite,
   CASE WHEN {hs2} THEN CASE e % 7 WHEN 0 THEN '29' WHEN 1 THEN '0x0017' WHEN 2 THEN '999' END END AS key_share_group,
   ({app}) AS has_app_data, tlsy AS tls_present,
+  CASE WHEN {cert} THEN 'sn' || CAST(e AS STRING) END AS cert_serial, CASE WHEN {cert} THEN 'k' || CAST(e % 3 AS STRING) END AS cert_ski,
+  CASE WHEN {cert} THEN 'k' || CAST(e % 2 AS STRING) END AS cert_aki,
+  CASE WHEN {cert} THEN CASE WHEN e % 4 = 0 THEN '1.2.840.113549.1.1.11' ELSE '1.2.840.113549.1.1.5' END END AS cert_oid,
   CASE WHEN plain AND pr = 'smtp' AND e % 23 <> 0 THEN CASE ty WHEN 'view' THEN 'EHLO client.example'
        WHEN 'purchase' THEN CASE e % 3 WHEN 0 THEN 'auth plain' WHEN 1 THEN 'STARTTLS' ELSE 'MAIL FROM:<a@b>' END END END AS smtp_command_line,
   CASE WHEN plain AND pr = 'smtp' THEN CASE ty WHEN 'view' THEN 'EHLO'
@@ -240,6 +244,10 @@ FROM (
   FROM events) x"""
 
 
+#: certificate fields of the frame lift
+X509 = {"serials": "cert_serial", "subject_key_ids": "cert_ski", "authority_key_ids": "cert_aki", "algorithm_ids": "cert_oid"}
+
+
 def flat_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark, sf_dir, "events")
     return spark.sql(frames_sql(Spark))
@@ -260,7 +268,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct("record_version", "handshake_type", "handshake_version", "cipher_suite",
                  F.lit(None).cast("string").alias("sni"), "supported_version",
                  F.lit(None).cast("string").alias("session_id"), "has_app_data",
-                 "key_share_group", F.lit(None).cast("map<string,array<string>>").alias("x509"),
+                 "key_share_group", F.when(F.col("cert_serial").isNotNull(), F.create_map(*[
+                     x for name, c in X509.items() for x in (F.lit(name), F.array(c))])).alias("x509"),
                  F.col("tls_present").alias("present")).alias("tls"),
         F.struct("smtp_command", "smtp_command_line", "smtp_response_code",
                  listed("smtp_params_text").alias("smtp_response_params"),
@@ -298,6 +307,9 @@ def ek_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.col("cipher_suite").alias("tls_tls_handshake_ciphersuite"),
                  F.col("key_share_group").alias("tls_tls_handshake_extensions_key_share_group"),
                  F.when(F.col("has_app_data"), F.lit("17:03")).alias("tls_tls_app_data")).alias("tls"),
+        F.when(F.col("cert_serial").isNotNull(), F.struct(
+            F.array("cert_serial").alias("x509af_x509af_serialNumber"), F.col("cert_oid").alias("x509af_x509af_algorithm_id"),
+            F.col("cert_ski").alias("x509ce_x509ce_SubjectKeyIdentifier"), F.col("cert_aki").alias("x509ce_x509ce_keyIdentifier"))).alias("x509af"),
         F.struct(F.col("smtp_command").alias("smtp_smtp_req_command"),
                  F.col("smtp_command_line").alias("smtp_smtp_command_line"),
                  F.col("smtp_response_code").alias("smtp_smtp_response_code"),

@@ -231,20 +231,6 @@ def side_facts(spark, sf):
     return marts.side_facts(lifts.sessions(spark, sf))
 
 
-_TL = {"e": "event_type IN ('signup', 'click', 'view')", "t": "event_type = 'purchase' OR event_id % 4 = 0"}
-_TLC = "'cap' AS capture_id, user_id AS tcp_stream_id, event_id - event_id % 3 AS frame_number, event_type AS title"
-
-
-@query("timeline", f"""WITH e AS (SELECT {_TLC} FROM events WHERE {_TL['e']}), t AS (SELECT {_TLC}, value AS time FROM events WHERE {_TL['t']}), tm AS (SELECT tcp_stream_id, frame_number, min(time) AS time FROM t GROUP BY 1, 2)
-  SELECT e.tcp_stream_id, e.frame_number, title, time, 'event' AS step FROM e LEFT JOIN tm ON tm.tcp_stream_id = e.tcp_stream_id AND tm.frame_number = e.frame_number
-  UNION ALL SELECT tcp_stream_id, frame_number, title, NULL, 'evidence' FROM (SELECT {_TLC} FROM events WHERE event_type = 'error') v
-  UNION ALL SELECT tcp_stream_id, frame_number, title, time, 'transition' FROM t WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.tcp_stream_id = t.tcp_stream_id AND e.frame_number = t.frame_number)""")
-def timeline(spark, sf):
-    lifts.register(spark, sf, "events")
-    one = lambda where, more="": spark.sql(f"SELECT {_TLC}{more} FROM events WHERE {where}")
-    return marts.timeline(one(_TL["e"]), one("event_type = 'error'"), one(_TL["t"], ", value AS time")).drop("capture_id", "place")
-
-
 @query("state_chips", f"WITH {pq.U}, z AS (SELECT DISTINCT finding_id, capture_id, unnest(string_split(states, ',')) AS state FROM kl) SELECT capture_id, state, count(*) AS findings FROM z GROUP BY 1, 2")
 def state_chips(spark, sf):
     return marts.state_chips(pq.classified(spark, sf))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries import lifts
-from queries.base import DIM_GROUP, DIM_SUITE, FR, in_list, query, values
+from queries.base import DIM_GROUP, DIM_SUITE, FR, query, values
 from wirepost.functions import casts, vocab
+from wirepost.operators import marts
 from wirepost.operators import sessions as se
 from wirepost.sources import ek
 
@@ -111,13 +112,14 @@ def stream_key(spark, sf):
 
 @query("project_frames", f"""WITH {FR} SELECT capture_id, frame_number, {STREAM_ID} AS tcp_stream_id, src_ip, dst_ip, src_port, dst_port, tcp_seq, stack, app_protocol,
   handshake_type, cipher_suite, key_share_group, has_app_data, (record_version IS NOT NULL OR handshake_type IS NOT NULL OR cipher_suite IS NOT NULL OR has_app_data) AS present,
-  smtp_command_line, imap_response_status, pop_response_description, payload_text IS NOT NULL AS has_payload FROM fr""")
+  smtp_command_line, imap_response_status, pop_response_description, payload_text IS NOT NULL AS has_payload, cert_serial, cert_oid FROM fr""")
 def project_frames(spark, sf):
     return projected(spark, sf).select(
         "capture_id", "frame_number", "tcp_stream_id", "src_ip", "dst_ip", "src_port", "dst_port", "tcp_seq",
         F.array_join("protocol_stack", ":").alias("stack"), "app_protocol", "tls.handshake_type", "tls.cipher_suite",
         "tls.key_share_group", "tls.has_app_data", "tls.present", "mail.smtp_command_line", "mail.imap_response_status",
-        "mail.pop_response_description", "has_payload")
+        "mail.pop_response_description", "has_payload", F.col("tls.x509")["serials"][0].alias("cert_serial"),
+        F.col("tls.x509")["algorithm_ids"][0].alias("cert_oid"))
 
 
 @query("flag_ceiling", f"WITH {FR} SELECT capture_id, frame_number, count(*) OVER (PARTITION BY capture_id) > 1500 AS limit_exceeded FROM fr")
@@ -434,9 +436,73 @@ def reconstruct_sessions(spark, sf):
         "s2c_events", F.col("tls_key_exchange.value").alias("kex"))
 
 
-@query("evidence_frames", f"""WITH {EVENTS} SELECT DISTINCT {_STREAM}, CASE kind WHEN 'starttls_command' THEN 'starttls_requested' WHEN 'starttls_rejected' THEN 'starttls_accepted'
-    WHEN 'auth_command' THEN 'auth_activity' ELSE kind END AS field, frame_number FROM dd WHERE kind IN {in_list(['starttls_advertised', 'starttls_command', 'starttls_accepted', 'starttls_rejected', 'auth_command'])}
-  UNION SELECT {_STREAM}, 'tls_transition', frame_number FROM fr WHERE tls_present""")
+_CL = "kind IN ('plaintext_command', 'auth_command')"
+_AT = "SELECT capture_id, tcp_stream_id, frame_number, {f} AS field, {r} AS role FROM dd JOIN ss USING (capture_id, tcp_stream_id) WHERE "
+_HF = "SELECT capture_id, tcp_stream_id, hello.fn, '{f}', 'server hello' FROM ss WHERE protocol IS NOT NULL AND hello IS NOT NULL"
+_IS13 = "coalesce(ver = 'TLS1.3', false)"
+PROVENANCE = f"""xf AS (SELECT capture_id, tcp_stream_id, min(frame_number) AS xfn FROM fr WHERE cert_serial IS NOT NULL GROUP BY 1, 2),
+pv0 AS ({_AT.format(f="'starttls_advertised'", r="'capability'")} kind = 'starttls_advertised'
+  UNION {_AT.format(f="'starttls_advertised'", r="'capability reply'")} kind = 'capability_response' AND starttls_advertised_n = 0 AND rn = 0
+  UNION {_AT.format(f="'starttls_requested'", r="'upgrade command'")} kind = 'starttls_command'
+  UNION {_AT.format(f="'starttls_accepted'", r="'acceptance'")} kind = 'starttls_accepted'
+  UNION {_AT.format(f="'starttls_accepted'", r="'rejection'")} kind = 'starttls_rejected'
+  UNION {_AT.format(f="'auth_activity'", r="'authentication'")} kind = 'auth_command'
+  UNION {_AT.format(f="'plaintext_continuation'", r="'cleartext'")} bnd IS NULL AND {_CL}
+  UNION {_AT.format(f="'plaintext_continuation'", r="'cleartext after upgrade'")} frame_number > bnd AND ({_CL} OR kind = 'capability_response')
+  UNION SELECT capture_id, tcp_stream_id, rj.frame_number, 'starttls_advertised', 'rejoined line' FROM rj JOIN ss USING (capture_id, tcp_stream_id) WHERE starttls_advertised_n = 0
+  UNION SELECT capture_id, tcp_stream_id, fr.frame_number, 'tls_transition', 'tls record' FROM fr JOIN ss USING (capture_id, tcp_stream_id) WHERE fr.tls_present AND ss.protocol IS NOT NULL
+  UNION {_HF.format(f='tls_negotiated_version')} UNION {_HF.format(f='tls_cipher_suite')} AND hello.cs IS NOT NULL
+  UNION {_HF.format(f='tls_cipher_suite_name')} AND ccode IS NOT NULL UNION {_HF.format(f='tls_key_exchange')} AND ({_IS13} OR ccode IS NOT NULL)
+  UNION {_HF.format(f='tls_named_group')} AND gcd IS NOT NULL UNION {_HF.format(f='tls_forward_secrecy')} AND ({_IS13} OR ccode IS NOT NULL)
+  UNION SELECT capture_id, tcp_stream_id, xfn, 'tls_certificate_chain', 'certificate' FROM xf JOIN ss USING (capture_id, tcp_stream_id) WHERE protocol IS NOT NULL),
+pv AS (SELECT capture_id, tcp_stream_id, field, frame_number, min(role) AS role FROM pv0 GROUP BY 1, 2, 3, 4)"""
+#: the steps of the walk, then those of TLS and of the close
+TRANSITIONS = f"""tr0 AS (SELECT {_STREAM}, 0 AS phase, kind AS event, from_state, to_state, frame_number AS frame_lo, frame_number AS frame_hi, 1 AS frame_n, pos, o FROM wk WHERE to_state IS NOT NULL
+  UNION ALL SELECT {_STREAM}, 1, 'implicit_tls', 'CONNECTED', 'IMPLICIT_TLS', tls_lo, tls_hi, tls_n, 0, 0 FROM ss WHERE implicit_tls
+  UNION ALL SELECT {_STREAM}, 1, CASE WHEN tls_state = 'ESTABLISHED' THEN 'tls_established' ELSE 'tls_negotiation_observed' END, coalesce(ws, 'CONNECTED'), up, tls_lo, tls_hi, tls_n, 0, 0
+    FROM ss WHERE protocol IS NOT NULL AND NOT implicit_tls AND tls_state <> 'NONE'
+  UNION ALL SELECT {_STREAM}, 2, 'connection_closed', up, 'CLOSED', last_frame, last_frame, 1, 0, 0 FROM ss WHERE app_state = 'CLOSED'),
+tr AS (SELECT *, row_number() OVER (PARTITION BY {_STREAM} ORDER BY phase, frame_lo, pos, o) AS step FROM tr0)"""
+
+
+def parts(spark, sf):
+    return se.rebuild(lifts.frames(spark, sf))
+
+
+@query("evidence_frames", f"{SESSIONS}, {PROVENANCE} SELECT * FROM pv")
 def evidence_frames(spark, sf):
-    f = lifts.frames(spark, sf)
-    return se.evidence_frames(f, se.dedupe_events(se.mail_events(se.with_direction(f, se.stream_facts(f)))))
+    return se.evidence_frames(spark, parts(spark, sf))
+
+
+_PER_FIELD = ", ".join(f"count(CASE WHEN field = '{f}' THEN 1 END) AS {f}" for f in vocab.EVIDENCE_FIELDS)
+
+
+@query("evidence_counts", f"""{SESSIONS}, {PROVENANCE}, n AS (SELECT {_STREAM}, {_PER_FIELD}, sum(frame_number) AS total FROM pv GROUP BY 1, 2)
+  SELECT {_STREAM}, {', '.join(f'coalesce({f}, 0) AS {f}' for f in vocab.EVIDENCE_FIELDS)} FROM ss LEFT JOIN n USING (capture_id, tcp_stream_id)""")
+def evidence_counts(spark, sf):
+    """Frames behind each of the thirteen fields, as the session rows tell them."""
+    return rebuilt(spark, sf).select(*se.STREAM, *[F.col(f"{f}.frame_n").alias(f) for f in vocab.EVIDENCE_FIELDS])
+
+
+@query("session_transitions", f"{SESSIONS}, {TRANSITIONS} SELECT {_STREAM}, step, event, from_state, to_state, frame_lo, frame_hi, frame_n FROM tr")
+def session_transitions(spark, sf):
+    return se.session_transitions(spark, parts(spark, sf)).drop("timestamp_epoch", "evidence_state", "basis")
+
+
+@query("session_notes", f"""{SESSIONS} SELECT {_STREAM}, frame_number, 'out of order: ' || kind || ' in state ' || from_state AS note FROM wk WHERE to_state IS NULL
+  UNION ALL SELECT {_STREAM}, last_frame, 'boundaries incomplete: setup ' || CASE WHEN setup THEN 'yes' ELSE 'no' END || ', teardown ' || CASE WHEN teardown OR reset THEN 'yes' ELSE 'no' END
+    || CASE WHEN completeness = 'TRUNCATED' THEN ', capture ends while open' ELSE ', capture goes on' END FROM ss WHERE protocol IS NOT NULL AND NOT (setup AND (teardown OR reset))""")
+def session_notes(spark, sf):
+    return se.session_notes(spark, parts(spark, sf))
+
+
+@query("timeline", f"""{SESSIONS}, {PROVENANCE}, {TRANSITIONS}, tm AS (SELECT {_STREAM}, frame_lo AS frame_number, title, time FROM (
+    SELECT tr.capture_id, tr.tcp_stream_id, frame_lo, event AS title, CASE WHEN phase = 0 THEN timestamp_epoch END AS time FROM tr LEFT JOIN fr ON phase = 0 AND fr.frame_number = frame_lo) q),
+  tn AS (SELECT {_STREAM}, frame_number, min(time) AS time FROM tm GROUP BY 1, 2, 3)
+  SELECT dd.capture_id, dd.tcp_stream_id, dd.frame_number, kind AS title, round(time, 3) AS time, 'event' AS step FROM dd LEFT JOIN tn USING (capture_id, tcp_stream_id, frame_number)
+  UNION ALL SELECT {_STREAM}, frame_number, field, NULL, 'evidence' FROM pv
+  UNION ALL SELECT {_STREAM}, frame_number, title, round(time, 3), 'transition' FROM tm WHERE NOT EXISTS (SELECT 1 FROM dd WHERE dd.capture_id = tm.capture_id AND dd.tcp_stream_id = tm.tcp_stream_id AND dd.frame_number = tm.frame_number)""")
+def timeline(spark, sf):
+    """Events, evidence and state changes of every rebuilt session."""
+    rows = marts.timeline(*se.timeline_parts(spark, parts(spark, sf)))
+    return rows.select(*se.STREAM, "frame_number", "title", F.round("time", 3).alias("time"), "step")

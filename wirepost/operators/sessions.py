@@ -7,6 +7,8 @@ frame ranges so that one endless stream does not become one endless task.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,7 +96,8 @@ def _tls_columns() -> dict[str, Column]:
             "tls_lo": F.min(n), "tls_hi": F.max(n), "tls_n": F.count(n),
             "hello": F.min_by(hello, F.when(kind == 2, F.col("frame_number"))),
             "x509": F.min_by("tls.x509", F.when(F.col("tls.x509").isNotNull(),
-                                                F.col("frame_number")))}
+                                                F.col("frame_number"))),
+            "x509_frame": F.min(F.when(F.col("tls.x509").isNotNull(), F.col("frame_number")))}
 
 
 def tls_state() -> Column:
@@ -375,15 +378,23 @@ def reassembled_advert(directed: DataFrame) -> DataFrame:
     rows = counted.select(*STREAM, "_at", "frame_number", (F.col("_upto") - ends).alias("_base"),
                           F.posexplode(pieces).alias("_i", "piece")).filter(F.col("piece") != "")
     letters = F.length(F.regexp_replace("piece", r"\s", ""))
-    lines = rows.withColumn("_line", F.col("_base") + F.col("_i")).groupBy(*STREAM, "_line").agg(
-        F.sum(letters).alias("_letters"),
-        F.array_sort(F.collect_list(F.when(letters <= 12, F.struct("_at", "frame_number", "piece"))))
-         .alias("_p"))
-    # a capability line has at most twelve visible characters
-    text = F.regexp_replace(F.array_join(F.transform("_p", lambda p: p["piece"]), ""), f"({LINE_MARK}|\r)+$", "")
-    return lines.filter((F.col("_letters") <= 12) & text.rlike(vocab.CAPABILITY_LINE)) \
-        .select(*STREAM, F.explode(F.transform("_p", lambda p: p["frame_number"])).alias("frame_number")) \
-        .distinct()
+    # a capability line has at most twelve visible characters, so at most twelve of its pieces have
+    # any; pieces of blanks alone may be any number, and shrink to one entry per gap between those
+    line = [*STREAM, "_line"]
+    numbered = rows.withColumn("_line", F.col("_base") + F.col("_i")).withColumn("_letters", letters)
+    sizes = numbered.groupBy(*line).agg(F.sum("_letters").alias("_sum")).filter("_sum between 1 and 12").drop("_sum")
+    short = lineage.cut(numbered.join(sizes, line).select(*line, "_at", "frame_number", "_letters", "piece"))
+    seen = short.filter("_letters > 0").groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("_at", "frame_number", "piece"))).alias("_p"))
+    place = F.struct("_at", "frame_number")
+    gap = F.size(F.filter("_p", lambda p: F.struct(p["_at"].alias("_at"), p["frame_number"].alias("frame_number")) < place))
+    blanks = short.filter("_letters = 0").join(seen, line).select(*line, gap.alias("_gap"), "piece").groupBy(*line, "_gap").agg(
+        F.sum(F.length("piece")).alias("_n"), F.min("piece").alias("_b"))
+    gaps = blanks.groupBy(*line).agg(F.map_from_entries(F.collect_list(F.struct("_gap", F.when(F.col("_n") == 1, F.col("_b")).otherwise("  ")))).alias("_gaps"))
+    between = lambda i: F.coalesce(F.col("_gaps")[i], F.lit(""))
+    body = F.concat(between(F.lit(0)), F.array_join(F.transform("_p", lambda p, i: F.concat(p["piece"], between(i + 1))), ""))
+    text = F.regexp_replace(body, f"({LINE_MARK}|\r)+$", "")
+    found = seen.join(gaps, line, "left").filter(text.rlike(vocab.CAPABILITY_LINE)).select(*line)
+    return short.join(found, line, "left_semi").select(*STREAM, "frame_number").distinct()
 
 
 # -------------------------------------------------------------------------------- evidence
@@ -476,9 +487,14 @@ def tls_transition() -> Column:
             .otherwise(ev.ambiguous(None, "completion unproven", fr)))
 
 
+def upgrade_point() -> Column:
+    """First frame of the accepted upgrade or of the completed handshake, whichever comes first."""
+    return F.least("accepted_frame", F.when(F.col("stream_tls") == "ESTABLISHED", F.col("tls_lo")))
+
+
 def plaintext_after() -> Column:
     """Cleartext dialogue after the upgrade point; without one, any cleartext command."""
-    boundary = F.least("accepted_frame", F.when(F.col("tls_state") == "ESTABLISHED", F.col("tls_lo")))
+    boundary = upgrade_point()
     clear = _n("plaintext_command") + _n("auth_command")
     last_clear = F.greatest("plaintext_command_hi", "auth_command_hi", "capability_response_hi")
     return (F.when(boundary.isNull() & (clear > 0), ev.observed(
@@ -500,42 +516,76 @@ def completeness() -> Column:
 
 
 # -------------------------------------------------------------------------------- assembly
-def reconstruct_sessions(spark: SparkSession, frames: DataFrame,
-                         truncated_captures: DataFrame | None = None) -> DataFrame:
-    """One row per stream in the session schema.
+@dataclass(frozen=True)
+class Rebuilt:
+    """What a rebuild writes once and its tables share: facts of a stream, deduplicated events, the
+    walk over them, frames of rejoined lines, frames with TLS, and all that is known of a stream."""
+    events: DataFrame
+    steps: DataFrame
+    rejoined: DataFrame
+    tls_frames: DataFrame
+    known: DataFrame
+
+
+def rebuild(frames: DataFrame, truncated_captures: DataFrame | None = None) -> Rebuilt:
+    """Streams of `frames`, read three times: for facts, for the dialogue, and for TLS frames.
 
     `truncated_captures` lists captures the dissector reported as cut; without it only the
     stream that owns the last frame of a capture can be called truncated.
     """
     # packets outside any stream form one group of their own; -1 keeps them joinable
     frames = frames.withColumn("tcp_stream_id", F.coalesce("tcp_stream_id", F.lit(-1)))
-    # three tables are read by many branches and are written once each: the facts of a stream, the
-    # frames with a cleartext dialogue, and its events
     facts = lineage.cut(stream_facts(frames))
     directed = lineage.cut(with_direction(frames, facts.filter("protocol is not null and not implicit")))
     events = lineage.cut(dedupe_events(mail_events(directed)))
-    per_event = event_facts(events)
-    steps = walk_states(events).filter(F.col("to_state").isNotNull())
-    walked = steps.groupBy(*STREAM).agg(
+    steps = lineage.cut(walk_states(events))
+    walked = steps.filter(F.col("to_state").isNotNull()).groupBy(*STREAM).agg(
         F.count(F.lit(1)).alias("walk_transitions"),
-        F.max_by("to_state", F.struct("frame_number", "pos")).alias("walk_state"),
+        F.max_by("to_state", F.struct("frame_number", "pos", "kind", "detail")).alias("walk_state"),
         F.min(F.when(F.col("kind") == "starttls_accepted", F.col("frame_number"))).alias("accepted_frame"))
-    rejoined = reassembled_advert(directed).groupBy(*STREAM).agg(
+    rejoined = lineage.cut(reassembled_advert(directed))
+    lines = rejoined.groupBy(*STREAM).agg(
         F.min("frame_number").alias("rejoined_lo"), F.max("frame_number").alias("rejoined_hi"),
         F.count(F.lit(1)).alias("rejoined_n"))
-    out = facts.join(per_event, STREAM, "left").join(walked, STREAM, "left").join(rejoined, STREAM, "left")
+    known = facts.join(event_facts(events), STREAM, "left").join(walked, STREAM, "left").join(lines, STREAM, "left")
     if truncated_captures is not None:
         cut = truncated_captures.select("capture_id").distinct().withColumn("capture_truncated", F.lit(True))
-        out = out.join(cut, "capture_id", "left")
+        known = known.join(cut, "capture_id", "left")
     else:
-        out = out.withColumn("capture_truncated", F.lit(False))
-    return assemble(spark, out.withColumn("capture_truncated", F.coalesce("capture_truncated", F.lit(False))))
+        known = known.withColumn("capture_truncated", F.lit(False))
+    known = lineage.cut(known.withColumn("capture_truncated", F.coalesce("capture_truncated", F.lit(False))))
+    return Rebuilt(events, steps, rejoined, frames.filter("tls.present").select(*STREAM, "frame_number"), known)
+
+
+def reconstruct_sessions(spark: SparkSession, frames: DataFrame,
+                         truncated_captures: DataFrame | None = None) -> DataFrame:
+    """One row per stream in the session schema."""
+    return sessions_of(spark, rebuild(frames, truncated_captures))
+
+
+def sessions_of(spark: SparkSession, parts: Rebuilt) -> DataFrame:
+    """The session rows of a rebuild; first, last and number of the frames behind each field are
+    those of `evidence_frames`."""
+    base = lineage.cut(assemble(spark, parts.known))
+    return counted(base, provenance_of(parts, base)).drop("x509_frame", "_stream")
+
+
+def counted(base: DataFrame, provenance: DataFrame) -> DataFrame:
+    """Sessions whose evidence names the frames that `provenance` lists."""
+    each = provenance.groupBy("capture_id", F.col("tcp_stream_id").alias("_stream"), "field").agg(
+        F.struct(F.min("frame_number").alias("lo"), F.max("frame_number").alias("hi"), F.count(F.lit(1)).alias("n")).alias("f"))
+    fields = each.groupBy("capture_id", "_stream").agg(F.map_from_entries(F.collect_list(F.struct("field", "f"))).alias("_frames"))
+    joined = base.join(fields, ["capture_id", "_stream"], "left")
+    of = lambda f, part: F.col("_frames")[f][part]
+    return joined.withColumns({f: F.col(f).withField("frame_lo", of(f, "lo")).withField("frame_hi", of(f, "hi"))
+                               .withField("frame_n", F.coalesce(of(f, "n"), F.lit(0).cast("bigint"))) for f in vocab.EVIDENCE_FIELDS}).drop("_frames")
 
 
 def assemble(spark: SparkSession, joined: DataFrame) -> DataFrame:
     na = ev.not_observable("implicit TLS has no cleartext dialogue")
     mail = F.col("protocol").isNotNull()
-    joined = joined.withColumn("tcp_stream_id", F.when(F.col("tcp_stream_id") >= 0, F.col("tcp_stream_id")))
+    joined = joined.withColumn("_stream", F.col("tcp_stream_id")) \
+        .withColumn("tcp_stream_id", F.when(F.col("tcp_stream_id") >= 0, F.col("tcp_stream_id")))
     base = joined.withColumns({
         "mail": mail, "implicit_tls": mail & F.col("implicit"),
         "tls_state": F.when(mail, F.col("stream_tls")).otherwise("NONE"),
@@ -581,20 +631,123 @@ def assemble(spark: SparkSession, joined: DataFrame) -> DataFrame:
         "packet_count", "setup", "teardown", "reset", "completeness", "app_state", "tls_state",
         "implicit_tls", *vocab.EVIDENCE_FIELDS, "certificates", "chain_links", "chain_signature_oids",
         "n_events", "n_event_kinds", "n_transitions", "has_greeting", "has_capability", "c2s_events",
-        "s2c_events", "first_auth_frame", "first_tls_frame")
-
-
-def evidence_frames(frames: DataFrame, events: DataFrame) -> DataFrame:
-    """The frames behind each evidence field, one row each, so no list can outgrow a row."""
-    source = {"starttls_advertised": "starttls_advertised", "starttls_command": "starttls_requested",
-              "starttls_accepted": "starttls_accepted", "starttls_rejected": "starttls_accepted",
-              "auth_command": "auth_activity"}
-    named = casts.lookup(source, F.col("kind"), F.lit(None).cast("string"))
-    # the name is taken inside the aggregate: a filter on `kind` pushed into the event
-    # extraction trips the planner
-    from_events = events.groupBy(*STREAM, "frame_number", "kind") \
-        .agg(F.max(named).alias("field")).filter("field IS NOT NULL") \
-        .select(*STREAM, "field", "frame_number")
-    from_tls = frames.filter("tls.present").select(*STREAM, F.lit("tls_transition").alias("field"),
-                                                   "frame_number")
-    return from_events.unionByName(from_tls).distinct()
+        "s2c_events", "first_auth_frame", "first_tls_frame", "x509_frame", "_stream")
+
+
+#: fields a ServerHello decides
+HELLO_FIELDS = ["tls_negotiated_version", "tls_cipher_suite", "tls_cipher_suite_name", "tls_key_exchange",
+                "tls_named_group", "tls_forward_secrecy"]
+
+
+def provenance_of(parts: Rebuilt, base: DataFrame) -> DataFrame:
+    """(capture_id, tcp_stream_id, field, frame_number, role): one row for each evidence field of a
+    session and each frame behind it, so no list can outgrow a row.  -1 is the group outside streams.
+
+    An advertisement rests on the events that list it, else on the frames of a rejoined line, else on
+    the replies that lack it; cleartext on what follows the upgrade point, or without one on every
+    cleartext command."""
+    decided = parts.known.select(*STREAM, upgrade_point().alias("_point"), (_n("starttls_advertised") > 0).alias("_listed"),
+                                 (F.coalesce("rejoined_n", F.lit(0)) > 0).alias("_rejoined"))
+    kind, point = F.col("kind"), F.col("_point")
+    def row(test, field, role):
+        return F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(field).alias("field"), F.lit(role).alias("role")))
+    clear = kind.isin("plaintext_command", "auth_command")
+    rows = F.array_compact(F.array(
+        row(kind == "starttls_advertised", "starttls_advertised", "capability"),
+        row((kind == "capability_response") & ~F.col("_listed") & ~F.col("_rejoined"), "starttls_advertised", "capability reply"),
+        row(kind == "starttls_command", "starttls_requested", "upgrade command"),
+        row(kind == "starttls_accepted", "starttls_accepted", "acceptance"),
+        row(kind == "starttls_rejected", "starttls_accepted", "rejection"),
+        row(kind == "auth_command", "auth_activity", "authentication"),
+        row(point.isNull() & clear, "plaintext_continuation", "cleartext"),
+        row((F.col("frame_number") > point) & (clear | (kind == "capability_response")), "plaintext_continuation", "cleartext after upgrade")))
+    told = parts.events.filter("frame_number is not null").select(*STREAM, "frame_number", "kind").distinct() \
+        .join(decided, STREAM).select(*STREAM, "frame_number", F.inline(rows))
+    lines = parts.rejoined.join(decided.filter("not _listed"), STREAM, "left_semi") \
+        .select(*STREAM, "frame_number", F.lit("starttls_advertised").alias("field"), F.lit("rejoined line").alias("role"))
+    tls = parts.tls_frames.join(parts.known.filter("protocol is not null"), STREAM, "left_semi") \
+        .select(*STREAM, "frame_number", F.lit("tls_transition").alias("field"), F.lit("tls record").alias("role"))
+    hello = F.array_compact(F.array(
+        *[F.when(F.col(f"{f}.frame_n") > 0, F.struct(F.lit(f).alias("field"), F.col(f"{f}.frame_lo").alias("frame_number"), F.lit("server hello").alias("role")))
+          for f in HELLO_FIELDS],
+        F.when(F.col("tls_certificate_chain.value").isNotNull(), F.struct(
+            F.lit("tls_certificate_chain").alias("field"), F.col("x509_frame").alias("frame_number"), F.lit("certificate").alias("role")))))
+    shaken = base.select("capture_id", F.col("_stream").alias("tcp_stream_id"), F.inline(hello))
+    every = told.unionByName(lines).unionByName(tls).unionByName(shaken)
+    # a frame that backs a field in two roles (an accepted and a rejected upgrade) counts once
+    return every.groupBy(*STREAM, "field", "frame_number").agg(F.min("role").alias("role"))
+
+
+def evidence_frames(spark: SparkSession, parts: Rebuilt) -> DataFrame:
+    """The frames behind all thirteen evidence fields of every session; a null stream is the group
+    outside streams."""
+    return outside(provenance_of(parts, assemble(spark, parts.known)))
+
+
+def outside(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("tcp_stream_id", F.when(F.col("tcp_stream_id") >= 0, F.col("tcp_stream_id")))
+
+
+# ------------------------------------------------------------------------------ transitions
+def _finish(parts: Rebuilt, base: DataFrame) -> DataFrame:
+    """The steps after the dialogue: implicit TLS, the handshake, the close; with their frames."""
+    state = F.coalesce("walk_state", F.lit("CONNECTED"))
+    joined = base.select("capture_id", F.col("_stream").alias("tcp_stream_id"), "completeness", "implicit_tls", "tls_state", "app_state") \
+        .join(parts.known.filter("protocol is not null").select(*STREAM, "walk_state", "tls_lo", "tls_hi", "tls_n", "last_frame"), STREAM)
+    done, implicit = F.col("tls_state") == "ESTABLISHED", F.col("implicit_tls")
+    upgraded = F.when(done, "TLS_ESTABLISHED").otherwise("TLS_NEGOTIATING")
+    before_close = F.when(F.col("tls_state") == "NONE", state).otherwise(upgraded)
+
+    def step(phase, event, start, to, lo, hi, n, basis):
+        return F.struct(F.lit(phase).alias("phase"), event.alias("event"), start.alias("from_state"), to.alias("to_state"), lo.alias("frame_lo"),
+                        hi.alias("frame_hi"), n.cast("bigint").alias("frame_n"), basis.alias("basis"))
+    records = (F.col("tls_lo"), F.col("tls_hi"), F.col("tls_n"))
+    end = F.col("last_frame")
+    steps = F.array_compact(F.array(
+        F.when(implicit, step(1, F.lit("implicit_tls"), F.lit("CONNECTED"), F.lit("IMPLICIT_TLS"), *records, F.lit("implicit-TLS port"))),
+        F.when(~implicit & (F.col("tls_state") != "NONE"), step(
+            1, F.when(done, "tls_established").otherwise("tls_negotiation_observed"), state, upgraded, *records,
+            F.when(done, "handshake plus application data").otherwise(F.col("tls_state")))),
+        F.when(F.col("app_state") == "CLOSED", step(2, F.lit("connection_closed"), before_close, F.lit("CLOSED"), end, end, F.when(end.isNotNull(), 1).otherwise(0),
+                                                    F.lit("FIN or RST observed")))))
+    return joined.select(*STREAM, F.inline(steps)).withColumns({"pos": F.lit(0), "timestamp_epoch": F.lit(None).cast("double")})
+
+
+def session_transitions(spark: SparkSession, parts: Rebuilt) -> DataFrame:
+    """Every state change of every session in order, with the frames, time and basis behind it.
+
+    `step` counts from 1 within a session; blocks of frames are ranked on their own, so a stream of
+    any length is no single task.  The last step's `to_state` is the session's `app_state`."""
+    walk = parts.steps.filter(F.col("to_state").isNotNull()).select(
+        *STREAM, F.lit(0).alias("phase"), F.col("kind").alias("event"), "from_state", "to_state", F.col("frame_number").alias("frame_lo"),
+        F.col("frame_number").alias("frame_hi"), F.when(F.col("frame_number").isNotNull(), 1).otherwise(0).cast("bigint").alias("frame_n"),
+        F.when(F.col("detail") != "", F.col("detail")).otherwise(F.col("kind")).alias("basis"), "pos", "timestamp_epoch")
+    every = walk.unionByName(_finish(parts, assemble(spark, parts.known)))
+    blocked = every.withColumn("_block", F.col("phase") * F.lit(1 << 44) + F.floor(F.coalesce("frame_lo", F.lit(0)) / (FRAME_RANGE * 64)))
+    ranked = skew.ordinals(blocked, STREAM, "_block", ["phase", F.coalesce("frame_lo", F.lit(0)), "pos", "event", "basis"], "step")
+    return outside(ranked.select(*STREAM, "step", "event", "from_state", "to_state", "frame_lo", "frame_hi", "frame_n", "timestamp_epoch",
+                                 F.lit("OBSERVED").alias("evidence_state"), "basis"))
+
+
+def session_notes(spark: SparkSession, parts: Rebuilt) -> DataFrame:
+    """What a session's record leaves open: events that were out of order, and missing boundaries."""
+    ignored = parts.steps.filter(F.col("to_state").isNull()).select(
+        *STREAM, "frame_number", F.concat(F.lit("out of order: "), "kind", F.lit(" in state "), "from_state").alias("note"))
+    yes = lambda c: F.when(F.col(c), "yes").otherwise("no")
+    closed = F.col("teardown") | F.col("reset")
+    open_ = assemble(spark, parts.known).filter(F.col("protocol").isNotNull() & ~(F.col("setup") & closed)).select(
+        "capture_id", F.col("_stream").alias("tcp_stream_id"), F.col("last_frame").alias("frame_number"),
+        F.concat(F.lit("boundaries incomplete: setup "), yes("setup"), F.lit(", teardown "), F.when(closed, "yes").otherwise("no"),
+                 F.when(F.col("completeness") == "TRUNCATED", ", capture ends while open").otherwise(", capture goes on")).alias("note"))
+    return outside(ignored.unionByName(open_))
+
+
+def timeline_parts(spark: SparkSession, parts: Rebuilt) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, evidence, transitions) of every session, as the timeline merges them."""
+    events = parts.events.select(*STREAM, "frame_number", F.col("kind").alias("title"))
+    fields = provenance_of(parts, assemble(spark, parts.known)).select(*STREAM, "frame_number", F.col("field").alias("title"))
+    steps = parts.steps.filter(F.col("to_state").isNotNull()).select(
+        *STREAM, "frame_number", F.col("kind").alias("title"), F.col("timestamp_epoch").alias("time"))
+    ends = _finish(parts, assemble(spark, parts.known)).select(
+        *STREAM, F.col("frame_lo").alias("frame_number"), F.col("event").alias("title"), F.col("timestamp_epoch").alias("time"))
+    return events, fields, steps.unionByName(ends)

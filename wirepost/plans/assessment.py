@@ -1,31 +1,67 @@
-"""From sessions to one assessment row per capture."""
+"""From packets or sessions to one assessment row per capture.
+
+Every stage is a table of the run, written once: frames, sessions, classified findings, facts and
+issue groups.  What follows a stage reads its table, so no lane is planned twice."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 
 from wirepost.functions import vocab
 from wirepost.operators import anomaly, cross, fusion, rules, scoring
+from wirepost.operators import sessions as rebuild
+from wirepost.plans import lineage
 
 
-def lanes(spark: SparkSession, sessions: DataFrame, config: cross.CrossConfig | None = None) -> DataFrame:
+def lanes(spark: SparkSession, sessions: DataFrame, config: cross.CrossConfig | None = None,
+          context: DataFrame | None = None) -> DataFrame:
     """Classified findings of the per-session and the cross-session rules."""
     config = config or cross.CrossConfig()
-    context = cross.cross_context(sessions, config)
+    context = cross.cross_context(sessions, config) if context is None else context
     union = fusion.union_findings(rules.run_rules(sessions), cross.cross_findings(context, config.rules))
     return fusion.classify_findings(spark, union)
 
 
+@dataclass(frozen=True)
+class Assessment:
+    """The tables of one run, and what is computed from them."""
+    sessions: DataFrame
+    classified: DataFrame
+    facts: DataFrame
+    groups: DataFrame
+
+    def posture(self, formula_id: str = vocab.SELECTED_FORMULA) -> DataFrame:
+        """Score, band, identity and provenance per capture."""
+        score = scoring.posture_score(self.groups, fusion.coverage(self.sessions, self.classified), formula_id)
+        return score.join(scoring.assessment_id(self.groups), "capture_id", "left") \
+            .join(fusion.provenance(self.classified, self.facts), "capture_id", "left")
+
+
+def run(spark: SparkSession, sessions: DataFrame, ai: bool = False, config: cross.CrossConfig | None = None,
+        stages: lineage.Stages | None = None) -> Assessment:
+    """All stages after the sessions.  With `ai` the anomaly lane joins the ranking; the score and the
+    groups of the rules stay what they are."""
+    stages = stages or lineage.Stages(spark, "assessment")
+    sessions = stages.table("sessions", sessions)
+    classified = stages.table("classified", lanes(spark, sessions, config))
+    facts = fusion.fuse(classified)
+    if ai:
+        facts = fusion.attach_anomalies(facts, anomaly.anomaly_lane(cross.cross_context(sessions, dominant=True)))
+    facts = stages.table("facts", facts)
+    return Assessment(sessions, classified, facts, stages.table("groups", fusion.issue_groups(facts)))
+
+
 def assess(spark: SparkSession, sessions: DataFrame, formula_id: str = vocab.SELECTED_FORMULA,
            ai: bool = False) -> DataFrame:
-    """Score, band, identity and provenance.  With `ai` the anomaly lane joins the ranking; the
-    score and the groups of the rules stay what they are."""
-    classified = lanes(spark, sessions)
-    fused = fusion.fuse(classified)
-    if ai:
-        lane = anomaly.anomaly_lane(cross.cross_context(sessions, dominant=True))
-        fused = fusion.attach_anomalies(fused, lane)
-    groups = fusion.issue_groups(fused)
-    score = scoring.posture_score(groups, fusion.coverage(sessions, classified), formula_id)
-    return score.join(scoring.assessment_id(groups), "capture_id", "left") \
-        .join(fusion.provenance(classified, fused), "capture_id", "left")
+    """Score, band, identity and provenance of sessions that are already rebuilt."""
+    return run(spark, sessions, ai).posture(formula_id)
+
+
+def assess_packets(spark: SparkSession, frames: DataFrame, truncated_captures: DataFrame | None = None,
+                   ai: bool = False) -> Assessment:
+    """From the frames of any number of captures to their assessment."""
+    stages = lineage.Stages(spark, "assessment")
+    frames = stages.table("frames", frames)
+    return run(spark, rebuild.reconstruct_sessions(spark, frames, truncated_captures), ai, stages=stages)

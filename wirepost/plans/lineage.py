@@ -26,3 +26,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Stages:
+    """Tables of one run below the shared folder, each written once and read by whatever follows."""
+
+    def __init__(self, spark: SparkSession, name: str = "run"):
+        self.spark, self.path = spark, scratch(spark, name)
+
+    def table(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
