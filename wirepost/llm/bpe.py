@@ -32,21 +32,21 @@ from pyspark.sql import functions as F
 LEAF = 32
 NEVER = 1 << 40
 #: pieces after which a task's memory of them begins anew
-MEMORY = 1 << 18
+MEMORY = 1 << 16
 #: bytes of text encoded together
-GROUP = 1 << 22
+GROUP = 1 << 21
 
 
 class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {i: b for b, i in ranks.items()}
-        self._stable = lru_cache(1 << 18)(self._pair)
+        self._stable = lru_cache(1 << 14)(self._pair)
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-        pairs = {ranks[t[:k]] << 20 | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t))
-                 if t[:k] in ranks and t[k:] in ranks}
-        self.pairs = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[k] for k in self.pairs.tolist()], np.int64)
+        halves = ((ranks.get(t[:k]), ranks.get(t[k:]), i) for t, i in ranks.items() for k in range(1, len(t)))
+        split = np.fromiter((x for a, b, i in halves if a is not None and b is not None for x in (a << 20 | b, i)), np.int64).reshape(-1, 2)
+        split = split[np.argsort(split[:, 0], kind="stable")]
+        self.pairs, self.merged = split[:, 0].copy(), split[:, 1].copy()
         tokens = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
         self.size = np.array([len(t) for t in tokens], np.int64)
         self.start = np.cumsum(self.size) - self.size
@@ -259,6 +259,8 @@ def _grouped(texts):
 
 def _run(path: str, pattern: str, name: str | None, with_ids: bool):
     def run(batches):
+        # a reused worker may still hold what earlier stages freed
+        pa.default_memory_pool().release_unused()
         c = codec(_local(path, name), pattern)
         for batch in batches:
             done = 0
