@@ -165,37 +165,49 @@ def collisions(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str) -
 
 
 def prints_of(docs: DataFrame, id_col: str, text_col: str, huge: int) -> DataFrame:
-    """(id, fp1, fp2, length, text_sha256) of every row."""
+    """(id, row, fp1, fp2, length, text_sha256) of every row; `row` is a hash of its id and text."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
-        .withColumn("row", F.when(F.octet_length("text") > huge, F.xxhash64("id", "text")))
+        .withColumn("row", F.xxhash64("id", "text"))
     prints = scratch.keep(base.select("id", "row", F.col("text").cast("binary").alias("text"))
                           .mapInArrow(_prints(huge), "id bigint, row bigint, fp1 bigint, fp2 bigint, length bigint, text_sha256 string"),
                           "prints")
-    if prints.filter("row is not null").isEmpty():
-        return prints.drop("row")
-    far = scratch.keep(parallel_fingerprints(base.filter("row is not null").select("row", "text")), "parts")
-    return prints.filter("row is null").drop("row").unionByName(
-        prints.filter("row is not null").drop(*_KEY).join(far, "row").drop("row"))
+    if prints.filter("fp1 is null").isEmpty():
+        return prints
+    far = scratch.keep(parallel_fingerprints(base.filter(F.octet_length("text") > huge).select("row", "text")), "parts")
+    return prints.filter("fp1 is not null").unionByName(
+        prints.filter("fp1 is null").drop(*_KEY).join(far, "row").select("id", "row", *_KEY, "text_sha256"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge: int = HUGE) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256), one row per row of `docs`."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str, huge: int) -> tuple[DataFrame, list[str]]:
+    """Fingerprints of all rows, and the columns in which equal texts, and no others, agree."""
     prints = prints_of(docs, id_col, text_col, huge)
     clash = scratch.keep(collisions(docs, prints, id_col, text_col), "clash")
-    key = list(_KEY)
-    if not clash.isEmpty():
-        prints = prints.join(clash.withColumn("clash", F.lit(True)), _KEY, "left") \
-            .withColumn("split", F.when(F.col("clash"), F.col("text_sha256")).otherwise(F.lit(""))).drop("clash")
-        key.append("split")
+    if clash.isEmpty():
+        return prints, list(_KEY)
+    split = prints.join(clash.withColumn("clash", F.lit(True)), _KEY, "left") \
+        .withColumn("split", F.when(F.col("clash"), F.col("text_sha256")).otherwise(F.lit(""))).drop("clash")
+    return split, [*_KEY, "split"]
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge: int = HUGE) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256), one row per row of `docs`."""
+    prints, key = _keyed(docs, id_col, text_col, huge)
     groups = prints.groupBy(*key).agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return prints.join(groups, key).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns.  Of rows that repeat one id and text,
-    one stays, whichever it is."""
-    kept = scratch.keep(exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__keep")), "kept")
-    ids = kept.groupBy("__keep").count()
-    out = docs.join(ids, docs[id_col].eqNullSafe(ids["__keep"]), "left_semi")
-    return out if ids.filter("count > 1").isEmpty() else out.dropDuplicates([id_col])
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge: int = HUGE) -> DataFrame:
+    """One row of each group of equal texts, with all its columns: that with the smallest id that is not
+    null.  Rows are told apart by id and text, so different texts of one id all stay; of rows that
+    repeat both, one stays, whichever it is."""
+    prints, key = _keyed(docs, id_col, text_col, huge)
+    named = F.struct("id", "row")
+    kept = prints.groupBy(*key).agg(F.coalesce(F.min(F.when(F.col("id").isNotNull(), named)), F.min(named)).alias("k"))
+    kept = scratch.keep(kept.select("k.row").distinct(), "kept")
+    mine, theirs = scratch.fresh(docs, "row_hash", "kept_hash")
+    hashed = docs.withColumn(mine, F.xxhash64(id_col, F.coalesce(F.col(text_col), F.lit(""))))
+    out = hashed.join(kept.withColumnRenamed("row", theirs), F.col(mine) == F.col(theirs), "left_semi")
+    if not prints.groupBy("row").count().filter("count > 1").join(kept, "row", "left_semi").isEmpty():
+        out = out.dropDuplicates([mine])
+    return out.drop(mine)

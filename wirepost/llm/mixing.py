@@ -223,13 +223,14 @@ def _mend(rows: DataFrame, gaps: DataFrame, most: int) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixture: each row of `docs` as often as it is taken, with all its columns.  Rows that
     repeat an id share that id's copies evenly."""
+    whose, every, rows, place, taken, copy = scratch.fresh(docs, "mix_id", "mix_all", "mix_rows", "mix_place", "mix_taken", "mix_copy")
     own = scratch.keep(plan(docs, id_col, text_col, source_col, **options).groupBy("doc_id")
-                       .agg(F.sum("copies").alias("__all"), F.count(F.lit(1)).alias("__rows"))
-                       .withColumnRenamed("doc_id", "__id"), "copies")
-    joined = docs.join(own, docs[id_col].eqNullSafe(own["__id"]))
-    copies = F.col("__all")
-    if not own.filter("__rows > 1").isEmpty():
-        joined = joined.withColumn("__at", F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64(text_col, source_col))))
-        copies = F.floor(F.col("__all") / F.col("__rows")) + F.when(F.col("__at") <= F.col("__all") % F.col("__rows"), 1).otherwise(0)
-    return joined.withColumn("__copies", copies.cast("int")).filter("__copies > 0") \
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+                       .agg(F.sum("copies").alias(every), F.count(F.lit(1)).alias(rows))
+                       .withColumnRenamed("doc_id", whose), "copies")
+    joined = docs.join(own, docs[id_col].eqNullSafe(own[whose]))
+    copies = F.col(every)
+    if not own.filter(F.col(rows) > 1).isEmpty():
+        joined = joined.withColumn(place, F.row_number().over(Window.partitionBy(whose).orderBy(F.xxhash64(text_col, source_col))))
+        copies = F.floor(F.col(every) / F.col(rows)) + F.when(F.col(place) <= F.col(every) % F.col(rows), 1).otherwise(0)
+    return joined.withColumn(taken, copies.cast("int")).filter(F.col(taken) > 0) \
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(taken)))).select(*docs.columns)

@@ -311,11 +311,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its component, with all their columns; rows
-    with a null id stay."""
-    groups = near_groups(docs, id_col, text_col, **options)
-    firsts = scratch.keep(groups.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-                          .select(F.col("doc_id").alias("__keep")), "firsts")
-    ids = firsts.groupBy("__keep").count()
-    out = docs.join(ids, docs[id_col].eqNullSafe(ids["__keep"]), "left_semi")
-    return out if ids.filter("count > 1 and __keep is not null").isEmpty() else out.dropDuplicates([id_col])
+    """One row of each component, with all its columns: that with the smallest id.  Rows are told apart
+    by id and text, so different texts of one id are linked each on its own; of rows that repeat both,
+    one stays; rows with a null id stay."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    mine, theirs = scratch.fresh(docs, "row_hash", "kept_hash")
+    hashed = docs.withColumn(mine, F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col, text)))
+    rows = hashed.filter(F.col(mine).isNotNull()).select(F.col(id_col).alias("id"), F.col(mine).alias("row"), F.col(text_col).alias("text"))
+    groups = scratch.keep(near_groups(rows, "row", "text", **options).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "groups")
+    names = rows.select("id", "row").join(groups.distinct(), "row")
+    firsts = scratch.keep(names.groupBy("component").agg(F.min(F.struct("id", "row")).alias("f")).select(F.col("f.row").alias(theirs)), "firsts")
+    out = hashed.filter(F.col(mine).isNotNull()).join(firsts, F.col(mine) == F.col(theirs), "left_semi")
+    if not groups.groupBy("row").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates([mine])
+    return out.unionByName(hashed.filter(F.col(mine).isNull())).drop(mine)
