@@ -142,6 +142,38 @@ def test_popular_hubs_against_all_pairs(spark, monkeypatch):
         assert cases.ordered(ngram_join.near_groups(docs, k=1, fragments=fragments).collect()) == cases.ordered(word_sets(rows))
 
 
+def test_shared_prefix_shingles_bound_the_overlap(spark):
+    """Every pair at the threshold passes the bound by counts; pairs that share one passage do not."""
+    r = random.Random(5)
+    rows, links = [], 0
+    for _ in range(3000):
+        n, shared = r.randint(1, 60), r.randint(1, 60)
+        pool = r.sample(range(10_000), 200)
+        both = pool[:shared]
+        a, b = sorted(both + pool[60:60 + max(n - shared, 0)]), sorted(both + pool[120:120 + r.randint(0, 30)])
+        m_a, m_b = (ngram_join.prefix_size(len(x), 80) for x in (a, b))
+        met = sorted(set(a[:m_a]) & set(b[:m_b]))
+        if met:
+            linked = 100 * shared >= 80 * len(set(a) | set(b))
+            links += linked
+            rows.append((len(a), len(b), len(met), a.index(met[-1]), b.index(met[-1]), linked))
+    pairs = spark.createDataFrame(rows, "n_a long, n_b long, lists long, last long, last_b long, linked boolean")
+    passed = pairs.filter(ngram_join._may_reach_by_count(80))
+    assert links > 100 and passed.filter("linked").count() == links
+    assert passed.filter("not linked").count() < pairs.filter("not linked").count() / 2
+
+
+def test_texts_that_share_a_passage_beside_links(spark):
+    r = random.Random(8)
+    passage, rows = [f"p{i}" for i in range(30)], []
+    for g in range(15):
+        base = [f"g{g}w{i}" for i in range(r.choice([10, 40, 90]))]
+        for i in range(5):
+            rows.append((10 * g + i, " ".join(passage + r.sample(base, len(base) - r.randint(0, len(base) // 8)) + [f"g{g}o{i}"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert cases.ordered(ngram_join.near_groups(docs, k=1).collect()) == cases.ordered(word_sets(rows))
+
+
 def test_keep_first(spark):
     rows = cases.documents()
     got = [r.doc_id for r in ngram_join.keep_first(cases.frame(spark, rows)).collect()]

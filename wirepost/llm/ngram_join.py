@@ -10,7 +10,7 @@ one hub (the set with the least before that shingle, so the one closest to what
 stands for the rest; each set is compared with two of its hubs, and the verified links give first
 components.  Only pairs that are still in different components can change the result.  Of these, all
 that share a prefix shingle are compared in a second round, unless the overlaps of both with a
-common hub show that they cannot reach the threshold.
+common hub, or the number of prefix shingles they share, show that they cannot reach the threshold.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are alone; with
 fewer than five words the whole sequence is one shingle; rows that repeat a text are one class; rows
@@ -233,6 +233,17 @@ def _may_reach_by_hub(a, b, least: int):
     return ~F.coalesce(a("hub") == b("hub"), F.lit(False)) | (most * (100 + least) >= (a("n") + b("n")) * least)
 
 
+def _may_reach_by_count(least: int):
+    """Whether a pair that shares `lists` prefix shingles, the last of them at places `last` and
+    `last_b`, can reach the threshold.  What is shared up to that one is counted whole: it precedes it
+    in both orders, so lies in both prefixes.  Of what follows, the rest of the prefix that ends first
+    lies within the other's prefix and is not shared, whichever of the two that is."""
+    after, after_b = F.col("n_a") - F.col("last") - 1, F.col("n_b") - F.col("last_b") - 1
+    beyond, beyond_b = (F.ceil(F.col(n) * least / 100) - 1 for n in ("n_a", "n_b"))
+    most = F.col("lists") + F.greatest(F.least(beyond, after_b), F.least(after, beyond_b))
+    return most * (100 + least) >= (F.col("n_a") + F.col("n_b")) * least
+
+
 def profiled(met: DataFrame, members: DataFrame, least: int) -> DataFrame:
     """(token, rep, n, at, most, complete) of the prefix shingles that several classes have.
 
@@ -288,7 +299,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(links)
     measured = stars.join(common.select("a", "b", "whole"), ["a", "b"]).select(F.col("b").alias("rep"), F.col("a").alias("hub"), "low", "high", "whole")
 
-    # every other pair that could still join two components
+    # every other pair that could still join two components; a shared shingle whose places rule a pair
+    # out is not counted, which can only lower the count of a pair that is no link anyway
     own = own.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")) \
         .join(measured, "rep", "left")
     own = scratch.keep(own, "rooted")
@@ -298,7 +310,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own_b = lambda c: F.col(f"{c}_b")
     rest = left.join(right, "token").filter((F.col("rep") < F.col("rep_b")) & (F.col("root") != F.col("root_b"))
                                             & _may_reach(F.col, own_b, least) & _may_reach_by_hub(F.col, own_b, least)) \
-        .select(F.col("rep").alias("a"), F.col("rep_b").alias("b"), F.col("n").alias("n_a"), F.col("n_b")).distinct()
+        .groupBy(F.col("rep").alias("a"), F.col("rep_b").alias("b"), F.col("n").alias("n_a"), "n_b") \
+        .agg(F.count(F.lit(1)).alias("lists"), F.max("at").alias("last"), F.max("at_b").alias("last_b")) \
+        .filter(_may_reach_by_count(least)).select("a", "b", "n_a", "n_b")
     tried = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     second = scratch.keep(rest.join(tried, ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
