@@ -165,6 +165,16 @@ def test_classifier_takes_k_and_handles_edges(spark):
     assert quality_classifier.select(docs, labels).columns == docs.columns
 
 
+def test_threshold_is_the_quantile_of_all_labelled_rows(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} and word{i % 3} again {i}") for i in range(400)], "doc_id long, text string").repartition(4)
+    labels = docs.filter("doc_id < 200").selectExpr("doc_id", "1 as quality")
+    for lost in (0.0, 0.05):
+        got = quality_classifier.importance(docs, labels, sample=10, lost=lost).collect()
+        good = sorted((r.key for r in got if r.doc_id < 200), reverse=True)
+        floor = good[200 - int(200 * lost) - 1]
+        assert {r.doc_id for r in got if r.kept} == {r.doc_id for r in got if r.key >= floor}
+
+
 def test_sample_follows_the_weights():
     """Gumbel top-1 draws in proportion to the weights."""
     import numpy as np

@@ -8,9 +8,10 @@ sample without replacement in proportion to the weights.
 The n-grams of a document: words, word pairs, word endings with the one before (the last two bytes),
 and which of the three words before a word equal it.  The raw model counts every document; the
 target model is fitted on at most `SAMPLE` labelled rows, those with the smallest hashed ids.  By
-default k is the number of documents whose key reaches the `LOST` quantile among those rows, so that
-about this share of good documents is lost; `k` can be given.  Target rows are weighed by a model of
-the other half of the target, so that the quantile is that of documents the model has not seen.
+default k is the number of documents whose key reaches the `LOST` quantile among all rows labelled
+good, so that about this share of good documents is lost; `k` can be given.  Rows of the sample are
+weighed by a model of the sample's other half, labelled rows outside it by the whole model, so that
+the quantile is that of documents the model has not seen.
 
 Defined results: null and empty texts have no n-grams and weight 0; labels that contradict each
 other for one id, or are null, are not used; without target rows every weight is 0 and all are
@@ -99,12 +100,16 @@ def _weigh(ratios):
     return run
 
 
-def target_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """At most `sample` ids whose every label is 1."""
+def target_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int | None = SAMPLE) -> DataFrame:
+    """Ids whose every label is 1: those with the smallest hashes, at most `sample`, or all of them."""
     good = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("id is not null") \
         .groupBy("id").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if(F.col("label").isNull()).alias("none")) \
         .filter("low = 1 and high = 1 and none = 0")
-    return good.orderBy(F.xxhash64("id"), "id").limit(sample).select("id")
+    return (good if sample is None else _least(good, sample)).select("id")
+
+
+def _least(ids: DataFrame, sample: int) -> DataFrame:
+    return ids.orderBy(F.xxhash64("id"), "id").limit(sample)
 
 
 def rank_key(keyed: DataFrame, k: int) -> int:
@@ -125,7 +130,8 @@ def importance(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                lost: float = LOST, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, log_weight, key, kept), one row per row of `docs`."""
     spark = docs.sparkSession
-    ids = scratch.keep(target_ids(labels, sample=sample), "target")
+    labelled = scratch.keep(target_ids(labels, sample=None), "labelled")
+    ids = scratch.keep(_least(labelled, sample), "target")
     folds = F.broadcast(ids.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int")))
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
         .join(folds, "id", "left").withColumn("fold", F.coalesce("fold", F.lit(2)))
@@ -142,7 +148,7 @@ def importance(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     fixed = F.round((F.col("weight") - F.log(-F.log(uniform))) * KEY).cast("bigint") + F.lit(1 << 61)
     keyed = scratch.keep(scored.withColumn("fixed", fixed), "keys")
     if k is None:
-        good = keyed.join(F.broadcast(ids), "id", "left_semi")
+        good = scratch.keep(keyed.join(labelled, "id", "left_semi").select("fixed"), "good")
         n = good.count()
         floor = rank_key(good, n - int(math.floor(n * lost))) if n else 0
     else:
