@@ -14,49 +14,62 @@ ABSTAINING = list(vocab.ABSTAIN_REASON)
 RANKABLE = ["BASE_SECURITY_ISSUE", "BEHAVIOURAL_DEVIATION", "ANOMALY_SIGNAL"]
 CONCLUDING = ["BASE_SECURITY_ISSUE", "BEHAVIOURAL_DEVIATION", "POSITIVE_EVIDENCE"]
 
-#: what would settle each kind of abstention
+#: input that would let the operator named by the reason decide
 RESOLUTION = {
-    "AMBIGUOUS_EVIDENCE": "another client of the same endpoint, or the server configuration",
-    "INSUFFICIENT_CAPTURE": "a capture of the whole session, from setup to teardown",
-    "NOT_OBSERVABLE": "nothing a passive capture can add",
-    "INSUFFICIENT_HISTORY": "more sessions of this client at this endpoint",
-    "CONTRADICTORY_EVIDENCE": "a capture without packet loss",
-    "NOT_COMPARABLE": "sessions with the same client, endpoint, protocol and TLS mode",
-    "UNSUPPORTED_PROTOCOL_VARIANT": "a rule for this protocol variant",
+    "AMBIGUOUS_EVIDENCE": "the mail log or TLS settings of the server: RFC 3207 lets a server offer STARTTLS to some clients only",
+    "INSUFFICIENT_CAPTURE": "packets from the TCP SYN to the FIN or RST of this stream, taken without a snap length",
+    "NOT_OBSERVABLE": "keys or logs of an endpoint: TLS 1.3 encrypts what follows the ServerHello (RFC 8446, section 4.3.1)",
+    "INSUFFICIENT_HISTORY": "a baseline: earlier captures in which this client reaches the same address and port",
+    "CONTRADICTORY_EVIDENCE": "a second tap on the path; compare its TCP sequence numbers with those seen here",
+    "NOT_COMPARABLE": "captures that hold both sides of the comparison: equal client, server address, port, protocol and TLS mode",
+    "UNSUPPORTED_PROTOCOL_VARIANT": "a custom rule, passed to the rule runner, that reads this command set",
 }
 
-#: issue class -> (observed, why it matters, action, verification)
+#: issue class -> (observed, why it matters, action, verification), after RFC 2595, 3207, 4954, 8314,
+#: 8446, 8996 and 9325 and NIST SP 800-52 Rev. 2
 REMEDIATION = {
     "DEPRECATED_TLS_VERSION": (
-        "A prohibited or deprecated TLS version was negotiated.",
-        "Old versions rest on weak constructions and current standards forbid them.",
-        "Turn off everything below TLS 1.2 on every mail listener and prefer TLS 1.3.",
-        "Capture again and check the version in the ServerHello."),
+        "The ServerHello selected SSL 3.0, TLS 1.0 or TLS 1.1.",
+        "RFC 8996 says these MUST NOT be negotiated: their handshakes rely on MD5 and SHA-1. "
+        "NIST SP 800-52 Rev. 2 asks servers for TLS 1.2 and, since 2024, TLS 1.3.",
+        "Postfix: smtpd_tls_protocols = >=TLSv1.2; Dovecot: ssl_min_protocol = TLSv1.2; "
+        "Exim: openssl_options = +no_tlsv1 +no_tlsv1_1. Reload every listener, submission included.",
+        "openssl s_client -tls1_1 has to end in a protocol_version alert on each port, -tls1_2 in a handshake."),
     "PLAINTEXT_AUTH_EXPOSURE": (
-        "Authentication was seen on a session without TLS.",
-        "Anybody on the path can read credentials sent in the clear.",
-        "Refuse authentication before TLS; use the implicit TLS ports or enforce the upgrade.",
-        "Capture again and check that no authentication precedes a finished handshake."),
+        "AUTH, LOGIN or USER/PASS left the client before any TLS record.",
+        "PLAIN and LOGIN are Base64, not encryption. RFC 4954 and RFC 2595 allow them only below a "
+        "protecting layer, RFC 8314 deprecates cleartext access altogether.",
+        "Postfix: smtpd_tls_auth_only = yes; Dovecot: disable_plaintext_auth = yes. Move clients to ports 465, "
+        "993 and 995, and replace the passwords that were sent.",
+        "EHLO without TLS must list no AUTH; IMAP must list LOGINDISABLED; POP3 must answer USER with -ERR."),
     "NO_TLS_PROTECTION": (
-        "A mail session ran without TLS from start to end.",
-        "Message content and credentials crossed the network readable.",
-        "Require TLS for the service, by its dedicated port or an enforced upgrade.",
-        "Capture again and check that every session carries TLS records."),
+        "The stream holds mail commands and no TLS handshake up to its last packet.",
+        "RFC 8314 calls for TLS on all submission and access traffic; RFC 7435 explains why relays should at "
+        "least encrypt opportunistically.",
+        "Submission and access: close 110 and 143 or demand STARTTLS there. Relay: smtpd_tls_security_level = may "
+        "and a certificate on port 25, with MTA-STS (RFC 8461) or DANE (RFC 7672) published.",
+        "MAIL FROM on port 587 before STARTTLS must give 530; the relay must list STARTTLS after EHLO."),
     "STARTTLS_UPGRADE_FAILURE": (
-        "An upgrade was requested and the session stayed unprotected.",
-        "Both ends expected protection that never came.",
-        "Make the service accept the upgrade and let clients stop when it fails.",
-        "Capture again and check that every requested upgrade is established."),
+        "STARTTLS or STLS was sent, and no completed handshake follows on that stream.",
+        "RFC 3207, section 4.1, leaves it to the client to go on after a failure, so opportunistic clients may "
+        "continue in the clear; section 6 names the attacker who provokes that.",
+        "Read the TLS error in the server log (key, chain and cipher list are the usual causes) and set clients "
+        "to encrypt or verify, such as smtp_tls_security_level = encrypt.",
+        "openssl s_client -starttls smtp (imap, pop3) must print a session and the expected chain."),
     "STARTTLS_BEHAVIOUR_DEVIATION": (
-        "Upgrade behaviour differs from earlier comparable sessions.",
-        "A change is not an attack, but removal in transit is one explanation.",
-        "Compare both configurations with the baseline sessions and look for a middlebox.",
-        "Capture further sessions and see whether the change lasts."),
+        "This stream and its baseline disagree on offering, requesting or completing STARTTLS.",
+        "RFC 3207, section 6, describes deletion of the 250 STARTTLS line; a changed server configuration or an "
+        "SMTP inspecting firewall gives the same packets.",
+        "Fetch the capability reply from inside the server network and from the client network. If only the "
+        "latter lacks STARTTLS, look for inspection on the path; publish MTA-STS or DANE.",
+        "Both networks must receive equal capability replies in three captures on different days."),
     "TLS_VERSION_DEVIATION": (
-        "The negotiated version differs from earlier comparable sessions.",
-        "A step down may be a regression or a constrained path.",
-        "Compare the TLS configuration with the baseline and rule out a middlebox.",
-        "Capture again and check that the version is stable and allowed."),
+        "The ServerHello version of this stream is another one than that of its baseline.",
+        "RFC 8446, section 4.1.3, marks a forced downgrade in the last eight bytes of ServerHello.random; "
+        "RFC 9325 asks clients not to fall back to lower versions.",
+        "Look at library updates and policy changes on both ends since the baseline, then at TLS proxies between "
+        "them; remove fallback retries from the client.",
+        "The random of new ServerHellos must not end in DOWNGRD and 00 or 01; the version must equal the baseline."),
 }
 
 
