@@ -297,11 +297,12 @@ def foreach_batch_upsert(spark, sf):
     changed = a.filter(n % 2 == 1).withColumn("content_sha256", F.sha2("content_sha256", 256))
     again = a.filter((n % 2 == 0) | (n % 3 == 0)).unionByName(changed)
     for step, part in enumerate((a.filter(n % 3 != 0), again)):
-        part.coalesce(1).write.parquet(f"{base}/in{step}")
-        q = spark.readStream.schema(a.schema).parquet(f"{base}/in{step}").writeStream.foreachBatch(ingest.assessment_upsert(f"{base}/stored", f"{base}/conflicts")) \
+        part.write.parquet(f"{base}/in{step}")
+        store = ingest.AssessmentStore(f"{base}/store", f"in{step}")
+        q = spark.readStream.schema(a.schema).parquet(f"{base}/in{step}").writeStream.foreachBatch(store.upsert) \
             .option("checkpointLocation", f"{base}/ckpt{step}").trigger(availableNow=True).start()
         q.awaitTermination()
-    count = lambda part, at: spark.read.schema(a.schema).parquet(f"{base}/{at}").groupBy(F.lit(part).alias("part"), "overall_posture").agg(F.count(F.lit(1)).alias("assessments"))
+    count = lambda part, at: store.read(spark, at, a.schema).groupBy(F.lit(part).alias("part"), "overall_posture").agg(F.count(F.lit(1)).alias("assessments"))
     return count("stored", "stored").unionByName(count("conflict", "conflicts"))
 
 

@@ -13,20 +13,39 @@ RUNTIME_FIELDS = ("run_id", "generated_at")
 PAGE = 20
 
 
+def canonical(col: Column, kind: T.DataType) -> Column:
+    """The same value with the keys of every level in order; a map becomes its entries, by key."""
+    if isinstance(kind, T.StructType):
+        fields = [canonical(col[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(col.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda v: canonical(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.array_sort(F.map_entries(col), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        return F.transform(entries, lambda e: F.struct(e["key"].alias("key"), canonical(e["value"], kind.valueType).alias("value")))
+    return col
+
+
+def canonical_json(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """A row as JSON text: keys of every level in order, missing values written out, so that equal
+    contents share one text and no two contents do."""
+    fields = sorted((f for f in df.schema.fields if f.name not in without), key=lambda f: f.name)
+    document = F.struct(*[canonical(F.col(f.name), f.dataType).alias(f.name) for f in fields])
+    return F.to_json(document, {"ignoreNullFields": "false"})
+
+
 def content_hash(df: DataFrame) -> Column:
-    """Hash of a row without its runtime fields: of its JSON document with the keys of every level in
-    order and missing values written out, so that no two contents share a text."""
-    def ordered(col: Column, kind: T.DataType) -> Column:
-        if isinstance(kind, T.StructType):
-            fields = [ordered(col[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
-            return F.when(col.isNotNull(), F.struct(*fields))
-        if isinstance(kind, T.ArrayType):
-            return F.transform(col, lambda v: ordered(v, kind.elementType))
-        return col
+    """Hash of a row's canonical JSON without its runtime fields."""
+    return F.sha2(canonical_json(df, RUNTIME_FIELDS), 256)
 
-    fields = sorted((f for f in df.schema.fields if f.name not in RUNTIME_FIELDS), key=lambda f: f.name)
-    document = F.struct(*[ordered(F.col(f.name), f.dataType).alias(f.name) for f in fields])
-    return F.sha2(F.to_json(document, {"ignoreNullFields": "false"}), 256)
+
+def table_digest(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows and content of a table per key, whatever its order: the hashes of the rows are added as
+    eight integers of 32 bits, so no key is collected or sorted."""
+    h = F.sha2(canonical_json(df, tuple(keys)), 256)
+    parts = [F.sum(F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(8)]
+    n = F.count(F.lit(1))
+    return df.groupBy(*keys).agg(n.alias("rows"), F.sha2(F.concat_ws("|", n.cast("string"), *parts), 256).alias("digest"))
 
 
 def upsert_assessments(new: DataFrame, stored: DataFrame) -> DataFrame:
@@ -110,3 +129,15 @@ def write_assessments(assessments: DataFrame, path: str) -> None:
     """One JSON document per assessment, partitioned by band."""
     doc = F.to_json(F.struct(*[F.col(c) for c in assessments.columns]))
     assessments.select("band", doc.alias("value")).write.mode("overwrite").partitionBy("band").text(path)
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """The nested documents as canonical JSON lines, partitioned by band."""
+    documents.select(F.col("overall_posture").alias("band"), canonical_json(documents).alias("value")) \
+        .write.mode("overwrite").partitionBy("band").text(path)
+
+
+def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Documents as they were written; a line that is no such document fails the read."""
+    lines = spark.read.schema("value string, band string").text(path)
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("d")).select("d.*")
