@@ -212,6 +212,27 @@ def occlusion(spark, sf):
     return anomaly.occlusion(m, anomaly.fit_mean(m, ["grp"]), ref, ["grp"], "vec_id").withColumn("delta", F.round("delta", 6))
 
 
+def _occlusion_robust(name, top):
+    """The SQL scores every probe anew: all terms of the row, one of them reset."""
+    scored = "sum(term)" if top is None else f"avg(CASE WHEN rk <= {top} THEN term END)"
+
+    @query(name, f"""WITH {Z}, t AS (SELECT z.grp, vec_id, z."column" AS c, value, med, abs(z) AS t, 0.0 AS r FROM z JOIN st ON z.grp = st.grp AND z."column" = st."column"),
+      probes AS (SELECT x.grp, x.vec_id, x.c, CASE WHEN y.c = x.c THEN x.r ELSE y.t END AS term FROM t x JOIN t y ON x.grp = y.grp AND x.vec_id = y.vec_id
+        UNION ALL SELECT grp, vec_id, -1, t FROM t),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY grp, vec_id, c ORDER BY term DESC) AS rk FROM probes), scored AS (SELECT grp, vec_id, c, {scored} AS score FROM ranked GROUP BY 1, 2, 3),
+      d AS (SELECT t.*, b.score - p.score AS delta FROM t JOIN scored b ON t.grp = b.grp AND t.vec_id = b.vec_id AND b.c = -1 JOIN scored p ON t.grp = p.grp AND t.vec_id = p.vec_id AND p.c = t.c),
+      k AS (SELECT *, row_number() OVER (PARTITION BY grp, vec_id ORDER BY delta DESC, abs(value - med) DESC, c) AS place FROM d WHERE value <> med AND delta > 1e-9)
+      SELECT grp, vec_id, place, c AS "column", round(delta, 5) AS delta, CASE WHEN value > med THEN 'above_normal' ELSE 'below_normal' END AS direction FROM k WHERE place <= 5""")
+    def run(spark, sf):
+        m, s = _fitted(spark, sf)
+        reference = s.select("grp", "column", F.col("med").alias("reference"))
+        return anomaly.occlusion_robust(m, s, reference, ["grp"], "vec_id", top=top).withColumn("delta", F.round("delta", 5))
+
+
+_occlusion_robust("occlusion_sum", None)
+_occlusion_robust("occlusion_topk_5", 5)
+
+
 @query("ablation", f"""WITH {Z} SELECT grp, vec_id, 'first_half' AS subset, round(sum(CASE WHEN "column" < 32 THEN abs(z) ELSE 0 END), 4) AS score FROM z GROUP BY 1, 2
   UNION ALL SELECT grp, vec_id, 'all', round(sum(abs(z)), 4) FROM z GROUP BY 1, 2
   UNION ALL SELECT grp, vec_id, 'without_first_eight', round(sum(CASE WHEN "column" >= 8 THEN abs(z) ELSE 0 END), 4) FROM z GROUP BY 1, 2""")

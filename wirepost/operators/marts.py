@@ -120,6 +120,72 @@ def report_issues(groups: DataFrame, prioritised: DataFrame, frames: DataFrame |
     return out.withColumn("title_text", casts.clip(F.col("title")))
 
 
+NO_VALUE = "—"
+
+
+def value_text(col: Column, kind: str) -> Column:
+    """A value as a report shows it; a missing one is a dash."""
+    text = F.when(col, "Yes").otherwise("No") if kind == "boolean" else casts.number_text(col) if kind == "double" \
+        else F.array_join(col, ", ") if kind.startswith("array") else col.cast("string")
+    return F.when(col.isNull() | (text == ""), F.lit(NO_VALUE)).otherwise(text)
+
+
+def report_tables(documents: DataFrame) -> DataFrame:
+    """Every table of a report as (table, row, column, value), from the nested record alone.
+
+    The records of a list become its rows, in their order.  Scalar fields become a row each of the
+    columns Item and Value; so does a field of a summary for which no table is set out here.  One scan:
+    the cells are an array of the record, which is bounded, and no row leaves its task.
+    """
+    schema = documents.schema
+
+    def cell(table: str, row: Column, column: str, value: Column) -> Column:
+        return F.struct(F.lit(table).alias("table"), row.cast("int").alias("row"), F.lit(column).alias("column"), value.alias("value"))
+
+    def rows_of(table: str, field: str, columns: dict) -> Column:
+        kinds = {f.name: f.dataType.simpleString() for f in schema[field].dataType.elementType.fields}
+
+        def cells(r, i):
+            shown = {title: (spec, None) if isinstance(spec, str) else spec for title, spec in columns.items()}
+            return F.array(*[cell(table, i, title, value_text(show(r[name]) if show else r[name], "string" if show else kinds[name]))
+                             for title, (name, show) in shown.items()])
+        return F.flatten(F.transform(F.col(field), cells))
+
+    def items_of(table: str, field: str, wanted=None) -> Column:
+        kinds = {f.name: f.dataType.simpleString() for f in schema[field].dataType.fields}
+        names = [n for n in sorted(kinds) if wanted is None or wanted(n)]
+        out = []
+        for i, n in enumerate(names):
+            out += [cell(table, F.lit(i), "Item", casts.humanise(F.lit(n))), cell(table, F.lit(i), "Value", value_text(F.col(field)[n], kinds[n]))]
+        return F.array(*out)
+
+    plain, reason, posture = casts.humanise, lambda c: casts.label("abstention_reason", c), lambda c: casts.label("posture", c, "Not scored")
+    spaced = lambda c: F.replace(F.replace(c, F.lit("_"), F.lit(" ")), F.lit(","), F.lit(", "))
+    by_protocol, by_state = lambda n: n.startswith("protocol_"), lambda n: n.startswith("state_")
+    complete = lambda n: n in ("complete", "incomplete", "truncated")
+    tables = [
+        items_of("scope", "coverage", by_protocol),
+        items_of("score", "score"),
+        rows_of("penalties", "components", {"Issue class": ("issue_class", plain), "Severity": "severity", "Recurrence": "recurrence",
+                                            "Weight": "base_weight", "Recurrence multiplier": "recurrence_multiplier", "Penalty": "penalty"}),
+        items_of("coverage", "coverage", lambda n: not (by_protocol(n) or by_state(n) or complete(n))),
+        items_of("evidence_states", "coverage", by_state), items_of("completeness", "coverage", complete),
+        rows_of("protocol_posture", "protocol_posture", {
+            "Protocol": "protocol", "Sessions": "sessions_total", "Band": ("band", posture), "Score": "value",
+            "Dimensions assessed": ("dimensions_assessed", spaced), "Not observable": ("dimensions_not_observable", spaced),
+            "Abstentions": "abstentions"}),
+        rows_of("standards", "standards_summary", {"Standard": "standard", "Citations": "uses", "Sections": "sections"}),
+        rows_of("remediation", "remediation_summary", {
+            "Observed": "observed", "Why it matters": "why_it_matters", "Recommended action": "recommended_action",
+            "Sessions": "recurrence", "Verification": "verification", "Standard": "standards"}),
+        rows_of("abstentions", "abstentions", {
+            "Reason": ("reason", reason), "Issue class": ("issue_class", plain), "Could not conclude": "what_could_not_be_concluded",
+            "Would be resolved by": "resolved_by", "Protocol": "protocol", "Sessions": "sessions"}),
+        items_of("risk", "risk_summary"), items_of("provenance", "provenance")]
+    cells = F.flatten(F.array(*[F.coalesce(t, F.array()) for t in tables]))
+    return documents.select("capture_id", F.inline(cells))
+
+
 def evidence_matrix(sessions: DataFrame) -> DataFrame:
     """Per field: distinct signatures, the strict-majority one, and the sessions that diverge."""
     sig = lambda f: F.concat(F.col(f"{f}.state"), F.lit("|"), F.coalesce(f"{f}.value", F.lit("")))

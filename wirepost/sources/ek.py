@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote, unquote
+
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,12 +178,50 @@ def cap_frames(frames: DataFrame, limit: int) -> DataFrame:
     return flag_ceiling(ranked, limit).filter(F.col("_n") <= limit).drop("_n", "_block")
 
 
-def capture_catalog(spark: SparkSession, glob: str) -> DataFrame:
-    """Content identity of every capture file."""
+#: files up to this size are hashed by Spark's own function, as one value of a row
+WHOLE_FILE = 64 << 20
+PIECE = 1 << 20
+
+
+def _open_stream(path: str):
+    """A file of a path as Spark names it, read as bytes whatever its suffix says."""
+    if path.startswith("file:"):
+        store, at = fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+    else:
+        store, at = fs.FileSystem.from_uri(quote(path, safe=":/"))
+    return store.open_input_stream(at, compression=None)
+
+
+def _stream_digests(batches: Iterator) -> Iterator:
+    for batch in batches:
+        digests = []
+        for path in batch["path"]:
+            digest = hashlib.sha256()
+            with _open_stream(path) as source:
+                while piece := source.read(PIECE):
+                    digest.update(piece)
+            digests.append(digest.hexdigest())
+        yield batch.assign(sha256=digests)
+
+
+def capture_catalog(spark: SparkSession, glob: str, whole: int = WHOLE_FILE) -> DataFrame:
+    """Content identity of every capture file, of any size.
+
+    A file above `whole` bytes never becomes a value of a row: only its path travels, and the task that
+    gets it reads the file in pieces of 1 MiB.  The content of the others is read by Spark; neither
+    branch opens the files of the other.  The number of tasks is given, as paths are too small for
+    adaptive execution to keep them apart.  Spark plans no read of an empty file, so those are the
+    names of its own listing that no read returns."""
     files = spark.read.format("binaryFile").load(glob)
-    return files.select(
-        F.sha2("content", 256).alias("capture_id"), F.sha2("content", 256).alias("sha256"),
-        F.element_at(F.split("path", "/"), -1).alias("filename"),
+    small = files.filter(F.col("length") <= whole).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > whole).select("path", "length").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path") \
+        .mapInPandas(_stream_digests, "path string, length bigint, sha256 string")
+    one_slash = lambda path: F.regexp_replace(path, "^file:/+", "file:/")
+    listed = spark.createDataFrame([(unquote(path),) for path in files.inputFiles()], "path string").withColumn("path", one_slash("path"))
+    empty = listed.join(files.select(one_slash("path").alias("path")), "path", "left_anti") \
+        .select("path", F.lit(0).cast("bigint").alias("length"), F.lit(hashlib.sha256().hexdigest()).alias("sha256"))
+    return small.unionByName(large).unionByName(empty).select(
+        F.col("sha256").alias("capture_id"), "sha256", F.element_at(F.split("path", "/"), -1).alias("filename"),
         F.col("length").alias("size_bytes"), "path")
 
 
