@@ -458,6 +458,39 @@ def anomaly_lane(spark, sf):
 _LB = ", ".join(f"count(CASE WHEN band = '{b}' THEN 1 END) AS {b.lower()}" for b in ("ANOMALOUS", "BORDERLINE", "NORMAL", "NOT_SCORED"))
 
 
+_SUBSETS = evaluation.group_subsets()
+_MASKS = ", ".join(f"('{n}', {i + 1})" for n, fids in _SUBSETS.items() for i, (_, f, _) in enumerate(anomaly.layout()) if f in set(fids))
+
+
+@query("group_ablation", f"""WITH {S}, {FT}, {MX}, lb AS (SELECT mx.capture_id, mx.stream_key, r, CASE WHEN tcp_stream_id % 5 < 2 THEN 'TRAIN' WHEN tcp_stream_id % 5 = 2 THEN 'VALIDATION' WHEN tcp_stream_id % 5 = 3 THEN 'SELECT' ELSE 'TEST' END AS split,
+    coalesce(auth_value = 'true', false) AND tls_state <> 'ESTABLISHED' AS attack, coalesce(implicit_tls, false) AS blind FROM mx JOIN s ON mx.stream_key = s.stream_key WHERE the_protocol IS NOT NULL AND the_completeness = 'COMPLETE'),
+  lg AS (SELECT capture_id, stream_key, split, attack, blind, unnest(range(1, len(r) + 1)) AS c, unnest(r) AS v FROM lb WHERE NOT attack OR split IN ('SELECT', 'TEST')),
+  md AS (SELECT capture_id, c, median(v) AS m FROM lg WHERE split = 'TRAIN' GROUP BY 1, 2),
+  ma AS (SELECT lg.capture_id, lg.c, any_value(m) AS m, median(abs(v - m)) * 1.4826 AS sc FROM lg JOIN md ON lg.capture_id = md.capture_id AND lg.c = md.c WHERE split = 'TRAIN' GROUP BY 1, 2),
+  mk(subset, c) AS (VALUES {_MASKS}),
+  sx AS (SELECT lg.capture_id, subset, split, stream_key, any_value(attack) AS attack, any_value(blind) AS blind, round(sum(CASE WHEN sc < 0.000001 THEN CASE WHEN v = m THEN 0.0 ELSE 3.0 END ELSE abs(v - m) / sc END), 6) AS score
+    FROM lg JOIN ma ON lg.capture_id = ma.capture_id AND lg.c = ma.c JOIN mk ON mk.c = lg.c WHERE split <> 'TRAIN' GROUP BY 1, 2, 3, 4),
+  vr AS (SELECT capture_id, subset, score, row_number() OVER w AS rn, count(*) OVER (PARTITION BY capture_id, subset) AS n FROM sx WHERE split = 'VALIDATION' WINDOW w AS (PARTITION BY capture_id, subset ORDER BY score)),
+  tl AS (SELECT capture_id, subset, score AS threshold FROM vr WHERE rn = round_even(0.95 * (n - 1), 0) + 1),
+  cf AS (SELECT capture_id, subset, split, any_value(threshold) AS threshold, count(CASE WHEN score >= threshold AND attack THEN 1 END) AS tp, count(CASE WHEN score >= threshold AND NOT attack THEN 1 END) AS fp,
+    count(CASE WHEN score < threshold AND attack THEN 1 END) AS fn, count(CASE WHEN score < threshold AND NOT attack THEN 1 END) AS tn FROM sx JOIN tl USING (capture_id, subset) WHERE split <> 'VALIDATION' GROUP BY 1, 2, 3),
+  pt AS (SELECT capture_id, subset, split, score, count(CASE WHEN attack THEN 1 END) AS pos, count(CASE WHEN NOT attack THEN 1 END) AS neg FROM sx WHERE split <> 'VALIDATION' AND NOT blind GROUP BY 1, 2, 3, 4),
+  cu AS (SELECT *, sum(pos) OVER w AS tps, sum(pos + neg) OVER w AS seen FROM pt WINDOW w AS (PARTITION BY capture_id, subset, split ORDER BY score DESC)),
+  ar AS (SELECT capture_id, subset, split, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN round(sum(pos * tps / CAST(seen AS DOUBLE)) / sum(pos), 4) END AS pr_auc FROM cu GROUP BY 1, 2, 3)
+  SELECT cf.capture_id, cf.subset, cf.split, round(threshold, 3) AS threshold, tp, fp, fn, tn, round((tp + fp) / CAST(tp + fp + fn + tn AS DOUBLE), 4) AS flag_rate, pr_auc, w AS columns
+  FROM cf LEFT JOIN ar ON ar.capture_id = cf.capture_id AND ar.subset = cf.subset AND ar.split = cf.split JOIN (SELECT subset, count(*) AS w FROM mk GROUP BY 1) q ON q.subset = cf.subset""")
+def group_ablation(spark, sf):
+    """Logins in the clear as the thing to find; training and validation hold none."""
+    ctx = context(spark, sf)
+    at, attack = F.col("tcp_stream_id") % 5, F.coalesce(F.col("auth_activity.value") == "true", F.lit(False)) & (F.col("tls_state") != "ESTABLISHED")
+    marked = ctx.filter(F.col("protocol").isNotNull() & (F.col("completeness") == "COMPLETE")).withColumns({
+        "split": F.when(at < 2, "TRAIN").when(at == 2, "VALIDATION").when(at == 3, "SELECT").otherwise("TEST"),
+        "attack": attack, "blind": F.coalesce("implicit_tls", F.lit(False))}).filter(~F.col("attack") | F.col("split").isin("SELECT", "TEST"))
+    matrix = anomaly.cut(anomaly.encode(anomaly.features(marked, keep=("split", "attack", "blind")), keep=("split", "attack", "blind")))
+    return evaluation.group_ablation(matrix).select(
+        "capture_id", "subset", "split", F.round("threshold", 3).alias("threshold"), "tp", "fp", "fn", "tn", "flag_rate", "pr_auc", "columns")
+
+
 @query("lane_report", f"WITH {S}, {FT}, {LANE} SELECT capture_id, count(*) AS sessions_seen, count(score) AS sessions_scored, count(*) - count(score) AS abstentions, round(max(threshold), 3) AS threshold, {_LB} FROM ab GROUP BY 1")
 def lane_report(spark, sf):
     return anomaly.lane_report(lane(spark, sf)).withColumn("threshold", F.round("threshold", 3))

@@ -242,13 +242,18 @@ def severity_counts(spark, sf):
     return marts.severity_counts(pq.groups(spark, sf))
 
 
-@query("search", f"""WITH {S}, r AS ({RUNS}), h AS (SELECT 'Sessions' AS category, protocol || ' ' || coalesce(client_ip || ' ', '') || server_ip AS title FROM s WHERE protocol IS NOT NULL UNION ALL SELECT 'Sessions', coalesce(client_ip || ' ', '') || server_ip FROM s WHERE protocol IS NULL
-    UNION ALL SELECT 'Analyses', source_filename FROM r WHERE state = 'COMPLETED') SELECT category, title, count(*) AS n FROM h WHERE lower(title) LIKE '%p c1%' OR lower(title) LIKE '%imap c1%' GROUP BY 1, 2""")
+@query("search", f"""WITH {pq.U}, r AS ({RUNS}), entries AS (SELECT 'Sessions' AS category, protocol || ' ' || coalesce(client_ip || ' ', '') || server_ip AS title, packet_count || ' packets' AS subtitle FROM s WHERE protocol IS NOT NULL
+    UNION ALL SELECT 'Sessions', coalesce(client_ip || ' ', '') || server_ip, packet_count || ' packets' FROM s WHERE protocol IS NULL
+    UNION ALL SELECT 'Findings', title, severity || ' · ' || rule_id FROM kl UNION ALL SELECT 'Analyses', source_filename, '' FROM r WHERE state = 'COMPLETED'),
+  hits AS (SELECT 'p c1' AS text, * FROM entries WHERE contains(lower(title || ' ' || subtitle || ' ' || category), 'p c1')
+    UNION ALL SELECT 'sec-tls', * FROM entries WHERE contains(lower(title || ' ' || subtitle || ' ' || category), 'sec-tls'))
+  SELECT text, category, title, count(*) AS n FROM hits GROUP BY 1, 2, 3""")
 def search(spark, sf):
-    s = lifts.flat_sessions(spark, sf)
-    none = s.limit(0).select(F.lit("").alias("title"), F.lit("").alias("severity"), F.lit("").alias("rule_id"))
-    hit = marts.search(" P C1", none, s, runs(spark, sf).withColumn("overall_posture", F.lit(None).cast("string")))
-    return hit.groupBy("category", "title").agg(F.count(F.lit(1)).alias("n"))
+    """One text that names sessions and one that names findings."""
+    s, found = lifts.flat_sessions(spark, sf), pq.classified(spark, sf)
+    done = runs(spark, sf).withColumn("overall_posture", F.lit(None).cast("string"))
+    hits = [marts.search(text, found, s, done).withColumn("text", F.lit(text.strip().lower())) for text in (" P C1", "sec-TLS")]
+    return hits[0].unionByName(hits[1]).groupBy("text", "category", "title").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --------------------------------------------------------------------------- whole assessment

@@ -109,9 +109,9 @@ def thresholds(validation: DataFrame, quantiles: list[float]) -> DataFrame:
 
 
 def sweep(scores: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Confusion of every model, split and budget.  There are a few cuts per model, so they
-    travel to the scores."""
-    flagged = scores.join(F.broadcast(cuts), "model").withColumn("flagged", F.col("score") >= F.col("threshold"))
+    """Confusion of every model, split and budget.  Whether the few cuts travel to
+    the scores is left to the size that the join sees."""
+    flagged = scores.join(cuts, "model").withColumn("flagged", F.col("score") >= F.col("threshold"))
     return confusion(flagged, ["model", "split", "quantile"])
 
 
@@ -191,6 +191,52 @@ def ablation(long: DataFrame, subsets: dict, keys: list[str], row: str) -> DataF
     return wide.select(*keys, row, F.inline(entries))
 
 
+def group_subsets() -> dict[str, list[str]]:
+    """The features of every group alone, of all but each group, of all, and of all but the cipher."""
+    group = {f: spec[0] for f, spec in anomaly.FEATURES.items()}
+    out = {"all": list(group), "without_tls_cipher": [f for f in group if f != "tls_cipher"]}
+    for g in anomaly.GROUPS:
+        out[f"only_{g.lower()}"] = [f for f in group if group[f] == g]
+        out[f"without_{g.lower()}"] = [f for f in group if group[f] != g]
+    return out
+
+
+def group_ablation(matrix: DataFrame, subsets: dict[str, list[str]] | None = None, quantile: float = 0.95) -> DataFrame:
+    """Which feature groups carry the signal: threshold, confusion and ranking areas per subset.
+
+    `matrix` has capture_id, row (all features encoded), split, attack and blind.  Each capture is
+    fitted once on its split TRAIN: a column's statistics do not depend on the others, so a subset is a
+    mask over the deviations and all subsets are scored in one pass.  The threshold is the nearest-rank
+    quantile of VALIDATION; the other splits are judged by it.  The areas leave blind sessions out.
+    Scores are rounded to six decimals, so that sessions of equal deviations tie.  Without training or
+    validation rows a capture has no result.
+    """
+    subsets = group_subsets() if subsets is None else subsets
+    features = [f for _, f, _ in anomaly.layout()]
+    unknown = {f for fids in subsets.values() for f in fids} - set(features)
+    if unknown:
+        raise ValueError(f"unknown features {sorted(unknown)}")
+    model = anomaly.robust_model()
+    stats = anomaly.cut(model.fit(matrix.filter(F.col("split") == "TRAIN")))
+    terms = matrix.filter(F.col("split") != "TRAIN").join(stats, "capture_id").withColumn("_terms", model.terms())
+
+    def total(fids):
+        mask = F.array(*[F.lit(1.0 if f in set(fids) else 0.0) for f in features])
+        return F.round(F.aggregate(F.zip_with("_terms", mask, lambda t, m: F.abs(t) * m), F.lit(0.0), lambda a, x: a + x), 6)
+
+    scores = F.array(*[F.struct(F.lit(n).alias("subset"), total(fids).alias("score")) for n, fids in subsets.items()])
+    long = anomaly.cut(terms.select("capture_id", "split", "attack", "blind", F.inline(scores)))
+    key = ["capture_id", "subset"]
+    limits = anomaly.threshold(long.filter(F.col("split") == "VALIDATION"), key, quantile)
+    tests = long.filter(F.col("split") != "VALIDATION")
+    judged = confusion(tests.join(limits, key).withColumn("flagged", F.col("score") >= F.col("threshold")), [*key, "split"])
+    areas = ranking_metrics(tests.filter(~F.col("blind")), [*key, "split"], width=1.0).drop("positive_rate")
+    seen = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    widths = F.create_map(*[F.lit(v) for n, fids in subsets.items() for v in (n, sum(f in set(fids) for f in features))])
+    return judged.drop("abstained").join(limits, key).join(areas, [*key, "split"], "left").withColumns({
+        "columns": widths[F.col("subset")], "flag_rate": F.round((F.col("tp") + F.col("fp")) / seen, 4)})
+
+
 def feature_variance(df: DataFrame) -> DataFrame:
     """Distinct key exchanges, forward-secrecy outcomes and certificate visibility per corpus."""
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
