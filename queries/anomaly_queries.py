@@ -107,11 +107,15 @@ def encode(spark, sf):
 _SIG = "||chr(10)||".join("'" + c + "'" for c in anomaly.COLUMNS)
 
 
-@query("layout_signature", f"SELECT substr(sha256({_SIG}), 1, 16) AS layout_signature, count(*) AS sessions FROM orders")
+@query("layout_signature", f"""WITH {S}, {FT}, {MX}, cells AS (SELECT capture_id, stream_key, unnest(range(1, len(r) + 1)) AS c, unnest(r) AS v FROM mx)
+  SELECT capture_id, substr(sha256({_SIG}), 1, 16) AS layout_signature, count(DISTINCT stream_key) AS sessions, count(DISTINCT c) AS width, count(DISTINCT CASE WHEN v <> 0 THEN c END) AS columns_in_use FROM cells GROUP BY 1""")
 def layout_signature(spark, sf):
-    lifts.register(spark, sf, "orders")
-    return spark.table("orders").agg(F.count(F.lit(1)).alias("sessions")) \
-        .select(anomaly.layout_signature().alias("layout_signature"), "sessions")
+    """The layout beside what the encoded matrix of each capture holds of it."""
+    m = anomaly.encode(anomaly.features(context(spark, sf)))
+    used = m.select("capture_id", F.posexplode("row").alias("c", "v")).groupBy("capture_id", "c") \
+        .agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("v") != 0).alias("used"))
+    return used.groupBy("capture_id").agg(F.max("n").alias("sessions"), F.count(F.lit(1)).alias("width"), F.count_if("used").alias("columns_in_use")) \
+        .withColumn("layout_signature", anomaly.layout_signature())
 
 
 # long matrix of the embedding table

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from queries import lifts
 from queries import posture_queries as pq
 from queries.base import C, DIM_GROUP, DIM_SUITE, FR, S, query
-from queries.session_queries import SESSIONS
-from wirepost.plans import assessment
+from queries.session_queries import PROVENANCE, SESSIONS
+from wirepost.operators import marts, scoring
+from wirepost.operators import sessions as se
+from wirepost.plans import assessment, lineage
 from wirepost.sources import ek
 
 #: packets without a stream are the group -1 of their capture
@@ -40,3 +42,20 @@ def packets_to_score(spark, sf):
     made = assessment.assess_packets(spark, ek.frames_from(ek.parse_ek(lifts.ek_lines(spark, sf))))
     return made.posture().select("capture_id", "assessment_id", F.round("value", 2).alias("value"), "band", "sessions_total", "sessions_assessed", "components",
                                  "fused_findings", "deterministic_findings", "cross_session_findings", "rule_ids")
+
+
+@query("report_issues_frames", from_packets(f"""WITH {pq.U}, {pq.FU}, {pq.GR}, {pq.PRI}, {PROVENANCE},
+  rp AS (SELECT capture_id, issue_class, min_by(coalesce(representative, 'None'), rank) AS sk FROM pri GROUP BY 1, 2),
+  fl AS (SELECT capture_id, CASE WHEN tcp_stream_id >= 0 THEN capture_id || ':' || CAST(tcp_stream_id AS VARCHAR) ELSE 'None' END AS sk, list_sort(list_distinct(list(frame_number))) AS l FROM pv GROUP BY 1, 2)
+  SELECT gr.capture_id, gr.issue_class, fact_kind, severity, nullif(rp.sk, 'None') AS representative, array_to_string(l, ',') AS frames,
+    array_to_string(l[1:12], ', ') || CASE WHEN len(l) > 12 THEN ', … (' || CAST(len(l) AS VARCHAR) || ' total)' ELSE '' END AS frame_text
+  FROM gr LEFT JOIN rp ON rp.capture_id = gr.capture_id AND rp.issue_class = gr.issue_class LEFT JOIN fl ON fl.capture_id = gr.capture_id AND fl.sk = rp.sk"""))
+def report_issues_frames(spark, sf):
+    """Issues of rebuilt sessions with every frame behind the evidence of their representative."""
+    frames = lineage.cut(ek.frames_from(ek.parse_ek(lifts.ek_lines(spark, sf))))
+    groups = assessment.assess_packets(spark, frames).groups
+    behind = se.evidence_frames(spark, se.rebuild(frames)) \
+        .select("capture_id", F.concat(F.col("capture_id"), F.lit(":"), F.col("tcp_stream_id").cast("string")).alias("stream_key"), "frame_number")
+    issues = marts.report_issues(groups, scoring.prioritise(groups), behind)
+    listed = F.array_join(F.transform("frames", lambda f: f.cast("string")), ",")
+    return issues.select("capture_id", "issue_class", "fact_kind", "severity", "representative", listed.alias("frames"), "frame_text")

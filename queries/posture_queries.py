@@ -52,8 +52,8 @@ _TEMPLATES = "(" + ", ".join(lit(c) for c in fusion.REMEDIATION) + ")"
 def groups_cte(source: str, name: str, extra: str = "") -> str:
     return f"""{name} AS (SELECT capture_id, {extra} issue_class, fact_kind, max({SEV.format(c='q.severity')}) AS sr, {UNSEV.format(c=f"max({SEV.format(c='q.severity')})")} AS severity,
     {UNCERT.format(c=f"min({CERT.format(c='q.certainty')})")} AS certainty, count(stream_key) AS recurrence, count(*) AS finding_count, bool_or(q.penalising) AS penalising,
-    min(q.dimension) AS dimension, arg_min(q.title, (-({SEV.format(c='q.severity')}), q.stream_key)) AS title,
-    arg_min(q.stream_key, (-({SEV.format(c='q.severity')}), -({CERT.format(c='q.certainty')}), q.stream_key)) AS representative,
+    min(q.dimension) AS dimension, arg_min(q.title, (-({SEV.format(c='q.severity')}), coalesce(q.stream_key, 'None'))) AS title,
+    nullif(arg_min(coalesce(q.stream_key, 'None'), (-({SEV.format(c='q.severity')}), -({CERT.format(c='q.certainty')}), coalesce(q.stream_key, 'None'))), 'None') AS representative,
     coalesce(string_agg(DISTINCT protocol, ',' ORDER BY protocol), '') AS protocols,
     (bool_or(q.penalising) AND issue_class IN {_TEMPLATES}) AS actionable, list_sort(list_distinct(flatten(list(string_split(standards, ','))))) AS stds
   FROM {source} q GROUP BY {extra} capture_id, issue_class, fact_kind)"""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from queries import lifts
-from wirepost.operators import anomaly, marts
+from wirepost.operators import anomaly, evaluation, marts
 from wirepost.plans import assessment, document
 from wirepost.sources import catalog, ek
 
@@ -112,3 +112,13 @@ def test_occlusion_equals_probes_scored_anew(spark, top):
     for r in anomaly.occlusion_robust(long, stats, ref, ["g"], "id", k=8, top=top).collect():
         got[r["id"]][r["column"]] = round(r["delta"], 6)
     assert got == want
+
+
+def test_layout_and_subsets_of_groups():
+    subsets = evaluation.group_subsets()
+    assert set(subsets["all"]) == set(anomaly.FEATURES) == set(subsets["only_tls"]) | set(subsets["without_tls"])
+    assert not set(subsets["only_tls"]) & set(subsets["without_tls"]) and len(subsets) == 12
+    with pytest.raises(ValueError):
+        evaluation.group_ablation(None, {"x": ["no such feature"]})
+    text = "\n".join(anomaly.COLUMNS)
+    assert len(anomaly.COLUMNS) == len(set(anomaly.COLUMNS)) and text.startswith("app_state=")

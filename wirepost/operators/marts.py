@@ -105,18 +105,21 @@ def report_issues(groups: DataFrame, prioritised: DataFrame, frames: DataFrame |
     """Groups with the first ranked representative of their class and its frames.
 
     `frames` has capture_id, stream_key, frame_number.  `frames` of the result is the whole list of
-    the evidence of one session, `frame_text` a short form of it, `title_text` one of the title.
+    the evidence of one session, `frame_text` a short form of it, `title_text` one of the title.  A null
+    representative of a ranked class is the group of packets outside streams and has that group's frames.
     """
-    rep = prioritised.groupBy("capture_id", "issue_class").agg(F.min_by("representative", "rank").alias("representative"))
+    rep = prioritised.groupBy("capture_id", "issue_class").agg(F.min_by("representative", "rank").alias("representative")) \
+        .withColumn("_key", F.coalesce("representative", F.lit("None")))
     out = groups.drop("representative").join(rep, ["capture_id", "issue_class"], "left")
     if frames is not None:
-        wanted = rep.select("capture_id", F.col("representative").alias("stream_key")).distinct()
-        lists = frames.join(wanted, ["capture_id", "stream_key"], "left_semi").groupBy("capture_id", F.col("stream_key").alias("representative")) \
+        keyed = frames.withColumn("_key", F.coalesce("stream_key", F.lit("None")))
+        lists = keyed.join(rep.select("capture_id", "_key").distinct(), ["capture_id", "_key"], "left_semi").groupBy("capture_id", "_key") \
             .agg(F.sort_array(F.collect_set("frame_number")).alias("frames"))
         n = F.size("frames")
         head = F.array_join(F.transform(F.slice("frames", 1, limit), lambda f: f.cast("string")), ", ")
         text = F.when(n > limit, F.concat(head, F.lit(", … ("), n.cast("string"), F.lit(" total)"))).otherwise(head)
-        out = out.join(lists.withColumn("frame_text", text), ["capture_id", "representative"], "left")
+        out = out.join(lists.withColumn("frame_text", text), ["capture_id", "_key"], "left")
+    out = out.drop("_key")
     return out.withColumn("title_text", casts.clip(F.col("title")))
 
 
