@@ -166,3 +166,34 @@ def test_an_endless_line_of_blanks_is_no_row_of_its_own(spark):
     assert frames_of(directed(spark, [(2, 10, "250-STARTTLS"), *blanks, (900, 900, "\r\n")])) == [2, *range(3, 503), 900]
     assert frames_of(directed(spark, [(2, 10, "250-STAR"), *blanks, (900, 900, "TTLS\r\n")])) == []
     assert frames_of(directed(spark, [(2, 10, "250"), (3, 20, " "), (4, 21, "STARTTLS\r\n")])) == [2, 3, 4]
+
+
+def test_layers_that_share_a_name_are_merged_and_others_are_strung(spark):
+    """A later layer wins over an earlier one, a field beside the layers over both."""
+    packets = [{"a": {"x": "1", "y": "2"}, "b": {"z": "3"}, "n": "4"}, {"a": {"x": "1", "y": "2"}, "b": {"x": "5"}, "y": "6"},
+               {"a": {}, "b": {"x": ["7"]}, "c": "{broken"}, {"n": None}, {}]
+    lines = spark.createDataFrame([(i, json.dumps({"layers": p})) for i, p in enumerate(packets)], "i int, value string")
+    got = {r.i: r.flat for r in ek.flatten_layers(ek.parse_ek(lines)).collect()}
+    assert got == {0: {"x": "1", "y": "2", "z": "3", "n": "4"}, 1: {"x": "5", "y": "6"}, 2: {"x": '["7"]'}, 3: {"n": None}, 4: {}}
+
+
+def test_packets_are_dissected_by_all_tasks(spark):
+    """However few files and splits the events have."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines, flat = lifts.ek_lines(spark, SF), lifts.flat_frames(spark, SF)
+    assert spark.read.parquet(f"{SF}/events.parquet").rdd.getNumPartitions() < parts
+    assert lines.filter("value like '%layers%'").select("value").groupBy(F.spark_partition_id()).count().count() == parts
+    assert lines.filter("value like '%layers%'").count() == flat.count()
+
+
+def test_a_run_from_packets_rebuilds_once_and_keeps_the_rebuild(spark, captures, made):
+    from queries import packet_queries
+    count, real = [], se.rebuild
+    se.rebuild = lambda *a: count.append(1) or real(*a)
+    try:
+        packet_queries.report_issues_frames(spark, SF)
+    finally:
+        se.rebuild = real
+    assert count == [1]
+    behind = se.evidence_frames(spark, made[0].rebuilt)
+    assert behind.count() == se.evidence_frames(spark, se.rebuild(ek.frames_from(ek.read_ek(spark, captures)))).count() > 0

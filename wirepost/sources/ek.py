@@ -39,7 +39,8 @@ def read_ek(spark: SparkSession, path: str) -> DataFrame:
 
 def flatten_layers(records: DataFrame) -> DataFrame:
     """One flat name -> text map per packet.  A later layer wins over an earlier one, and a
-    field standing directly under `layers` wins over both."""
+    field standing directly under `layers` wins over both.  Layers seldom share a name; where none
+    do, their fields are strung together, and only other packets are merged layer by layer."""
     def nested(v):
         return F.coalesce(v.startswith("{"), F.lit(False))
 
@@ -47,13 +48,15 @@ def flatten_layers(records: DataFrame) -> DataFrame:
         kept = F.map_filter(into, lambda k, v: ~F.map_contains_key(more, k))
         return F.map_concat(kept, more)
 
-    inner = F.filter(F.map_values("layers"), nested)
-    folded = F.aggregate(
-        inner, F.create_map().cast(FLAT),
-        lambda acc, text: merge(acc, F.coalesce(F.from_json(text, FLAT),
-                                                F.create_map().cast(FLAT))))
+    none = F.create_map().cast(FLAT)
+    inner = F.transform(F.filter(F.map_values("layers"), nested), lambda text: F.coalesce(F.from_json(text, FLAT), none))
     direct = F.map_filter("layers", lambda k, v: ~nested(v))
-    return records.withColumn("flat", merge(folded, direct)).drop("layers")
+    read = records.withColumn("_layers", F.concat(inner, F.array(direct)))
+    strung = read.withColumn("_names", F.flatten(F.transform("_layers", lambda m: F.map_keys(m))))
+    apart = F.size(F.array_distinct("_names")) == F.size("_names")
+    texts = F.flatten(F.transform("_layers", lambda m: F.map_values(m)))
+    flat = F.when(apart, F.map_from_arrays("_names", texts)).otherwise(F.aggregate("_layers", none, merge))
+    return strung.withColumn("flat", flat).drop("layers", "_layers", "_names")
 
 
 def _pick(name: str) -> Column:
