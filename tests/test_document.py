@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from dataclasses import replace
 
 import pytest
@@ -122,3 +123,13 @@ def test_layout_and_subsets_of_groups():
         evaluation.group_ablation(None, {"x": ["no such feature"]})
     text = "\n".join(anomaly.COLUMNS)
     assert len(anomaly.COLUMNS) == len(set(anomaly.COLUMNS)) and text.startswith("app_state=")
+
+
+def test_digest_adds_small_numbers_and_is_what_it_was(spark):
+    df = spark.range(300).selectExpr("id % 2 AS k", "id", "array(CAST(id AS STRING), null) AS a", "array(named_struct('b', id, 'a', null)) AS s")
+    h = F.sha2(catalog.canonical_json(df, ("k",)), 256)
+    parts = [F.sum(F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(8)]
+    want = df.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *parts), 256).alias("digest"))
+    got = catalog.table_digest(df, ["k"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert re.findall(r"cast\((\w+)#\d+L as decimal", got._jdf.queryExecution().optimizedPlan().toString()) == [f"_p{i}" for i in range(8)]
