@@ -78,3 +78,39 @@ def test_a_slim_run_has_the_same_posture(spark):
     whole, slim = assessment.run(spark, s), assessment.run(spark, s, slim=True)
     assert slim.classified.columns == fusion.SLIM and "evidence_refs" in whole.classified.columns
     assert sorted(map(tuple, slim.posture().collect())) == sorted(map(tuple, whole.posture().collect())) != []
+
+
+def whole_findings(spark):
+    """Findings with wording and evidence; streams 1 and none have facts of several sources."""
+    ref = "array(named_struct('field', 'tls_forward_secrecy', 'observed_value', 'true', 'evidence_state', state, 'frame_lo', n, 'frame_hi', n, 'frame_n', 1L, 'provenance', 'observed'))"
+    rows = [("c:1", "SEC-FS-001", "OBSERVED_ISSUE", "MEDIUM", 1, "OBSERVED"), ("c:1", "SEC-FS-001", "OBSERVED_ISSUE", "HIGH", 2, "AMBIGUOUS"),
+            ("c:2", "SEC-FS-001", "OBSERVED_ISSUE", "MEDIUM", 3, "INFERRED"), ("c:3", "SEC-FS-001", "COMPLIANT", "INFO", 4, "NOT_OBSERVABLE"),
+            (None, "SEC-FS-001", "COMPLIANT", "INFO", 5, "OBSERVED"), (None, "SEC-FS-001", "INFORMATIONAL", "INFO", 6, "OBSERVED"),
+            ("c:4", "SEC-FS-001", "AMBIGUOUS", "INFO", 7, "AMBIGUOUS"), ("c:4", "SEC-KEX-001", "INFORMATIONAL", "INFO", 8, "OBSERVED")]
+    made = spark.createDataFrame(rows, "stream_key string, rule_id string, status string, severity string, n long, state string").selectExpr(
+        "'c' AS capture_id", "stream_key", "rule_id", "status", "severity", f"{ref} AS evidence_refs", "concat('f', n) AS finding_id", "concat('t', n) AS title",
+        "concat('said ', n) AS conclusion", "IF(n = 3, null, array('RFC 3207 (x)', 'other', 'RFC 3207 (x)', ' ')) AS standards", "IF(n = 4, null, 'do') AS guidance",
+        "CAST(n AS INT) AS seq", "IF(n = 8, null, n) AS tcp_stream_id", "IF(n = 3, null, 'smtp') AS protocol", "CAST(null AS STRING) AS deviation", "IF(n = 6, 'CROSS_SESSION', 'DETERMINISTIC') AS lane")
+    return fusion.classify_findings(spark, made)
+
+
+def test_findings_that_are_alone_do_not_travel(spark):
+    found = lineage.written(whole_findings(spark))
+    shared = lineage.written(fusion.shared_hashes(found))
+    grouped, parted = fusion.fuse(found), fusion.fuse(found, shared)
+    assert parted.columns == grouped.columns and shared.count() == 2
+    in_order = lambda df: sorted(map(str, df.collect()))
+    assert in_order(parted) == in_order(grouped) and sorted(r.source_count for r in parted.collect()) == [1, 1, 1, 2, 2]
+    assert {r.stream_key: [s["relation"] for s in r.sources] for r in parted.collect() if r.source_count > 1} == {"c:1": ["supports", "duplicates"], None: ["contextualizes", "duplicates"]}
+
+
+def test_a_run_groups_only_facts_of_several_sources(spark, monkeypatch):
+    seen, real = [], fusion.fuse
+    monkeypatch.setattr(fusion, "fuse", lambda found, shared=None: seen.append(shared) or real(found, shared))
+    s = lifts.sessions(spark, SF, crypto=True).filter("tcp_stream_id < 40")
+    once, twice = assessment.run(spark, s), assessment.run(spark, s.union(s.filter("tcp_stream_id < 20")))
+    assert seen[0].count() == 0 < seen[1].count()
+    assert once.facts.count() == twice.facts.count() and twice.facts.filter("source_count = 2").count() > 0
+    monkeypatch.setattr(lineage, "is_few", lambda rows, most=2000: False)
+    many = assessment.run(spark, s.union(s.filter("tcp_stream_id < 20")))
+    assert seen[2] is None and sorted(map(str, many.facts.collect())) == sorted(map(str, twice.facts.collect()))
