@@ -490,7 +490,7 @@ def group_ablation(spark, sf):
     marked = ctx.filter(F.col("protocol").isNotNull() & (F.col("completeness") == "COMPLETE")).withColumns({
         "split": F.when(at < 2, "TRAIN").when(at == 2, "VALIDATION").when(at == 3, "SELECT").otherwise("TEST"),
         "attack": attack, "blind": F.coalesce("implicit_tls", F.lit(False))}).filter(~F.col("attack") | F.col("split").isin("SELECT", "TEST"))
-    matrix = anomaly.cut(anomaly.encode(anomaly.features(marked, keep=("split", "attack", "blind")), keep=("split", "attack", "blind")))
+    matrix = anomaly.written(anomaly.encode(anomaly.features(marked, keep=("split", "attack", "blind")), keep=("split", "attack", "blind")))
     return evaluation.group_ablation(matrix).select(
         "capture_id", "subset", "split", F.round("threshold", 3).alias("threshold"), "tp", "fp", "fn", "tn", "flag_rate", "pr_auc", "columns")
 

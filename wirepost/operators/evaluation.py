@@ -217,7 +217,7 @@ def group_ablation(matrix: DataFrame, subsets: dict[str, list[str]] | None = Non
     if unknown:
         raise ValueError(f"unknown features {sorted(unknown)}")
     model = anomaly.robust_model()
-    stats = anomaly.cut(model.fit(matrix.filter(F.col("split") == "TRAIN")))
+    stats = anomaly.written(model.fit(matrix.filter(F.col("split") == "TRAIN")))
     terms = matrix.filter(F.col("split") != "TRAIN").join(stats, "capture_id").withColumn("_terms", model.terms())
 
     def total(fids):
@@ -225,7 +225,7 @@ def group_ablation(matrix: DataFrame, subsets: dict[str, list[str]] | None = Non
         return F.round(F.aggregate(F.zip_with("_terms", mask, lambda t, m: F.abs(t) * m), F.lit(0.0), lambda a, x: a + x), 6)
 
     scores = F.array(*[F.struct(F.lit(n).alias("subset"), total(fids).alias("score")) for n, fids in subsets.items()])
-    long = anomaly.cut(terms.select("capture_id", "split", "attack", "blind", F.inline(scores)))
+    long = anomaly.written(terms.select("capture_id", "split", "attack", "blind", F.inline(scores)))
     key = ["capture_id", "subset"]
     limits = anomaly.threshold(long.filter(F.col("split") == "VALIDATION"), key, quantile)
     tests = long.filter(F.col("split") != "VALIDATION")
