@@ -119,7 +119,7 @@ def test_ids_as_numbers(spark):
 def test_findings_of_a_session_travel_together(spark):
     found = findings(spark).withColumn("finding_id", F.col("rule_id"))
     got = fusion.source_relations(found)
-    assert len(deals(got)) <= 1 and got.filter("relation = 'duplicates'").count() == 1
+    assert len(deals(got)) <= 1 and got.filter("relation = 'duplicates'").count() == 2
 
 
 def test_a_record_run_writes_no_ids_and_no_facts(spark):
